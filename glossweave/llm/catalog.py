@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import charforms, rankfusion
+from . import sentences as sent
 
 SCORES = ["score", "doc_sim_score", "candidate_score", "inlinks"]
 
@@ -36,8 +37,27 @@ def p6_normalized(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("tbl", "doc_id", "row_no", "normal")
 
 
+SENTENCE_SOURCES = ["news", "transcript", "bulletin", "archive"]
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter(F.col("source").isin(SENTENCE_SOURCES))
+    return sent.sentences(docs, "text", ["doc_id"]).select("doc_id", "start_pos", "end_pos").distinct()
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every document, with its text."""
+    return sent.sentences(table(spark, d, "documents"), "text", ["doc_id"])
+
+
+def p7_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``sentences`` as single sentences, with offsets in the document."""
+    s = sent.sentences(table(spark, d, "sentences"), "text", ["doc_id", "sent_num", "start_offset"])
+    return s.select("doc_id", "sent_num", "sent_no", (F.col("start_offset") + F.col("start_pos")).alias("start_offset"), F.col("sentence").alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_fused, p6_found, p6_normalized)}
+    return {f.__name__: f for f in (p3_found, p3_fused, p6_found, p6_normalized, p7_found, p7_documents, p7_rows)}
 
 
 _FUSED = """
