@@ -33,23 +33,22 @@ VIRAMAS = "्্੍્୍்్್്්"
 KEPT_ZWJ, KEPT_ZWNJ = "", ""
 
 
-def _compatible() -> tuple[str, str, list[tuple[str, str]]]:
-    """Compatibility forms of letters, digits and dots, by rule from the Unicode tables: one-to-one pairs, and those that
-    spread to several characters. Superscripts, fractions, ordinals, letter-like signs (number sign, trade mark) and East Asian
-    punctuation keep their meaning and stay."""
-    one_from, one_to, many = [], [], []
-    for block in ((0x2024, 0x2027), (0xFB00, 0xFB07), (0xFF10, 0xFF1A), (0xFF21, 0xFF3B), (0xFF41, 0xFF5B), (0xFF65, 0xFF9F), (0x0132, 0x0134), (0x01C4, 0x01CD), (0x01F1, 0x01F4), (0x1D400, 0x1D800), (0xFB50, 0xFDFC), (0xFE70, 0xFEFD), (0x2160, 0x2180), (0x017F, 0x0180)):
-        for o in range(*block):
-            c = chr(o)
-            to = unicodedata.normalize("NFKC", c)
-            if to == c or " " in to or not unicodedata.name(c, ""):
-                continue
-            if len(to) == 1:
-                one_from.append(c)
-                one_to.append(to)
-            else:
-                many.append((c, to))
-    return "".join(one_from), "".join(one_to), many
+#: Blocks whose compatibility forms are brought to the plain ones: common ones (wide letters and digits), then the rest.
+COMMON = [(0xFF10, 0xFF1A), (0xFF21, 0xFF3B), (0xFF41, 0xFF5B)]
+RARE = [(0x2160, 0x2180), (0xFF65, 0xFFA0), (0x1D400, 0x1D800), (0xFB50, 0xFDFC), (0xFE70, 0xFEFD), (0x017F, 0x0180)]
+JOINED = [(0x2025, 0x2027), (0xFB00, 0xFB07), (0x0132, 0x0134), (0x01C4, 0x01CD), (0x01F1, 0x01F4)]
+
+
+def _forms(blocks: list[tuple[int, int]], single: bool) -> list[tuple[str, str]]:
+    """The forms of these blocks with their plain text, by rule from the Unicode tables, of one character or of several.
+    Superscripts, fractions, ordinals, letter-like signs (number sign, trade mark) and East Asian punctuation are in no block:
+    they keep their meaning and stay."""
+    pairs = [(chr(o), unicodedata.normalize("NFKC", chr(o))) for block in blocks for o in range(*block) if unicodedata.name(chr(o), "")]
+    return [(c, to) for c, to in pairs if to != c and " " not in to and (len(to) == 1) == single]
+
+
+def _ranges(blocks: list[tuple[int, int]]) -> str:
+    return "[" + "".join(f"\\x{{{a:04X}}}-\\x{{{b - 1:04X}}}" for a, b in blocks) + "]"
 
 
 def _quoted(s: str) -> str:
@@ -61,16 +60,19 @@ def _class(chars: str) -> str:
 
 
 def _sql() -> str:
-    one_from, one_to, many = _compatible()
-    one_from, one_to = one_from + SPACES + HYPHENS, one_to + " " * len(SPACES) + "-" * len(HYPHENS)
-    spread = "".join(c for c, _ in many)
-    wide = "t1"
-    for c, to in many:
-        wide = f"replace({wide}, {_quoted(c)}, {_quoted(to)})"
+    tr = lambda x, a, b: f"translate({x}, {_quoted(a)}, {_quoted(b)})"
+    plain = lambda pairs: ("".join(c for c, _ in pairs), "".join(to for _, to in pairs))
+    wide_from, wide_to = plain(_forms(COMMON, True))
+    wide = tr("t", wide_from + SPACES + HYPHENS, wide_to + " " * len(SPACES) + "-" * len(HYPHENS))
+    rare = tr("t1", *plain(_forms(RARE, True)))
+    for c, to in _forms(RARE, False):
+        rare = f"replace({rare}, {_quoted(c)}, {_quoted(to)})"
+    joined = "t2"
+    for c, to in _forms(JOINED, False):
+        joined = f"replace({joined}, {_quoted(c)}, {_quoted(to)})"
     letters = r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}]+"
     pieces = letters + "|" + letters.replace("[", "[^").replace("]+", "]+")
     own_c, own_g = f"[^\\P{{Cyrillic}}{CYRILLIC}]", f"[^\\P{{Greek}}{GREEK}]"
-    tr = lambda x, a, b: f"translate({x}, {_quoted(a)}, {_quoted(b)})"
     as_latin = tr("w", CYRILLIC + GREEK, CYRILLIC_AS_LATIN + GREEK_AS_LATIN)
     word = f"""CASE
         WHEN NOT regexp_matches(w, '[\\p{{Greek}}\\p{{Cyrillic}}]') THEN w
@@ -82,17 +84,18 @@ def _sql() -> str:
         WHEN lone AND NOT regexp_matches({as_latin}, '[\\p{{Greek}}\\p{{Cyrillic}}]') THEN {as_latin}
         ELSE w END"""
     return f"""
-    WITH a AS (SELECT *, CASE WHEN regexp_matches(t, '[^\\x00-\\x7F]|\\t') THEN translate(t, {_quoted(one_from)}, {_quoted(one_to)}) ELSE t END AS t1 FROM batch),
-    b AS (SELECT *, CASE WHEN regexp_matches(t1, {_quoted(_class(spread))}) THEN {wide} ELSE t1 END AS t2 FROM a),
-    c AS (SELECT *, CASE WHEN regexp_matches(t2, {_quoted(_class(INVISIBLE))}) THEN
+    WITH a AS (SELECT *, CASE WHEN regexp_matches(t, {_quoted(_ranges(COMMON)[:-1] + _class(SPACES + HYPHENS)[1:])}) THEN {wide} ELSE t END AS t1 FROM batch),
+    b AS (SELECT *, CASE WHEN strlen(t1) > length(t1) AND regexp_matches(t1, {_quoted(_ranges(RARE))}) THEN {rare} ELSE t1 END AS t2 FROM a),
+    b2 AS (SELECT *, CASE WHEN strlen(t2) > length(t2) AND regexp_matches(t2, {_quoted(_ranges(JOINED))}) THEN {joined} ELSE t2 END AS t25 FROM b),
+    c AS (SELECT *, CASE WHEN regexp_matches(t25, {_quoted(_class(INVISIBLE))}) THEN
             replace(replace(regexp_replace(
-                regexp_replace(regexp_replace(t2, {_quoted('(' + _class(VIRAMAS) + r')\x{200D}')}, '\\1{KEPT_ZWJ}', 'g'), {_quoted('(' + _class(VIRAMAS) + r')\x{200C}')}, '\\1{KEPT_ZWNJ}', 'g'),
+                regexp_replace(regexp_replace(t25, {_quoted('(' + _class(VIRAMAS) + r')\x{200D}')}, '\\1{KEPT_ZWJ}', 'g'), {_quoted('(' + _class(VIRAMAS) + r')\x{200C}')}, '\\1{KEPT_ZWNJ}', 'g'),
                 {_quoted(_class(INVISIBLE))}, '', 'g'), '{KEPT_ZWJ}', chr(8205)), '{KEPT_ZWNJ}', chr(8204))
-            ELSE t2 END AS t3 FROM b),
-    d AS (SELECT *, CASE WHEN regexp_matches(t3, '[^\\x00-\\x7F]') THEN nfc_normalize(t3) ELSE t3 END AS t4 FROM c),
-    e AS (SELECT *, regexp_matches(t4, '[\\p{{Greek}}\\p{{Cyrillic}}]') AND regexp_matches(t4, '\\p{{Latin}}') AS mixed,
+            ELSE t25 END AS t3 FROM b2),
+    d AS (SELECT *, CASE WHEN strlen(t3) > length(t3) THEN nfc_normalize(t3) ELSE t3 END AS t4 FROM c),
+    e AS (SELECT *, strlen(t4) > length(t4) AND regexp_matches(t4, '[\\p{{Greek}}\\p{{Cyrillic}}]') AND regexp_matches(t4, '\\p{{Latin}}') AS mixed,
             NOT regexp_matches(t4, '{own_c}|{own_g}') AS lone FROM d)
-    SELECT * EXCLUDE (t, t1, t2, t3, t4, mixed, lone), t AS text,
+    SELECT * EXCLUDE (t, t1, t2, t25, t3, t4, mixed, lone), t AS text,
         CASE WHEN mixed THEN list_aggregate(list_transform(regexp_extract_all(t4, '{pieces}'), lambda w: {word}), 'string_agg', '') ELSE t4 END AS normal
     FROM e"""
 
