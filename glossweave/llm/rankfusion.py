@@ -46,31 +46,27 @@ def _spread_ranks(df: DataFrame, keys: list[str], scores: list[str]) -> DataFram
     return df
 
 
-def competition_ranks(df: DataFrame, keys: list[str], scores: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds ``_r0.._rN``: 1 + the number of rows of the group with a larger score; equal scores share a rank, a missing one is last.
-
-    Ordinary groups take one shuffle and a window per score. Groups above ``hot_rows`` go another, equally exact way.
-    """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return _ranks(df, keys, scores)
-    small = df.alias("d").join(hot.alias("h"), _same("d", "h", keys), "left_anti")
-    large = df.alias("d").join(hot.alias("h"), _same("d", "h", keys), "left_semi")
-    return _ranks(small, keys, scores).unionByName(_spread_ranks(large, keys, scores))
-
-
 def fuse(df: DataFrame, keys: list[str], item: str, scores: list[str], k: float = K, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row for each (keys, item): ``rank_<score>``, ``fused`` and ``rank_sum``.
 
     Rows repeated for an item count once, with the best value of each score. NaN and null scores rank last (together). A null
     item is no candidate and gives no row; null keys form a group like any other. Other columns are ignored. No rows in, none out.
+    Ordinary groups take one shuffle and a window per score; groups of more than ``hot_rows`` rows go another, equally exact way.
     """
     c = [F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)]
     s = [F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double")).alias(f"_s{i}") for i, x in enumerate(scores)]
     rows = df.filter(F.col(item).isNotNull()).select(*c, F.col(item).alias("_item"), *s)
     ks, ss = [f"_k{i}" for i in range(len(keys))], [f"_s{i}" for i in range(len(scores))]
-    rows = rows.groupBy(*ks, "_item").agg(*[F.max(x).alias(x) for x in ss])
-    ranked = competition_ranks(rows, ks, ss, hot_rows)
+    best = lambda x: x.groupBy(*ks, "_item").agg(*[F.max(c).alias(c) for c in ss])
+    # one shuffle, by the keys, serves the aggregate, every window and any later aggregate by the same keys
+    near = lambda x: _ranks(best(x.repartition(*[F.col(k) for k in ks])), ks, ss)
+    hot = df.groupBy(*c).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*ks)
+    if hot.isEmpty():
+        ranked = near(rows)
+    else:
+        small = rows.alias("d").join(hot.alias("h"), _same("d", "h", ks), "left_anti")
+        large = rows.alias("d").join(hot.alias("h"), _same("d", "h", ks), "left_semi")
+        ranked = near(small).unionByName(_spread_ranks(best(large), ks, ss))
     rs = [F.col(f"_r{i}") for i in range(len(scores))]
     fused = F.round(reduce(lambda a, b: a + b, [1.0 / (F.lit(float(k)) + r) for r in rs]), 12)
     return ranked.select(
