@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import charforms, rankfusion
+from . import charforms, neardup, rankfusion
 from . import sentences as sent
 
 SCORES = ["score", "doc_sim_score", "candidate_score", "inlinks"]
@@ -37,6 +37,20 @@ def p6_normalized(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("tbl", "doc_id", "row_no", "normal")
 
 
+def _spaced(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("lang is null or lang not in ('zh', 'ja', 'th')")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Three words and 0.5 as TESTDATA.md has them."""
+    return neardup.pairs(_spaced(spark, d), "doc_id", "text", 3, 0.5)
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Five words and 0.8 over the documents of every language."""
+    return neardup.groups(table(spark, d, "documents"), "doc_id", "text")
+
+
 SENTENCE_SOURCES = ["news", "transcript", "bulletin", "archive"]
 
 
@@ -57,7 +71,7 @@ def p7_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_fused, p6_found, p6_normalized, p7_found, p7_documents, p7_rows)}
+    return {f.__name__: f for f in (p3_found, p3_fused, p5_found, p5_groups, p6_found, p6_normalized, p7_found, p7_documents, p7_rows)}
 
 
 _FUSED = """
