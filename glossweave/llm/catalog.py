@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from ..sources.tables import table
-from . import charforms, neardup, rankfusion
+from . import charforms, mixing, neardup, packing, rankfusion, tokens
 from . import sentences as sent
 
 SCORES = ["score", "doc_sim_score", "candidate_score", "inlinks"]
@@ -70,8 +71,28 @@ def p7_rows(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "sent_num", "sent_no", (F.col("start_offset") + F.col("start_pos")).alias("start_offset"), F.col("sentence").alias("text"))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(tokens.sizes(table(spark, d, "documents"), "text", ["doc_id", "source"]))
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sizes(spark, d), "doc_id", "tokens")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d), "doc_id", "source", "tokens", table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d), "doc_id", "source", "tokens", table(spark, d, "mix_targets"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_fused, p5_found, p5_groups, p6_found, p6_normalized, p7_found, p7_documents, p7_rows)}
+    return {f.__name__: f for f in (p3_found, p3_fused, p5_found, p5_groups, p6_found, p6_normalized, p7_found, p7_documents, p7_rows, p8_packed, p8_fill, p9_mix, p9_shares)}
 
 
 _FUSED = """
