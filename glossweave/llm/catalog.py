@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from ..sources.tables import table
-from . import charforms, mixing, neardup, packing, rankfusion, tokens
+from . import canonical, charforms, mixing, neardup, packing, rankfusion, tokens
 from . import sentences as sent
 
 SCORES = ["score", "doc_sim_score", "candidate_score", "inlinks"]
@@ -38,6 +38,18 @@ def p6_normalized(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("tbl", "doc_id", "row_no", "normal")
 
 
+def p4_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct hand-typed text with the entry meant and its score; null id: none."""
+    typed = table(spark, d, "links").filter("id is null").select("text")
+    return canonical.map_values(typed, "text", table(spark, d, "kb_entities"), "id", "name")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    typed = table(spark, d, "links").filter("id is null").select("doc_id", "text").distinct()
+    ids = p4_mapped(spark, d).select("text", F.coalesce("id", F.lit("NONE")).alias("id")).withColumnRenamed("text", "t")
+    return typed.join(ids, typed.text.eqNullSafe(F.col("t"))).select("doc_id", "text", "id")
+
+
 def _spaced(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("lang is null or lang not in ('zh', 'ja', 'th')")
 
@@ -92,7 +104,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_fused, p5_found, p5_groups, p6_found, p6_normalized, p7_found, p7_documents, p7_rows, p8_packed, p8_fill, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p3_found, p3_fused, p4_found, p4_mapped, p5_found, p5_groups, p6_found, p6_normalized, p7_found, p7_documents, p7_rows, p8_packed, p8_fill, p9_mix, p9_shares)}
 
 
 _FUSED = """
