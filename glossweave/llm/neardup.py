@@ -2,8 +2,9 @@
 
 The shingles of a text are ordered from rare to frequent by one order for the whole corpus. If two texts reach the
 similarity, the first ``n - ceil(t n) + l`` places of both hold at least ``l`` common shingles: only those places are
-indexed, the shared ones of a pair are tallied, pairs below the guaranteed minimum are dropped, the rest is verified
-on the whole sets. No pair that reaches the similarity can be lost.
+indexed, each under its shingle and with its position. The shared ones of a pair are tallied; what the tally and the
+places after the last shared one could still amount to must reach the overlap that the similarity asks for. The
+pairs left are verified on the whole sets. No pair that reaches the similarity can be lost.
 
 A key of the index is the eight hash bytes of a shingle, not a single byte: the list of a one-byte key would hold a
 256th of the corpus, and its pairs would grow with the square of the corpus.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .components import components
 
-#: Counters of the sketch of shingle frequencies. Its size is fixed, so it may be broadcast; a fuller sketch orders less sharply, nothing else.
-SKETCH_BITS = 22
-SEGMENTS = 32
+#: Counters of the sketch of shingle frequencies. Its size is fixed (a byte each), so it may be broadcast; a fuller sketch orders less sharply, nothing else.
+SKETCH_BITS = 26
+SEGMENT_BITS = 20
 MATCHES = 2
+#: Texts hashed at a time: their number within the slice has to fit the upper bits of a sort key.
+SLICE = 1 << 13
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -35,47 +39,61 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of all texts, text after text and ascending within each, and the text each belongs to."""
+def _shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of all texts in order, and the text each belongs to."""
     words = [t.lower().split() if t else [] for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    flat = [w for ws in words for w in ws]
-    if len(flat) < k:
+    flat = list(chain.from_iterable(words))
+    m = len(flat) - k + 1
+    if m < 1:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     ids = {w: xxhash.xxh3_64_intdigest(w) for w in set(flat)}
     w = np.fromiter(map(ids.__getitem__, flat), np.uint64, len(flat))
-    doc = np.repeat(np.arange(len(texts)), n)
-    m = len(w) - k + 1
-    h = np.zeros(m, np.uint64)
-    for i in range(k):
-        h = _mix(h + w[i : i + m] + np.uint64(0x9E3779B97F4A7C15))
+    doc = np.repeat(np.arange(len(texts)), np.fromiter(map(len, words), np.int64, len(words)))
+    h = w[:m].copy()
+    for i in range(1, k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + (h >> np.uint64(29)) + w[i : i + m]
     whole = doc[:m] == doc[k - 1 :]
-    h, doc = h[whole], doc[:m][whole]
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[first], doc[first]
+    return _mix(h[whole]), doc[:m][whole]
+
+
+def shingle_sets(texts: list[str | None], k: int, grade_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all texts, text after text and within each by grade and hash; the text and the grade of each."""
+    out = []
+    for at in range(0, len(texts), SLICE):
+        h, doc = _shingles(texts[at : at + SLICE], k)
+        grade = np.zeros(len(h), np.uint8) if grade_of is None else grade_of[(h & np.uint64(len(grade_of) - 1)).astype(np.int64)]
+        order = np.argsort((doc.astype(np.uint64) << np.uint64(51)) | (grade.astype(np.uint64) << np.uint64(43)) | (h >> np.uint64(21)))
+        h, doc, grade = h[order], doc[order], grade[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        out.append((h[first], doc[first] + at, grade[first]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8))
 
 
 def _sketch(docs: DataFrame, text: str, k: int) -> bytes:
-    """How frequent the shingles of each counter are over all texts, on a logarithmic scale of one byte; 4 MB whatever the corpus."""
-    size = 1 << SKETCH_BITS
-    part = size // SEGMENTS
+    """How frequent the shingles of each counter are over all texts, on a logarithmic scale of one byte; of one size whatever the corpus."""
+    segments, part = 1 << (SKETCH_BITS - SEGMENT_BITS), 1 << SEGMENT_BITS
+    mask = np.uint64((1 << SKETCH_BITS) - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
         for b in batches:
-            h, _ = shingle_sets(b.column(0).to_pylist(), k)
-            total += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([zlib.compress(total[i * part : (i + 1) * part].tobytes(), 1) for i in range(SEGMENTS)], pa.binary())], ["seg", "counts"])
+            h, _ = _shingles(b.column(0).to_pylist(), k)
+            at, n = np.unique((h & mask).astype(np.uint32), return_counts=True)
+            cuts = np.searchsorted(at, np.arange(segments + 1) * part)
+            rows = []
+            for i in range(segments):
+                own = at[cuts[i] : cuts[i + 1]] - i * part
+                rows.append(zlib.compress(np.diff(own, prepend=0).astype(np.uint32).tobytes() + np.minimum(n[cuts[i] : cuts[i + 1]], 65535).astype(np.uint16).tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(range(segments), pa.int32()), pa.array(rows, pa.binary())], ["seg", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for seg, counts in zip(b.column(0).to_pylist(), b.column(1)):
-                one = np.frombuffer(zlib.decompress(counts.as_py()), np.uint32).astype(np.uint64)
-                sums[seg] = sums[seg] + one if seg in sums else one
+                raw = zlib.decompress(counts.as_py())
+                n = len(raw) // 6
+                total = sums.setdefault(seg, np.zeros(part, np.uint64))
+                total[np.cumsum(np.frombuffer(raw, np.uint32, n))] += np.frombuffer(raw, np.uint16, n, 4 * n)
         for seg, total in sums.items():
             grade = np.minimum(255, np.ceil(4 * np.log2(1.0 + total))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([zlib.compress(grade.tobytes(), 1)], pa.binary())], ["seg", "counts"])
@@ -83,40 +101,39 @@ def _sketch(docs: DataFrame, text: str, k: int) -> bytes:
     schema = "seg int, counts binary"
     parts = docs.select(text).mapInArrow(count, schema).repartition("seg").mapInArrow(add, schema).collect()
     got = {r.seg: zlib.decompress(bytes(r.counts)) for r in parts}
-    return b"".join(got.get(i, bytes(part)) for i in range(SEGMENTS))
+    return b"".join(got.get(i, bytes(part)) for i in range(segments))
 
 
 def _prefixes(docs: DataFrame, id_: str, text: str, k: int, t: float) -> DataFrame:
-    """(id, fp, n, keys): the fingerprint and size of the shingle set and the keys to be indexed. Texts of under k words give no row.
+    """(id, fp, n, keys): the fingerprint and size of the shingle set and the (key, place) to be indexed. Texts of under k words give no row.
 
     A key that occurs once in the corpus (the sketch never counts too few) cannot be shared and is left out.
     """
     grades = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text, k))
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grade_of = np.frombuffer(grades.value, np.uint8)
         for b in batches:
-            h, doc = shingle_sets(b.column(1).to_pylist(), k)
+            h, doc, grade = shingle_sets(b.column(1).to_pylist(), k, grade_of)
             if not len(h):
                 continue
-            grade = grade_of[(h & mask).astype(np.int64)]
-            order = np.lexsort((h, grade, doc))
             starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             n = np.diff(np.r_[starts, len(doc)])
-            which = doc[starts]
             fp = (np.add.reduceat(_mix(h ^ np.uint64(0xA0761D6478BD642F)), starts)).view(np.int64)
             place = np.arange(len(doc)) - np.repeat(starts, n)
-            length = n - np.ceil(t * n - 1e-9).astype(np.int64) + MATCHES
-            keep = (place < np.repeat(length, n)) & (grade[order] > 4)
-            kept = h[order][keep].view(np.int64)
-            sizes = np.add.reduceat(keep.astype(np.int64), starts)
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), pa.array(fp), pa.array(n.astype(np.int32)), keys], ["id", "fp", "n", "keys"])
+            keep = (place < np.repeat(_length(n, t), n)) & (grade > 4)
+            offsets = pa.array(np.r_[0, np.cumsum(np.add.reduceat(keep.astype(np.int64), starts))].astype(np.int32))
+            keys = pa.ListArray.from_arrays(offsets, pa.array(h[keep].view(np.int64)))
+            places = pa.ListArray.from_arrays(offsets, pa.array(place[keep].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[starts])), pa.array(fp), pa.array(n.astype(np.int32)), keys, places], ["id", "fp", "n", "keys", "places"])
 
     kind = docs.schema[id_].dataType.simpleString()
-    return docs.select(F.col(id_).alias("id"), text).mapInArrow(run, f"id {kind}, fp long, n int, keys array<long>")
+    return docs.select(F.col(id_).alias("id"), text).mapInArrow(run, f"id {kind}, fp long, n int, keys array<long>, places array<int>")
+
+
+def _length(n: np.ndarray, t: float) -> np.ndarray:
+    """Places that are indexed of a set of n."""
+    return n - np.ceil(t * n - 1e-9).astype(np.int64) + MATCHES
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -124,7 +141,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, doc = shingle_sets(b.column(1).to_pylist(), k)
+            h, doc, _ = shingle_sets(b.column(1).to_pylist(), k)
             offsets = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))], ["fp", "items"])
 
@@ -141,12 +158,19 @@ def class_pairs(docs: DataFrame, id_: str, text: str, k: int = 5, t: float = 0.8
     docs = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"))
     index = materialise(_prefixes(docs, "id", "text", k, t))
     members = index.select("id", "fp")
-    keys = index.select("fp", "n", F.explode("keys").alias("key")).repartition("key").dropDuplicates(["key", "fp"])
-    a, b = keys.toDF("a", "na", "key"), keys.toDF("b", "nb", "key")
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9)
-    needed = F.least(F.lit(MATCHES), F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9))
-    tally = a.join(b, "key").filter(near).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= needed)
-    pairs = materialise(tally.select("a", "b", "na", "nb"))
+    # n and place travel in one long: the largest of a pair's rows tells n and its last shared place
+    at = (F.col("n").cast("long") * (1 << 31) + F.col("z.places")).alias("at")
+    keys = index.select("fp", "n", F.explode(F.arrays_zip("keys", "places")).alias("z")).select("fp", F.col("z.keys").alias("key"), at)
+    keys = keys.repartition("key").dropDuplicates(["key", "fp"])
+    a, b = keys.toDF("a", "key", "pa"), keys.toDF("b", "key", "pb")
+    na, nb = F.floor(F.col("pa") / (1 << 31)), F.floor(F.col("pb") / (1 << 31))
+    near = (F.col("a") < F.col("b")) & (F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9)
+    tally = a.join(b, "key").filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    needed = F.ceil((na + nb) * (t / (1 + t)) - 1e-9)
+    after = F.least(na - F.col("pa") % (1 << 31), nb - F.col("pb") % (1 << 31)) - 1
+    outside = F.greatest(F.ceil(na * t - 1e-9), F.ceil(nb * t - 1e-9)) - MATCHES
+    possible = F.col("shared") + F.greatest(F.lit(0), F.least(after, outside))
+    pairs = materialise(tally.filter((possible >= needed) & (F.col("shared") >= F.least(F.lit(MATCHES), needed))).select("a", "b"))
     wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("fp")
     reps = members.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
     # rows that share an id but not the text give sets of other fingerprints too; those of the wanted class are kept
