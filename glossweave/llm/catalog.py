@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from ..sources.tables import table
-from . import canonical, charforms, mixing, neardup, packing, rankfusion, tokens
+from . import canonical, charforms, mixing, neardup, packing, rankfusion, tokens, variants
 from . import sentences as sent
 
 SCORES = ["score", "doc_sim_score", "candidate_score", "inlinks"]
@@ -38,6 +38,17 @@ def p6_normalized(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("tbl", "doc_id", "row_no", "normal")
 
 
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling of a person or organisation with the entity it stands for."""
+    e = table(spark, d, "entities").select("name", F.col("entity_type").alias("kind"))
+    b = table(spark, d, "best_mentions").select(F.col("best_mention").alias("name"), F.col("target.entity_type").alias("kind"))
+    return variants.resolve(e.union(b), "name", "kind")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.pairs(materialise(p2_entities(spark, d)))
+
+
 def p4_mapped(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct hand-typed text with the entry meant and its score; null id: none."""
     typed = table(spark, d, "links").filter("id is null").select("text")
@@ -104,7 +115,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_fused, p4_found, p4_mapped, p5_found, p5_groups, p6_found, p6_normalized, p7_found, p7_documents, p7_rows, p8_packed, p8_fill, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_fused, p4_found, p4_mapped, p5_found, p5_groups, p6_found, p6_normalized, p7_found, p7_documents, p7_rows, p8_packed, p8_fill, p9_mix, p9_shares)}
 
 
 _FUSED = """
