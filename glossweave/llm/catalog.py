@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from ..sources.tables import table
-from . import canonical, charforms, mixing, neardup, packing, rankfusion, tokens, variants
+from . import canonical, charforms, mixing, neardup, packing, pii, rankfusion, tokens, variants
 from . import sentences as sent
 
 SCORES = ["score", "doc_sim_score", "candidate_score", "inlinks"]
@@ -114,8 +114,21 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sizes(spark, d), "doc_id", "source", "tokens", table(spark, d, "mix_targets"))[1]
 
 
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    """All spans with the probability the span classifier gives them."""
+    return pii.spans(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "entities"), ["text", "name"], "entity_type")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_spans(spark, d).select("doc_id", "kind", "start_pos", "end_pos").distinct()
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(table(spark, d, "documents"), "doc_id", "text", p10_spans(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_fused, p4_found, p4_mapped, p5_found, p5_groups, p6_found, p6_normalized, p7_found, p7_documents, p7_rows, p8_packed, p8_fill, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_fused, p4_found, p4_mapped, p5_found, p5_groups, p6_found, p6_normalized, p7_found, p7_documents, p7_rows, p8_packed, p8_fill, p9_mix, p9_shares, p10_found, p10_spans, p10_masked)}
 
 
 _FUSED = """
