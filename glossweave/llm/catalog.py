@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from ..sources.tables import table
-from . import canonical, charforms, mixing, neardup, packing, pii, rankfusion, tokens, variants
+from . import canonical, charforms, markup, mixing, neardup, packing, pii, rankfusion, tokens, variants
 from . import sentences as sent
 
 SCORES = ["score", "doc_sim_score", "candidate_score", "inlinks"]
@@ -38,6 +38,24 @@ def p6_normalized(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("tbl", "doc_id", "row_no", "normal")
 
 
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    a = docs.select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), F.lit(-1).alias("line_no"), "text")
+    b = table(spark, d, "doc_lines").select(F.lit("doc_lines").alias("tbl"), F.col("doc_id").alias("rec_id"), "line_no", F.col("line").alias("text"))
+    keep = ["tbl", "rec_id", "line_no"]
+    of_docs = markup.residue(a, "text", keep, fit_on=docs)
+    return of_docs.unionByName(markup.residue(b, "text", keep, fit_on=docs, frames=True))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _residue(spark, d).filter("pieces > 0").select("tbl", "rec_id", "line_no").distinct()
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents and lines as clean text."""
+    return _residue(spark, d)
+
+
 def p2_entities(spark: SparkSession, d: str) -> DataFrame:
     """Every spelling of a person or organisation with the entity it stands for."""
     e = table(spark, d, "entities").select("name", F.col("entity_type").alias("kind"))
@@ -128,7 +146,7 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_fused, p4_found, p4_mapped, p5_found, p5_groups, p6_found, p6_normalized, p7_found, p7_documents, p7_rows, p8_packed, p8_fill, p9_mix, p9_shares, p10_found, p10_spans, p10_masked)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_entities, p3_found, p3_fused, p4_found, p4_mapped, p5_found, p5_groups, p6_found, p6_normalized, p7_found, p7_documents, p7_rows, p8_packed, p8_fill, p9_mix, p9_shares, p10_found, p10_spans, p10_masked)}
 
 
 _FUSED = """
