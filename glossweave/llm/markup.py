@@ -79,7 +79,9 @@ PIECES: list[tuple[str, str]] = [
     ("other", r"[`~\\$#=]{1,3}"),
 ]
 KIND = {k: i for i, (k, _) in enumerate(PIECES)}
-SCAN = re.compile("|".join(f"({p})" for _, p in PIECES))
+#: What a piece can begin with; at any other place no pattern is tried.
+BEGIN = r"(?=[<>&*_`\[\]{}\\$#=|~^'!/-]|[ \t:][ \t=|!#`~:<{-]|[A-Za-z]:\\)"
+SCAN = re.compile(BEGIN + "(?:" + "|".join(f"({p})" for _, p in PIECES) + ")")
 SUSPECT = re.compile(r"[<>&*_`\[\]{}\\$#=|~^]|''")
 CODE_LINE = re.compile(r"^\s*(?:[}{)]+;?|(?:for|if|while|def|return|else|elif|class|import|from|SELECT|INSERT|UPDATE|WHERE|FROM|var|let|const|int|print)\b.*[(){}:;=*].*|\w[\w.\[\]'\"]*\s*(?:\+=|-=|=|:=)\s.*|.*[;{]\s*)\s*$")
 #: Plain signs: inside a formula, say, they belong to it and are content.
