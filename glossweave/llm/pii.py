@@ -32,8 +32,9 @@ _S = r"[\s­​-‍⁠﻿]"
 _A = r"(?:(?![؀-ۿऀ-໿぀-ヿ一-鿿＀-／：-＠])[\w.+\-­​-‍⁠﻿])"
 _AT = rf"(?:{_S}?[\[(]{_S}?at{_S}?[\])]{_S}?|@)"
 _DOT = rf"(?:{_S}?[\[(]{_S}?dot{_S}?[\])]{_S}?|{_S}dot{_S}|\.)"
-EMAIL = re.compile(rf"{_A}+{_AT}(?:(?![.]){_A})+?(?:{_DOT}[^\W_][\w-]*)+|[A-Za-z0-9_+-]+(?:{_S}dot{_S}[A-Za-z0-9_+-]+)*{_S}at{_S}[A-Za-z0-9-]+(?:{_S}dot{_S}[A-Za-z0-9-]+)+(?![\w-])(?!{_S}at{_S}[\w-]+{_S}dot)", re.I)
-EMAIL_HINT = re.compile(r"@|[\[(]\s?at\s?[\])]|\bat\b[^.]{1,40}\bdot\b", re.I)
+EMAIL = re.compile(rf"{_A}+{_AT}(?:(?![.]){_A})+?(?:{_DOT}[^\W_][\w-]*)+", re.I)
+SPELLED = re.compile(rf"[A-Za-z0-9_+-]+(?:{_S}dot{_S}[A-Za-z0-9_+-]+)*{_S}at{_S}[A-Za-z0-9-]+(?:{_S}dot{_S}[A-Za-z0-9-]+)+(?![\w-])(?!{_S}at{_S}[\w-]+{_S}dot)", re.I)
+EMAIL_HINT = re.compile(r"@|[\[(]\s?at\s?[\])]", re.I)
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"\])|]+")
 PHONE = re.compile(rf"(?<![\w.,/$€£-])(?:\+\d{{1,3}}[\s.-]?)?(?:\(\d{{1,4}}\)[\s.-]?)?\d{{1,5}}(?:[\s.-]\d{{2,5}}){{1,4}}(?:\s?(?:ext\.?|x|extension)\s?\d{{1,5}})?(?![\w/]|[.,-]\d)")
 PHONE_SHAPE = re.compile(r"\+\d{1,3}[\s.-]\d{1,4}(?:[\s.-]\d{2,5}){1,3}$|\(\d{3}\)[\s.-]?\d{3}[\s.-]\d{4}$|(?:1[\s.-])?\d{3}([\s.-])\d{3}\1\d{4}$|0\d{1,3}(?:\s\d{2,5}){2,4}$")
@@ -178,8 +179,11 @@ def find(text: str, code_of: dict[str, str]) -> list[tuple[str, int, int, int]]:
     urls = [m.span() for m in URL.finditer(text)] if "://" in text or "www." in text else []
     taken = list(urls)
     inside = lambda a, b, spans: any(x <= a and b <= y for x, y in spans)
-    if EMAIL_HINT.search(text):
-        for m in EMAIL.finditer(text):
+    marked = list(EMAIL.finditer(text)) if EMAIL_HINT.search(text) else []
+    if "dot" in text or "DOT" in text or "Dot" in text:
+        marked += [m for m in SPELLED.finditer(text) if not any(m.start() < x.end() and x.start() < m.end() for x in marked)]
+    if marked:
+        for m in marked:
             a, b = m.span()
             s = m.group()
             lead = len(s) - len(s.lstrip(".-+"))
