@@ -74,10 +74,8 @@ def organisation_prefix(e: DataFrame) -> DataFrame:
     return _winner(t.join(c, ["doc_id", "key"]).filter(F.length("best_name") > F.col("k_len")))
 
 
-def organisation_acronym(e: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """An acronym (all upper case, or in brackets in the text of ``docs``) to the nearest organisation whose last capitalised words have
-    its letters as initials; what stands before those words in the name is cut off."""
-    o = e.filter("entity_type = 'ORGANIZATION'")
+def _initials(o: DataFrame) -> DataFrame:
+    """(doc_id, key, c_no, best_offset, best_name): the initials of the last k capitalised words of each name, for every k."""
     capital = F.filter("name_words", lambda w: w.rlike(r"^\p{Lu}"))
     starts = F.transform(capital, lambda w: F.substring(w, 1, 1))
     initials = F.array_join(starts, "")
@@ -87,6 +85,19 @@ def organisation_acronym(e: DataFrame, docs: DataFrame | None = None) -> DataFra
     at = F.filter(F.sequence(F.lit(1), F.size("name_words")), lambda i: F.element_at("name_words", i) == F.col("t.head"))
     c = c.select("doc_id", F.col("t.key").alias("key"), "c_no", "best_offset", "name_words", F.explode(at).alias("i"))
     c = c.select("doc_id", "key", "c_no", "best_offset", F.array_join(F.slice("name_words", F.col("i"), F.size("name_words")), " ").alias("best_name"))
+    return c
+
+
+def acronym_of(targets: DataFrame, o: DataFrame) -> DataFrame:
+    """The nearest organisation that each ``target`` abbreviates."""
+    return _winner(_targets(targets).join(_initials(o), ["doc_id", "key"]))
+
+
+def organisation_acronym(e: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """An acronym (all upper case, or in brackets in the text of ``docs``) to the nearest organisation whose last capitalised words have
+    its letters as initials; what stands before those words in the name is cut off."""
+    o = e.filter("entity_type = 'ORGANIZATION'")
+    c = _initials(o)
     t = _targets(o)
     upper = t.filter(F.col("key").rlike(r"^\p{Lu}+$"))
     if docs is not None:

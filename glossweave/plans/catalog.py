@@ -1,15 +1,485 @@
-"""The engine's queries by name, over the tables of a data folder, and the SQL with the same result."""
+"""The engine's queries by name, over the tables of a data folder, and the SQL with the same result.
+
+The tables that stand for the inputs: ``doc_lines`` raw lines (each document a file), ``documents`` texts, ``entities`` tagged
+mentions, ``links`` linker candidates, ``best_mentions`` resolved mentions with clusters, ``gazetteer`` and ``kb_entities``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.fixed import ASCII_FROM, ASCII_TO, PERSONAL, PRONOUNS
+from ..functions.text import asciify, link_entity_type, location_casing, tsv_clean, usable_sentence
+from ..operators import coref, evaluate, gazetteer, ingest, resolve, spans
+from ..sources.tables import table
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# ---- ingestion ---------------------------------------------------------------------------------------------------------------
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\r\n]*(\r\n|\n|\r)|[^\r\n]+$')) AS line, generate_subscripts(regexp_extract_all(text, '[^\r\n]*(\r\n|\n|\r)|[^\r\n]+$'), 1) - 1 AS line_no FROM documents)
+SELECT doc_id, CAST(line_no AS INT) AS line_no, md5(line) AS line_hash, CAST(coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start_offset FROM l""")
+def line_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.split_lines(table(spark, d, "documents"), "text", ["doc_id"]).select("doc_id", "line_no", F.md5("line").alias("line_hash"), "start_offset")
+
+
+_DOCS = r"""
+raw AS (SELECT doc_id AS path, line_no, any_value(line) AS line FROM doc_lines GROUP BY ALL),
+docs AS (SELECT *, CAST(coalesce(sum(CAST(regexp_full_match(line, '\s*(</DOC>|</doc>)\s*') AS INT)) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS doc_ord FROM raw),
+offs AS (SELECT *, CAST(coalesce(sum(length(line)) OVER (PARTITION BY path, doc_ord ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS doc_offset FROM docs)
+"""
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.split_documents(table(spark, d, "doc_lines"), "doc_id")
+
+
+@query(f"WITH {_DOCS} SELECT path, line_no, doc_ord, doc_offset FROM offs")
+def doc_split(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("path", "line_no", "doc_ord", "doc_offset")
+
+
+@query(f"WITH {_DOCS} SELECT path, doc_ord, md5(string_agg(line, '' ORDER BY line_no)) AS text_hash FROM offs GROUP BY ALL")
+def doc_text(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.document_texts(_docs(spark, d)).select("path", "doc_ord", F.md5("text").alias("text_hash"))
+
+
+_HEADS = _DOCS + r""",
+h AS (SELECT path, doc_ord, min_by(line, line_no) FILTER (starts_with(line, '<DOCID>')) AS web, min_by(line, line_no) FILTER (regexp_matches(line, '^<DOC\s+id=')) AS news, min_by(line, line_no) FILTER (starts_with(line, '<doc id')) AS forum,
+    min_by(line, line_no) FILTER (starts_with(line, '<POSTER>')) AS poster, min_by(doc_offset, line_no) FILTER (starts_with(line, '<POSTER>')) AS p_off,
+    min_by(line, line_no) FILTER (starts_with(line, '<DATETIME>')) AS dated, min_by(doc_offset, line_no) FILTER (starts_with(line, '<DATETIME>')) AS d_off FROM offs GROUP BY ALL),
+h2 AS (SELECT *, CASE WHEN web IS NOT NULL THEN 'web' WHEN news IS NOT NULL THEN 'news' WHEN forum IS NOT NULL THEN 'forum' END AS corpus, coalesce(web, news, forum) AS idl,
+    regexp_replace(regexp_extract(substr(poster, 10), '^[^&<\n]*'), '\s+$', '') AS shown, regexp_extract(substr(dated, 12), '^[^<]*') AS dt FROM h),
+h3 AS (SELECT *, regexp_matches(shown, '^"[^"]+"$') AS quoted FROM h2),
+h4 AS (SELECT *, CASE WHEN quoted THEN substr(shown, 2, length(shown) - 2) ELSE shown END AS nm, CASE WHEN quoted THEN 10 ELSE 9 END AS st FROM h3),
+heads AS (SELECT path, doc_ord, corpus, CASE WHEN starts_with(idl, '<DOCID>') THEN regexp_extract(substr(idl, 9), '^[^ ]*') WHEN idl IS NOT NULL THEN regexp_extract(substr(idl, 10), '^[^"]*') END AS doc_id,
+    CASE WHEN corpus = 'web' AND st - 24 + p_off >= 0 AND st + length(nm) + 1 <= length(poster) THEN 'This post was written by ' || nm || '.' END AS author,
+    CASE WHEN corpus = 'web' AND st - 24 - 1 + p_off >= 0 AND st + length(nm) + 1 <= length(poster) THEN CAST(st - 25 + p_off AS INT) END AS author_offset,
+    CASE WHEN corpus = 'web' AND 11 - 25 + d_off >= 0 AND 11 + length(dt) + 1 <= length(dated) THEN 'This post was written on ' || dt || '.' END AS written,
+    CASE WHEN corpus = 'web' AND 11 - 25 + d_off >= 0 AND 11 + length(dt) + 1 <= length(dated) THEN CAST(11 - 25 + d_off AS INT) END AS written_offset FROM h4)
+"""
+
+
+@query(f"WITH {_HEADS} SELECT * FROM heads")
+def header_fields(spark: SparkSession, d: str) -> DataFrame:
+    h = ingest.headers(_docs(spark, d))
+    return h.select("path", "doc_ord", "corpus", "doc_id", F.col("author.text").alias("author"), F.col("author.start_offset").alias("author_offset"), F.col("written.text").alias("written"), F.col("written.start_offset").alias("written_offset"))
+
+
+_PARS = r""",
+body AS (SELECT path, doc_ord, line_no, doc_offset, CASE WHEN starts_with(line, '<') THEN chr(10) ELSE line END AS line FROM offs),
+isl AS (SELECT *, regexp_full_match(line, '[\x00-\x20]*') AS blank, sum(CAST(regexp_full_match(line, '[\x00-\x20]*') AS INT)) OVER (PARTITION BY path, doc_ord ORDER BY line_no) AS island FROM body),
+runs AS (SELECT path, doc_ord, island, min(doc_offset) AS start_offset, string_agg(line, '' ORDER BY line_no) AS text FROM isl WHERE NOT blank GROUP BY ALL),
+pars AS (SELECT path, doc_ord, CAST(row_number() OVER (PARTITION BY path, doc_ord ORDER BY start_offset) - 1 AS INT) AS par_no, start_offset, text FROM runs)
+"""
+
+
+@query(f"WITH {_DOCS} {_PARS} SELECT path, doc_ord, par_no, start_offset, md5(text) AS text_hash FROM pars")
+def paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.paragraphs(_docs(spark, d)).select("path", "doc_ord", "par_no", "start_offset", F.md5("text").alias("text_hash"))
+
+
+_SENTS = _PARS + r""",
+cut AS (SELECT path, doc_ord, par_no, start_offset AS par_offset, string_split(regexp_replace(text, '([.!?][\t\n\x0b\f\r ])', '\1' || chr(57344), 'g'), chr(57344)) AS parts FROM pars),
+seg AS (SELECT path, doc_ord, par_no, par_offset, unnest(parts) AS text, generate_subscripts(parts, 1) AS seg_no FROM cut),
+seg2 AS (SELECT *, par_offset + coalesce(sum(length(text)) OVER (PARTITION BY path, doc_ord, par_no ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_offset FROM seg),
+every AS (SELECT path, doc_ord, 0 AS k, author_offset AS start_offset, author AS text FROM heads WHERE author IS NOT NULL AND author_offset IS NOT NULL AND doc_id IS NOT NULL
+    UNION ALL SELECT path, doc_ord, 1, written_offset, written FROM heads WHERE written IS NOT NULL AND doc_id IS NOT NULL
+    UNION ALL SELECT path, doc_ord, 2, start_offset, text FROM seg2 SEMI JOIN (SELECT * FROM heads WHERE doc_id IS NOT NULL) USING (path, doc_ord) WHERE text <> ''),
+sents AS (SELECT path, doc_ord, CAST(row_number() OVER (PARTITION BY path, doc_ord ORDER BY k, start_offset) - 1 AS INT) AS sent_num, CAST(start_offset AS INT) AS start_offset, translate(text, chr(10) || chr(9), '  ') AS text FROM every)
+"""
+
+
+@query(f"WITH {_HEADS} {_SENTS} SELECT path, doc_ord, sent_num, start_offset, text FROM sents")
+def sentence_numbering(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.process(table(spark, d, "doc_lines"), "doc_id", filtered=False)
+
+
+_ASCII = f"translate(text, {_q(ASCII_FROM)}, {_q(ASCII_TO)})"
+
+
+@query(f"SELECT doc_id, sent_num, {_ASCII} AS text FROM sentences WHERE length(text) <= 750 AND len(regexp_extract_all(text, '[\\t\\n\\x0b\\f\\r ]+')) >= 3")
+def sentence_filter(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.usable_sentences(table(spark, d, "sentences")).select("doc_id", "sent_num", "text")
+
+
+@query(f"SELECT doc_id, md5({_ASCII}) AS ascii_hash FROM documents")
+def asciify_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(asciify(F.col("text"))).alias("ascii_hash"))
+
+
+@query("SELECT doc_id || chr(9) || CAST(sent_num AS VARCHAR) || chr(9) || CAST(start_offset AS VARCHAR) || chr(9) || replace(text, chr(9), '') AS line FROM sentences WHERE text IS NOT NULL")
+def sentence_tsv(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.files import sentence_lines
+
+    return sentence_lines(table(spark, d, "sentences").filter("text is not null"))
+
+
+@query(f"WITH {_DOCS} SELECT path, line_no, '(' || lpad(CAST(doc_offset AS VARCHAR), CAST(greatest(4, length(CAST(doc_offset AS VARCHAR))) AS INT), '0') || ') ' || line AS shown FROM offs")
+def debug_dump(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.text import debug_line
+
+    return _docs(spark, d).select("path", "line_no", debug_line(F.col("doc_offset"), F.col("line")).alias("shown"))
+
+
+@query("SELECT count(DISTINCT doc_id) AS documents, count(*) AS lines, (SELECT count(*) FROM sentences) AS sentences, (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM links) AS links FROM doc_lines")
+def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda t: table(spark, d, t).agg(F.count(F.lit(1)).alias(t))
+    lines = table(spark, d, "doc_lines").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("lines"))
+    for t in ("sentences", "entities", "links"):  # one row each
+        lines = lines.crossJoin(n(t))
+    return lines
+
+
+# ---- spans -------------------------------------------------------------------------------------------------------------------
+
+_SPANS = """
+s AS (SELECT DISTINCT doc_id, sent_num, start_offset AS a, start_offset + length(text) AS b FROM sentences WHERE text IS NOT NULL),
+e AS (SELECT DISTINCT doc_id, ent_no, start_offset AS a, start_offset + length(text) AS b, text FROM entities WHERE text IS NOT NULL),
+l AS (SELECT DISTINCT doc_id, start_offset AS a, start_offset + length(text) AS b FROM links WHERE start_offset IS NOT NULL AND text IS NOT NULL)
+"""
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sentences").filter("text is not null").select("doc_id", "sent_num", F.col("start_offset").alias("start"), (F.col("start_offset") + F.length("text")).alias("end")).distinct()
+
+
+def _entities(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return table(spark, d, "entities").filter("text is not null").select("doc_id", F.col("ent_no").alias(name), F.col("start_offset").alias("start"), (F.col("start_offset") + F.length("text")).alias("end")).distinct()
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "links").filter("start_offset is not null and text is not null")
+    return l.select("doc_id", F.col("start_offset").alias("start"), (F.col("start_offset") + F.length("text")).alias("end")).distinct().withColumn("inner_id", F.col("start"))
+
+
+@query(f"WITH {_SPANS} SELECT DISTINCT s.doc_id, s.sent_num AS outer_id, e.ent_no AS inner_id FROM s JOIN e ON s.doc_id = e.doc_id AND e.a >= s.a AND e.b <= s.b")
+def span_within(spark: SparkSession, d: str) -> DataFrame:
+    return spans.within(_sentences(spark, d).withColumnRenamed("sent_num", "outer_id"), _entities(spark, d, "inner_id")).distinct()
+
+
+@query(f"WITH {_SPANS} SELECT DISTINCT e.doc_id, e.ent_no AS outer_id, l.a AS inner_id FROM e JOIN l ON e.doc_id = l.doc_id AND l.a < e.b AND l.b > e.a")
+def span_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return spans.overlapping(_entities(spark, d, "outer_id"), _links(spark, d)).distinct()
+
+
+@query(f"WITH {_SPANS} SELECT DISTINCT e.doc_id, e.ent_no AS outer_id, l.a AS inner_id FROM e JOIN l ON e.doc_id = l.doc_id AND l.a = e.a AND l.b = e.b")
+def span_exact(spark: SparkSession, d: str) -> DataFrame:
+    return spans.equal(_entities(spark, d, "outer_id"), _links(spark, d)).distinct()
+
+
+@query(f"WITH {_SPANS} SELECT e.doc_id, e.ent_no AS inner_id, min(s.sent_num) AS sent_num FROM s JOIN e ON s.doc_id = e.doc_id AND e.a >= s.a AND e.b <= s.b GROUP BY ALL")
+def sentence_of_span(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sentence_of(_entities(spark, d, "inner_id"), _sentences(spark, d))
+
+
+@query(f"""WITH {_SPANS}, f AS (SELECT e.doc_id, e.ent_no, min(s.sent_num) AS sent_num FROM s JOIN e ON s.doc_id = e.doc_id AND e.a > s.a AND e.a < s.b GROUP BY ALL),
+e1 AS (SELECT DISTINCT doc_id, ent_no, a FROM e)
+SELECT e1.doc_id, e1.ent_no AS inner_id, f.sent_num, CASE WHEN f.sent_num IS NULL THEN regexp_replace(substr(d.text, greatest(0, e1.a - 40) + 1, 80), '[\\t\\n\\x0b\\f\\r ]', ' ', 'g') END AS context
+FROM e1 JOIN documents d ON d.ext_id = e1.doc_id LEFT JOIN f ON f.doc_id = e1.doc_id AND f.ent_no = e1.ent_no""")
+def sentence_context(spark: SparkSession, d: str) -> DataFrame:
+    e = _entities(spark, d, "inner_id")
+    s = spans.sentence_of(e, _sentences(spark, d), strict=True)
+    docs = table(spark, d, "documents").select(F.col("ext_id").alias("doc_id"), "text")
+    j = e.select("doc_id", "inner_id", "start").distinct().join(s, ["doc_id", "inner_id"], "left").join(docs, "doc_id")
+    return j.select("doc_id", "inner_id", "sent_num", F.when(F.col("sent_num").isNull(), spans.context(F.col("text"), F.col("start"))).alias("context"))
+
+
+@query()
+def greedy_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The links of each sentence that are left when overlapping ones are dropped."""
+    l = table(spark, d, "links").filter("start_offset is not null and text is not null").select("doc_id", F.col("start_offset").alias("start"), (F.col("start_offset") + F.length("text")).alias("end")).distinct().withColumn("inner_id", F.col("start"))
+    where = spans.sentence_of(l, _sentences(spark, d))
+    return spans.greedy(l.join(where, ["doc_id", "inner_id"]), ["doc_id", "sent_num"])
+
+
+# ---- gazetteer ---------------------------------------------------------------------------------------------------------------
+
+_GAZ = r"""
+gl AS (SELECT list_transform(regexp_extract_all(line, '([^()]+?) \((CITY|PROVINCE|COUNTRY)[^)]*\)\s*', 1), lambda x: trim(x)) AS n, regexp_extract_all(line, '([^()]+?) \((CITY|PROVINCE|COUNTRY)[^)]*\)\s*', 2) AS t FROM gazetteer),
+gx AS (SELECT n, t, len(n) AS k, unnest(range(1, len(n) + 1)) AS i FROM gl WHERE len(n) > 0),
+g AS (SELECT DISTINCT n[i] AS name, t[i] AS typ, n[i + 1] AS cont_name, t[i + 1] AS cont_typ FROM gx WHERE k = 1 OR i < k),
+gn AS (SELECT lower(name) AS lname, CAST(max(CAST(typ = 'CITY' AS INT)) AS INT) AS is_city, CAST(max(CAST(typ = 'PROVINCE' AS INT)) AS INT) AS is_province, CAST(max(CAST(typ = 'COUNTRY' AS INT)) AS INT) AS is_country FROM g GROUP BY ALL),
+holds AS (SELECT DISTINCT lower(cont_name) AS container, lower(name) AS contained FROM g WHERE typ = 'CITY' AND cont_typ IN ('PROVINCE', 'COUNTRY') AND lower(name) IN (SELECT lname FROM gn WHERE is_city = 1)
+    AND lower(cont_name) IN (SELECT lname FROM gn WHERE is_province = 1 OR is_country = 1))
+"""
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    return gazetteer.places(table(spark, d, "gazetteer"))
+
+
+@query(f"WITH {_GAZ} SELECT * FROM g")
+def gazetteer_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _places(spark, d)
+
+
+@query(f"WITH {_GAZ} SELECT * FROM holds")
+def containment(spark: SparkSession, d: str) -> DataFrame:
+    return gazetteer.containment(_places(spark, d))
+
+
+@query(f"WITH {_GAZ}, c AS (SELECT lower(name) AS lname, count(*) AS places FROM g GROUP BY ALL) SELECT gn.*, places FROM gn JOIN c USING (lname)")
+def location_ambiguity(spark: SparkSession, d: str) -> DataFrame:
+    g = _places(spark, d)
+    return gazetteer.names(g).join(gazetteer.total_count(g), "lname")
+
+
+@query(f"""WITH {_GAZ} SELECT g.name, g.cont_name, CAST(coalesce(a.is_city * b.is_city, 0) + coalesce(a.is_province * b.is_province, 0) + coalesce(a.is_country * b.is_country, 0) AS DOUBLE) AS type_similarity
+FROM g LEFT JOIN gn a ON a.lname = lower(name) LEFT JOIN gn b ON b.lname = lower(cont_name) WHERE cont_name IS NOT NULL""")
+def location_type_similarity(spark: SparkSession, d: str) -> DataFrame:
+    g = _places(spark, d)
+    return gazetteer.type_similarity(g.filter("cont_name is not null"), "name", "cont_name", g).select("name", "cont_name", "type_similarity")
+
+
+@query("""SELECT DISTINCT name, array_to_string(list_transform(string_split(name, ' '), lambda w: CASE WHEN contains(w, '.') THEN w ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), ' ') AS cased FROM kb_entities""")
+def location_cased(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "kb_entities").select("name", location_casing(F.col("name")).alias("cased")).distinct()
+
+
+@query()
+def abbreviation_expand(spark: SparkSession, d: str) -> DataFrame:
+    """Every 'City, Province' of the gazetteer with the province cut to its first four letters, expanded again."""
+    g = _places(spark, d)
+    short = g.filter("typ = 'CITY' and cont_typ = 'PROVINCE'").select("name", "cont_name", F.concat(F.col("name"), F.lit(", "), F.substring("cont_name", 1, 4), F.lit(".")).alias("short")).distinct()
+    return gazetteer.expand_locations(short, "short", g)
+
+
+@query("""WITH t AS (SELECT '<entity wiki_title="' || wiki_title || '" type="' || typ || '" id="' || id || '" name="' || name || '">' AS line FROM kb_entities)
+SELECT regexp_extract(line, 'id="([^"]*)"', 1) AS id, regexp_extract(line, 'name="([^"]*)"', 1) AS name, regexp_extract(line, ' type="([^"]*)"', 1) AS typ FROM t""")
+def kb_mapping(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.files import kb_entities
+
+    tag = F.concat(F.lit('<entity wiki_title="'), "wiki_title", F.lit('" type="'), "typ", F.lit('" id="'), "id", F.lit('" name="'), "name", F.lit('">'))
+    return kb_entities(table(spark, d, "kb_entities").select(tag.alias("line")))
+
+
+# ---- resolution --------------------------------------------------------------------------------------------------------------
+
+_ENT = r"""
+e AS (SELECT DISTINCT doc_id, ent_no, text, start_offset, name, entity_type, regexp_replace(text, '[\t\n\x0b\f\r ]+', ' ', 'g') AS target, string_split(regexp_replace(name, ' +$', ''), ' ') AS w FROM entities WHERE text IS NOT NULL AND name IS NOT NULL),
+tw AS (SELECT *, len(string_split(regexp_replace(target, ' +$', ''), ' ')) AS k FROM e)
+"""
+_AFFIX = """len(c.w) > t.k AND (array_to_string(c.w[:t.k], ' ') = t.target OR array_to_string(c.w[len(c.w) - t.k + 1:], ' ') = t.target)"""
+
+
+def _pick(sql_from: str, near: bool = True) -> str:
+    far = "abs(c.start_offset - t.start_offset)" if near else "0"
+    return f"""SELECT t.doc_id, t.ent_no, arg_min(c.name, row(({far}), c.ent_no, c.name, c.start_offset)) AS best_name, arg_min(c.start_offset, row(({far}), c.ent_no, c.name, c.start_offset)) AS best_offset,
+        1.0::DOUBLE / count(DISTINCT c.name) AS candidate_count {sql_from} GROUP BY t.doc_id, t.ent_no"""
+
+
+def _ents(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.entities(table(spark, d, "entities"))
+
+
+@query(f"WITH {_ENT} {_pick(f'''FROM tw t JOIN e c ON c.doc_id = t.doc_id AND c.entity_type = 'PERSON' AND len(c.w) < 4 AND {_AFFIX} WHERE t.entity_type = 'PERSON' ''')}")
+def person_best(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.person_affix(_ents(spark, d))
+
+
+@query(f"""WITH {_ENT} {_pick(f'''FROM tw t JOIN e c ON c.doc_id = t.doc_id AND c.entity_type = 'ORGANIZATION' AND {_AFFIX} WHERE t.entity_type = 'ORGANIZATION'
+AND NOT EXISTS (SELECT 1 FROM e p WHERE p.doc_id = t.doc_id AND p.entity_type = 'LOCATION' AND contains(p.name, t.target))''', near=False)}""")
+def org_affix(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.organisation_affix(_ents(spark, d))
+
+
+@query(f"""WITH {_ENT} {_pick('''FROM tw t JOIN e c ON c.doc_id = t.doc_id AND c.entity_type = 'ORGANIZATION' AND len(c.w) = 1 AND length(c.name) > length(t.target)
+AND starts_with(lower(c.name), lower(t.target)) WHERE t.entity_type = 'ORGANIZATION' ''')}""")
+def org_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.organisation_prefix(_ents(spark, d))
+
+
+@query(r"""WITH """ + _ENT + r""", made AS (SELECT doc_id, ent_no, start_offset, name, w, array_to_string(list_transform(list_filter(w, lambda x: regexp_matches(x, '^\p{Lu}')), lambda x: x[1]), '') AS ini, list_filter(w, lambda x: regexp_matches(x, '^\p{Lu}')) AS caps FROM e WHERE entity_type = 'ORGANIZATION'),
+t AS (SELECT doc_id, ent_no, start_offset, ini AS target FROM made WHERE length(ini) > 1),
+c AS (SELECT m.doc_id, m.ent_no, m.start_offset, t.ent_no AS for_no, t.start_offset AS t_off, array_to_string(m.w[i:], ' ') AS name FROM t JOIN made m ON m.doc_id = t.doc_id AND len(m.caps) >= length(t.target) AND right(m.ini, length(t.target)) = t.target,
+    unnest(range(1, len(m.w) + 1)) AS u(i) WHERE m.w[i] = m.caps[len(m.caps) - length(t.target) + 1])
+SELECT doc_id, for_no AS ent_no, arg_min(name, row(abs(start_offset - t_off), ent_no, name, start_offset)) AS best_name, arg_min(start_offset, row(abs(start_offset - t_off), ent_no, name, start_offset)) AS best_offset, 1.0::DOUBLE / count(DISTINCT name) AS candidate_count FROM c GROUP BY doc_id, for_no""")
+def org_acronym(spark: SparkSession, d: str) -> DataFrame:
+    """Acronyms made of the initials of each organisation, resolved again."""
+    e = _ents(spark, d).filter("entity_type = 'ORGANIZATION'")
+    initials = F.array_join(F.transform(F.filter("name_words", lambda w: w.rlike(r"^\p{Lu}")), lambda w: F.substring(w, 1, 1)), "")
+    made = e.withColumn("target", initials).filter(F.length("target") > 1)
+    shown = made.withColumn("entity_type", F.lit("ORGANIZATION"))
+    return resolve.acronym_of(shown, e)
+
+
+@query(f"""WITH {_GAZ}, {_ENT} SELECT t.doc_id, t.ent_no, arg_min(c.name, row(abs(c.start_offset - t.start_offset), c.ent_no, c.name, c.start_offset)) AS container_name,
+arg_min(c.start_offset, row(abs(c.start_offset - t.start_offset), c.ent_no, c.name, c.start_offset)) AS best_offset, 1.0::DOUBLE / count(DISTINCT c.name) AS candidate_count
+FROM tw t JOIN holds h ON h.contained = lower(t.target) JOIN e c ON c.doc_id = t.doc_id AND c.entity_type = 'LOCATION' AND lower(c.name) = h.container AND c.name <> t.target AND c.name <> 'United States' WHERE t.entity_type = 'LOCATION' GROUP BY ALL""")
+def loc_container(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.location_container(_ents(spark, d), _places(spark, d))
+
+
+@query()
+def loc_in_text(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.location_in_text(_ents(spark, d), table(spark, d, "documents"), _places(spark, d))
+
+
+@query()
+def person_in_text(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.person_in_text(_ents(spark, d), table(spark, d, "documents"))
+
+
+@query()
+def resolved_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Every entity with its best mention, by all rules."""
+    return resolve.resolve(table(spark, d, "entities"), table(spark, d, "documents"), _places(spark, d))
+
+
+@query("SELECT doc_id, bem_index, kind, best_mention FROM best_mentions WHERE kind <> 'Identity' AND best_mention <> target.text")
+def non_trivial(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "best_mentions").withColumn("text", F.col("target.text"))
+    return resolve.non_trivial(b).select("doc_id", "bem_index", "kind", "best_mention")
+
+
+_RUNS = r"""
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sent_num FROM documents),
+tk AS (SELECT doc_id, sent_num, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) - 1 AS tok_no FROM ln),
+tg AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, sent_num ORDER BY tok_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM tk),
+pn AS (SELECT *, tok_no - row_number() OVER (PARTITION BY doc_id, sent_num ORDER BY tok_no) AS island FROM tg WHERE regexp_full_match(text, '[A-Z][a-z]+'))
+SELECT doc_id, CAST(sent_num AS INT) AS sent_num, string_agg(text, ' ' ORDER BY tok_no) AS name, CAST(min(b) AS INT) AS start_offset, CAST(max(b + length(text)) AS INT) AS "end", 'PERSON' AS entity_type FROM pn GROUP BY doc_id, sent_num, island
+"""
+
+
+@query(f"WITH {_RUNS}")
+def entity_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of capitalised words, tagged by a rule that stands in for an entity tagger; offsets in the line."""
+    from ..functions.annotators import capitalised_tokens
+
+    return resolve.entity_runs(capitalised_tokens(table(spark, d, "documents"), "doc_id", "text"))
+
+
+# ---- coreference and links ---------------------------------------------------------------------------------------------------
+
+_PRON = ", ".join(_q(p) for p in PRONOUNS)
+_PERS = ", ".join(_q(p) for p in PERSONAL)
+_MEN = "m AS (SELECT DISTINCT doc_id, cluster_id, target.start_offset AS start_offset, target.text AS text FROM best_mentions WHERE cluster_id IS NOT NULL)"
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "best_mentions").filter("cluster_id is not null").select("doc_id", "cluster_id", "target.start_offset", "target.text").distinct()
+
+
+@query(f"WITH {_MEN} SELECT doc_id, start_offset, text, max(cluster_id) AS cluster_id FROM m GROUP BY ALL")
+def mention_cluster(spark: SparkSession, d: str) -> DataFrame:
+    return coref.cluster_of(_mentions(spark, d))
+
+
+_LT = """CASE WHEN len(list_filter(coalesce(types, []), lambda t: regexp_matches(t, 'location'))) > 0 THEN 'LOCATION' WHEN len(list_filter(coalesce(types, []), lambda t: regexp_matches(t, 'organization'))) > 0 THEN 'ORGANIZATION'
+WHEN len(list_filter(coalesce(types, []), lambda t: regexp_matches(t, 'people|person'))) > 0 THEN 'PERSON' ELSE 'OTHER' END"""
+_CL = f"""cl AS (SELECT m.doc_id, m.cluster_id, id, arg_min(name, row(l.start_offset, name, {_LT})) AS name, arg_min({_LT}, row(l.start_offset, name, {_LT})) AS entity_type
+FROM (SELECT DISTINCT doc_id, cluster_id, start_offset FROM m) m JOIN links l ON l.doc_id = m.doc_id AND l.start_offset = m.start_offset WHERE id IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {_MEN}, {_CL} SELECT * FROM cl")
+def cluster_links(spark: SparkSession, d: str) -> DataFrame:
+    return coref.links_of(_mentions(spark, d), table(spark, d, "links"))
+
+
+@query()
+def coref_expand(spark: SparkSession, d: str) -> DataFrame:
+    """Pronouns beside each clustered mention attach to what their cluster is known as. Every second offset of a cluster is read as 'it'."""
+    m = _mentions(spark, d)
+    said = m.groupBy("doc_id", "cluster_id").agg(F.max(F.col("start_offset") + F.length("text") + 1).cast("int").alias("start_offset")).withColumn("text", F.lit("it"))
+    b = table(spark, d, "best_mentions").select("doc_id", "target.start_offset", "best_mention", "kind", "target.entity_type", "candidate_count")
+    return coref.expand(m.unionByName(said), table(spark, d, "links"), b)
+
+
+@query(f"SELECT DISTINCT id, types, {_LT} AS entity_type FROM links WHERE id IS NOT NULL")
+def link_type_guess(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "links").filter("id is not null").select("id", "types", link_entity_type(F.col("types")).alias("entity_type")).distinct()
+
+
+@query("""WITH o AS (SELECT DISTINCT doc_id, start_offset, text, id FROM links WHERE score >= 5.0), n AS (SELECT DISTINCT doc_id, start_offset, text, id FROM links WHERE candidate_score >= -10.0)
+SELECT o.*, 'BASELINE' AS system FROM o ANTI JOIN n USING (doc_id, start_offset, text, id) UNION ALL SELECT n.*, 'NEW' FROM n ANTI JOIN o USING (doc_id, start_offset, text, id)""")
+def link_diff(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "links")
+    return coref.link_diff(coref.usable_links(l), l.filter("candidate_score >= -10.0"))
+
+
+@query("""SELECT 'BASELINE' AS system, doc_id, start_offset, id, score FROM links WHERE score >= 5.0 UNION ALL SELECT 'RULES', doc_id, start_offset, id, score FROM links WHERE doc_sim_score >= 30 UNION ALL SELECT 'COREF', doc_id, start_offset, id, score FROM links WHERE inlinks >= 10""")
+def tagged_links(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "links").select("doc_id", "start_offset", "id", "score", "doc_sim_score", "inlinks")
+    parts = {"BASELINE": l.filter("score >= 5.0"), "RULES": l.filter("doc_sim_score >= 30"), "COREF": l.filter("inlinks >= 10")}
+    return coref.tagged_union(parts).select("system", "doc_id", "start_offset", "id", "score")
+
+
+@query("""WITH a AS (SELECT doc_id, bem_index, best_mention AS old FROM best_mentions), b AS (SELECT doc_id, bem_index, target.name AS new FROM best_mentions) SELECT a.doc_id, a.bem_index, old, new FROM a JOIN b USING (doc_id, bem_index) WHERE old IS DISTINCT FROM new""")
+def changed_mentions(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.reports import changed
+
+    b = table(spark, d, "best_mentions")
+    return changed(b.select("doc_id", "bem_index", F.col("best_mention").alias("old")), b.select("doc_id", "bem_index", F.col("target.name").alias("new")), ["doc_id", "bem_index"])
+
+
+# ---- evaluation --------------------------------------------------------------------------------------------------------------
+
+_LAB = """lab AS (SELECT l.doc_id, l.start_offset, l.id, max(l.score) AS score, CAST(max(CASE WHEN l.name = e.name THEN 1 ELSE 0 END) AS INT) AS label
+FROM links l JOIN (SELECT DISTINCT doc_id, start_offset, name FROM entities WHERE name IS NOT NULL) e ON e.doc_id = l.doc_id AND e.start_offset = l.start_offset WHERE l.id IS NOT NULL AND l.score IS NOT NULL GROUP BY ALL)"""
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "entities").filter("name is not null").select("doc_id", "start_offset", F.col("name").alias("true_name")).distinct()
+    l = table(spark, d, "links").filter("id is not null and score is not null")
+    return l.join(e, ["doc_id", "start_offset"]).groupBy("doc_id", "start_offset", "id").agg(F.max("score").alias("score"), F.max(F.when(F.col("name") == F.col("true_name"), 1).otherwise(0)).alias("label"))
+
+
+@query(f"WITH {_LAB} SELECT * FROM lab")
+def labelled_join(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled(spark, d)
+
+
+@query(f"""WITH {_LAB}, r AS (SELECT *, row_number() OVER w AS rank, CAST(sum(label) OVER w AS DOUBLE) / row_number() OVER w AS p FROM lab WINDOW w AS (ORDER BY score DESC, doc_id, start_offset, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT doc_id, start_offset, id, label, rank, round(p, 9) AS "precision", round(max(p) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 9) AS smoothed FROM r""")
+def precision_curve(spark: SparkSession, d: str) -> DataFrame:
+    c = evaluate.precision_curve(_labelled(spark, d), "label", "score", ["doc_id", "start_offset", "id"])
+    return c.select("doc_id", "start_offset", "id", "label", F.col("rank").cast("long"), F.round("precision", 9).alias("precision"), F.round("smoothed", 9).alias("smoothed"))
+
+
+@query()
+def features(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.features(table(spark, d, "best_mentions"), _places(spark, d))
+
+
+@query()
+def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the documents train, the other half is scored; the label is whether the best mention is the name itself."""
+    b = table(spark, d, "best_mentions").withColumn("label", (F.col("best_mention") == F.col("target.name")).cast("double")).filter("label is not null")
+    x = evaluate.features(b, _places(spark, d)).join(b.select("doc_id", "bem_index", "label"), ["doc_id", "bem_index"])
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    return evaluate.classify(x.filter(half == 0), x.filter(half == 1)).select("doc_id", "bem_index", "label", "confidence")
+
+
+@query("""SELECT doc_id, target.start_offset AS start_offset, translate(target.text, chr(9) || chr(10), '  ') AS target, translate(best_mention, chr(9) || chr(10), '  ') AS best_mention, kind FROM best_mentions""")
+def mention_report(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "best_mentions")
+    return b.select("doc_id", "target.start_offset", tsv_clean(F.col("target.text")).alias("target"), tsv_clean(F.col("best_mention")).alias("best_mention"), "kind")
