@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +50,32 @@ def _deletions(w: Column) -> Column:
     return F.array_distinct(F.concat(F.array(w), F.when(F.length(w) >= 3, F.concat(ones, twos)).otherwise(F.array().cast("array<string>"))))
 
 
+def edits(a: str, b: str, most: int = 2) -> int:
+    """Edit distance in which swapped neighbours count one; ``most + 1`` stands for all beyond ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, row = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row, older = row, [i], before
+        for j, y in enumerate(b, 1):
+            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, older[j - 2] + 1)
+            row.append(d)
+        if min(row) > most:
+            return most + 1
+        before = last
+    return min(row[-1], most + 1)
+
+
 def _distance(a: Column, b: Column) -> Column:
-    """Edit distance in which swapped neighbours count one; exact up to two, which is all that is asked for."""
-    lev = F.levenshtein(a, b)
-    letters = F.levenshtein(F.array_join(F.array_sort(F.split(a, "")), ""), F.array_join(F.array_sort(F.split(b, "")), ""))
-    return F.when((letters == 0) & (lev <= 4), F.ceil(lev / 2)).when(lev <= 2, lev).when((lev == 3) & (letters <= 2), 2).otherwise(9).cast("int")
+    """``edits`` over Arrow batches of the few pairs that share a deletion."""
+
+    @F.pandas_udf("int")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([edits(p, q) for p, q in zip(x, y)], dtype="int32")
+
+    return of(a, b)
 
 
 def repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -65,8 +87,8 @@ def repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     left = other.select("token", F.explode(_deletions(F.col("token"))).alias("key"))
     right = vocabulary.select("word", F.explode(_deletions(F.col("word"))).alias("key"))
     d = _distance(F.col("token"), F.col("word"))
-    near = left.join(right, "key").select("token", "word").distinct().withColumn("d", d)
-    near = near.filter((F.col("d") <= 2) & ((F.col("d") <= 1) | (F.length("token") >= 6)))
+    near = left.join(right, "key").filter(F.abs(F.length("token") - F.length("word")) <= 2).select("token", "word").distinct().withColumn("d", d)
+    near = near.filter((F.length("token") >= 3) & (F.length("word") >= 3) & (F.col("d") <= 2) & ((F.col("d") <= 1) | (F.length("token") >= 6)))
     return same.union(near.select("token", "word", 1 - F.col("d") / F.greatest(F.length("token"), F.length("word"))))
 
 

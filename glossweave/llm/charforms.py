@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Look-alike letters, the foreign one above the Latin one.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮаеорсухѕіјһԁԛԝүӏ"
@@ -109,7 +110,7 @@ def one_form(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     itself. Columns not named in ``keep`` are left out; ``keep`` may hold neither ``text`` nor ``normal``.
     """
     src = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("t"))
-    schema = df.select(*keep, F.col(text).cast("string").alias("text"), F.lit("").cast("string").alias("normal")).schema
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in src.schema.fields[:-1]], T.StructField("text", T.StringType()), T.StructField("normal", T.StringType())])
     query = _sql()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

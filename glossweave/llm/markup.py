@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Clean texts at most that labelled pages are made of.
 TRAIN_PAGES = 1500
@@ -168,6 +169,8 @@ def _labelled(lines: list[str], rng: np.random.Generator) -> Iterator[tuple[int,
 def train(clean: list[str], seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     lines = [l for t in clean for l in t.split("\n") if l.strip()][: 20 * TRAIN_PAGES] or ["A line of words."]
+    while len(lines) < 2000:  # few clean texts still give every construct its pages
+        lines = lines + lines
     formats, role = np.full(5, 1.0), np.full((5, 3), 1.0)
     state, look = np.full((3, 2), 1.0), np.full((3, 2), 1.0)
     kind = np.full((2, len(PIECES)), 0.05)
@@ -339,7 +342,7 @@ def residue(docs: DataFrame, text: str, keep: list[str], fit_on: DataFrame | Non
     """
     shared = docs.sparkSession.sparkContext.broadcast(_model(docs if fit_on is None else fit_on, text if fit_on is None else fit_text))
     src = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = src.select(*keep, F.lit(0).alias("pieces"), F.lit(0.0).alias("doubt"), F.lit("").cast("string").alias("clean")).schema
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in src.schema.fields[:-1]], T.StructField("pieces", T.IntegerType()), T.StructField("doubt", T.DoubleType()), T.StructField("clean", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
