@@ -3,8 +3,9 @@
 The shingles of a text are ordered from rare to frequent by one order for the whole corpus. If two texts reach the
 similarity, the first ``n - ceil(t n) + l`` places of both hold at least ``l`` common shingles: only those places are
 indexed, each under its shingle and with its position. The shared ones of a pair are tallied; what the tally and the
-places after the last shared one could still amount to must reach the overlap that the similarity asks for. The
-pairs left are verified on the whole sets. No pair that reaches the similarity can be lost.
+places after the last shared one could still amount to must reach the overlap that the similarity asks for, and so
+must the bound that the bytes of two parity bitmaps give. The pairs left are verified on the whole sets. No pair that
+reaches the similarity can be lost.
 
 A key of the index is the eight hash bytes of a shingle, not a single byte: the list of a one-byte key would hold a
 256th of the corpus, and its pairs would grow with the square of the corpus.
@@ -13,7 +14,7 @@ A key of the index is the eight hash bytes of a shingle, not a single byte: the
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,6 +30,11 @@ from .components import components
 SKETCH_BITS = 26
 SEGMENT_BITS = 20
 MATCHES = 2
+#: 64-bit words of a parity bitmap: the bits in which two of them differ are a lower bound of the shingles in which the sets differ.
+WORDS = 4
+#: Postings with one key that a task expands itself; longer lists are dealt out to many tasks in blocks.
+HOT_KEY = 4096
+BLOCKS = 32
 #: Texts hashed at a time: their number within the slice has to fit the upper bits of a sort key.
 SLICE = 1 << 13
 
@@ -70,7 +76,7 @@ def shingle_sets(texts: list[str | None], k: int, grade_of: np.ndarray | None =
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8))
 
 
-def _sketch(docs: DataFrame, text: str, k: int) -> bytes:
+def _sketch(docs: DataFrame, text: str, k: int) -> list[bytes]:
     """How frequent the shingles of each counter are over all texts, on a logarithmic scale of one byte; of one size whatever the corpus."""
     segments, part = 1 << (SKETCH_BITS - SEGMENT_BITS), 1 << SEGMENT_BITS
     mask = np.uint64((1 << SKETCH_BITS) - 1)
@@ -100,8 +106,9 @@ def _sketch(docs: DataFrame, text: str, k: int) -> bytes:
 
     schema = "seg int, counts binary"
     parts = docs.select(text).mapInArrow(count, schema).repartition("seg").mapInArrow(add, schema).collect()
-    got = {r.seg: zlib.decompress(bytes(r.counts)) for r in parts}
-    return b"".join(got.get(i, bytes(part)) for i in range(segments))
+    got = {r.seg: bytes(r.counts) for r in parts}
+    empty = zlib.compress(bytes(part), 1)
+    return [got.get(i, empty) for i in range(segments)]
 
 
 def _prefixes(docs: DataFrame, id_: str, text: str, k: int, t: float) -> DataFrame:
@@ -112,7 +119,7 @@ def _prefixes(docs: DataFrame, id_: str, text: str, k: int, t: float) -> DataFra
     grades = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grade_of = np.frombuffer(grades.value, np.uint8)
+        grade_of = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in grades.value])
         for b in batches:
             h, doc, grade = shingle_sets(b.column(1).to_pylist(), k, grade_of)
             if not len(h):
@@ -122,13 +129,17 @@ def _prefixes(docs: DataFrame, id_: str, text: str, k: int, t: float) -> DataFra
             fp = (np.add.reduceat(_mix(h ^ np.uint64(0xA0761D6478BD642F)), starts)).view(np.int64)
             place = np.arange(len(doc)) - np.repeat(starts, n)
             keep = (place < np.repeat(_length(n, t), n)) & (grade > 4)
+            bits = np.zeros(len(starts) * WORDS, np.uint64)
+            at = (h >> np.uint64(13)) % np.uint64(64 * WORDS)
+            np.bitwise_xor.at(bits, np.repeat(np.arange(len(starts)) * WORDS, n) + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+            bitmap = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS), len(starts), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
             offsets = pa.array(np.r_[0, np.cumsum(np.add.reduceat(keep.astype(np.int64), starts))].astype(np.int32))
             keys = pa.ListArray.from_arrays(offsets, pa.array(h[keep].view(np.int64)))
             places = pa.ListArray.from_arrays(offsets, pa.array(place[keep].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[starts])), pa.array(fp), pa.array(n.astype(np.int32)), keys, places], ["id", "fp", "n", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[starts])), pa.array(fp), pa.array(n.astype(np.int32)), bitmap, keys, places], ["id", "fp", "n", "bitmap", "keys", "places"])
 
     kind = docs.schema[id_].dataType.simpleString()
-    return docs.select(F.col(id_).alias("id"), text).mapInArrow(run, f"id {kind}, fp long, n int, keys array<long>, places array<int>")
+    return docs.select(F.col(id_).alias("id"), text).mapInArrow(run, f"id {kind}, fp long, n int, bitmap binary, keys array<long>, places array<int>")
 
 
 def _length(n: np.ndarray, t: float) -> np.ndarray:
@@ -148,7 +159,126 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "fp long, items array<long>")
 
 
-def class_pairs(docs: DataFrame, id_: str, text: str, k: int = 5, t: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def _postings(index: DataFrame, parts: int) -> DataFrame:
+    """(part, fp, n, bitmap, keys, places): the postings of a set by part of the key space, so that size and bitmap travel once a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, places = b.column(3), b.column(4)
+            flat, place = keys.flatten().to_numpy(zero_copy_only=False), places.flatten().to_numpy(zero_copy_only=False)
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(b.num_rows), np.diff(keys.offsets.to_numpy()))
+            part = (flat.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((part, row))
+            row, part = row[order], part[order]
+            cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
+            offsets = pa.array(np.r_[cuts, len(row)].astype(np.int32))
+            own = pa.array(row[cuts])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (flat, place)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), *[b.column(i).take(own) for i in range(3)], *lists], ["part", "fp", "n", "bitmap", "keys", "places"])
+
+    return index.select("fp", "n", "bitmap", "keys", "places").mapInArrow(run, "part int, fp long, n int, bitmap binary, keys array<long>, places array<int>")
+
+
+def _needed(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
+    return np.ceil((na + nb) * (t / (1 + t)) - 1e-9)
+
+
+def _near(i: np.ndarray, j: np.ndarray, fp: np.ndarray, n: np.ndarray, bits: np.ndarray, t: float) -> np.ndarray:
+    """Which pairs of rows may reach the similarity, by their sizes and bitmaps."""
+    na, nb = n[i], n[j]
+    keep = (fp[i] != fp[j]) & (np.minimum(na, nb) >= np.maximum(na, nb) * t - 1e-9)
+    i, j, na, nb = i[keep], j[keep], na[keep], nb[keep]
+    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+    keep[keep] = (na + nb - apart) // 2 >= _needed(na, nb, t)
+    return keep
+
+
+def _expand(t: float, hot_key: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of the postings of a part of the key space: (a, b, key, at_a, at_b, bitmap). Lists too long for a task come out as they are,
+    as rows with null b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        tab = pa.Table.from_batches(got).combine_chunks()
+        fp, n = tab.column("fp").to_numpy(), tab.column("n").to_numpy().astype(np.int64)
+        bits = np.frombuffer(b"".join(tab.column("bitmap").to_pylist()), np.uint64).reshape(-1, WORDS)
+        lists = tab.column("keys").combine_chunks()
+        key, place = lists.flatten().to_numpy(), tab.column("places").combine_chunks().flatten().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(fp)), np.diff(lists.offsets.to_numpy()))
+        order = np.lexsort((fp[row], key))
+        key, place, row = key[order], place[order], row[order]
+        once = np.r_[True, (key[1:] != key[:-1]) | (fp[row[1:]] != fp[row[:-1]])]  # copies of a set are one
+        key, place, row = key[once], place[once], row[once]
+        at = n[row] * (1 << 31) + place
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[starts[1:], len(key)]
+        length = ends - starts
+        names = ["a", "b", "key", "at_a", "at_b", "bitmap"]
+
+        def pairs(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            ok = _near(row[i], row[j], fp, n, bits, t)
+            i, j = i[ok], j[ok]
+            a, b = fp[row[i]], fp[row[j]]
+            x, y = np.where(a < b, i, j), np.where(a < b, j, i)
+            return pa.RecordBatch.from_arrays([pa.array(fp[row[x]]), pa.array(fp[row[y]]), pa.array(key[x]), pa.array(at[x]), pa.array(at[y]), pa.nulls(len(x), pa.binary())], names)
+
+        for d in range(1, min(hot_key, int(length.max())) if len(length) else 0):  # the d-th neighbour within a list
+            long_enough = (length > d) & (length <= hot_key)
+            if not long_enough.any():
+                break
+            i = np.concatenate([np.arange(s, e - d) for s, e in zip(starts[long_enough], ends[long_enough])]) if long_enough.sum() < 64 else np.flatnonzero(np.repeat(long_enough, length) & (np.arange(len(key)) + d < np.repeat(ends, length)))
+            for c in range(0, len(i), 1 << 20):
+                yield pairs(i[c : c + (1 << 20)], i[c : c + (1 << 20)] + d)
+        hot = np.flatnonzero(np.repeat(length > hot_key, length))
+        for c in range(0, len(hot), 1 << 16):
+            h = hot[c : c + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[row[h]]), pa.nulls(len(h), pa.int64()), pa.array(key[h]), pa.array(at[h]), pa.nulls(len(h), pa.int64()), pa.array([bits[r].tobytes() for r in row[h]], pa.binary())], names)
+
+    return run
+
+
+def _hot_pairs(hot: DataFrame, t: float) -> DataFrame:
+    """The pairs of lists that are too long for a task: the postings of a key fall into blocks, and each pair of blocks is a task's work."""
+    block = F.pmod(F.xxhash64("a"), F.lit(BLOCKS)).cast("int")
+    k = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    one = hot.select("a", "key", "at_a", "bitmap", block.alias("own")).withColumn("other", k)
+    cell = F.struct(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    dealt = one.withColumn("cell", F.xxhash64("key", cell)).repartition("cell").sortWithinPartitions("cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        current = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            fp, at = np.array(held["a"], np.int64), np.array(held["at"], np.int64)
+            n, own, other = at >> 31, np.array(held["own"]), np.array(held["other"])
+            bits = np.frombuffer(b"".join(held["bits"]), np.uint64).reshape(-1, WORDS)
+            for i in range(len(fp)):
+                j = np.flatnonzero((fp > fp[i]) & (((own == other[i]) & (other == own[i])) if own[i] != other[i] else (own == own[i])))
+                if len(j):
+                    ok = _near(np.full(len(j), i), j, fp, n, bits, t)
+                    j = j[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), fp[i])), pa.array(fp[j]), pa.array(np.full(len(j), at[i])), pa.array(at[j])], ["a", "b", "at_a", "at_b"])
+
+        for b in batches:
+            for a, at, bitmap, own, other, c in zip(*[b.column(i).to_pylist() for i in range(6)]):
+                if c != current:
+                    if held:
+                        yield from out()
+                    held, current = {"a": [], "at": [], "bits": [], "own": [], "other": []}, c
+                for name, v in zip(("a", "at", "bits", "own", "other"), (a, at, bitmap, own, other)):
+                    held[name].append(v)
+        if held:
+            yield from out()
+
+    return dealt.select("a", "at_a", "bitmap", "own", "other", "cell").mapInArrow(run, "a long, b long, at_a long, at_b long")
+
+
+def class_pairs(docs: DataFrame, id_: str, text: str, k: int = 5, t: float = 0.8, hot_key: int = HOT_KEY) -> tuple[DataFrame, DataFrame]:
     """Membership (id, fp), ``fp`` being the class of texts with one shingle set, and the pairs (a, b, similarity) of classes, a < b, whose
     Jaccard similarity is ``t`` or more.
 
@@ -158,14 +288,16 @@ def class_pairs(docs: DataFrame, id_: str, text: str, k: int = 5, t: float = 0.8
     docs = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"))
     index = materialise(_prefixes(docs, "id", "text", k, t))
     members = index.select("id", "fp")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = _postings(index, parts).repartition(parts, "part").mapInArrow(_expand(t, hot_key), "a long, b long, key long, at_a long, at_b long, bitmap binary")
+    found = materialise(found)
+    pairs = found.filter("b is not null").select("a", "b", "at_a", "at_b")
+    hot = found.filter("b is null").select("a", "key", "at_a", "bitmap")
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(_hot_pairs(hot, t))
+    tally = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("at_a").alias("pa"), F.max("at_b").alias("pb"))
     # n and place travel in one long: the largest of a pair's rows tells n and its last shared place
-    at = (F.col("n").cast("long") * (1 << 31) + F.col("z.places")).alias("at")
-    keys = index.select("fp", "n", F.explode(F.arrays_zip("keys", "places")).alias("z")).select("fp", F.col("z.keys").alias("key"), at)
-    keys = keys.repartition("key").dropDuplicates(["key", "fp"])
-    a, b = keys.toDF("a", "key", "pa"), keys.toDF("b", "key", "pb")
     na, nb = F.floor(F.col("pa") / (1 << 31)), F.floor(F.col("pb") / (1 << 31))
-    near = (F.col("a") < F.col("b")) & (F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9)
-    tally = a.join(b, "key").filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     needed = F.ceil((na + nb) * (t / (1 + t)) - 1e-9)
     after = F.least(na - F.col("pa") % (1 << 31), nb - F.col("pb") % (1 << 31)) - 1
     outside = F.greatest(F.ceil(na * t - 1e-9), F.ceil(nb * t - 1e-9)) - MATCHES
@@ -182,9 +314,9 @@ def class_pairs(docs: DataFrame, id_: str, text: str, k: int = 5, t: float = 0.8
     return members, checked.filter(F.col("similarity") >= t - 1e-12).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def pairs(docs: DataFrame, id_: str, text: str, k: int = 5, t: float = 0.8) -> DataFrame:
+def pairs(docs: DataFrame, id_: str, text: str, k: int = 5, t: float = 0.8, hot_key: int = HOT_KEY) -> DataFrame:
     """(id_a, id_b), a < b, of all texts whose similarity is ``t`` or more, copies included."""
-    members, links = class_pairs(docs, id_, text, k, t)
+    members, links = class_pairs(docs, id_, text, k, t, hot_key)
     members, links = materialise(members.distinct()), materialise(links)
     a, b = members.toDF("x", "a"), members.toDF("y", "b")
     across = links.select("a", "b").join(a, "a").join(b, "b").select("x", "y")

@@ -152,6 +152,7 @@ def test_pairs_equal_brute_force(spark, k, t):
     want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
     df = spark.createDataFrame(rows, "doc_id int, text string, fp int")
     assert {(r.doc_id_a, r.doc_id_b) for r in neardup.pairs(df, "doc_id", "text", k, t).collect()} == want
+    assert {(r.doc_id_a, r.doc_id_b) for r in neardup.pairs(df, "doc_id", "text", k, t, hot_key=3).collect()} == want  # by blocks
     got = neardup.groups(df, "doc_id", "text", k, t).collect()
     group = {r.doc_id: r.group_id for r in got}
     assert all(group[a] == group[b] for a, b in want) and set(group) == {i for i, s in enumerate(sets) if s}
