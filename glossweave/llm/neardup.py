@@ -185,10 +185,12 @@ def _needed(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
     return np.ceil((na + nb) * (t / (1 + t)) - 1e-9)
 
 
-def _near(i: np.ndarray, j: np.ndarray, fp: np.ndarray, n: np.ndarray, bits: np.ndarray, t: float) -> np.ndarray:
-    """Which pairs of rows may reach the similarity, by their sizes and bitmaps."""
+def _near(i: np.ndarray, j: np.ndarray, pi: np.ndarray, pj: np.ndarray, fp: np.ndarray, n: np.ndarray, bits: np.ndarray, t: float) -> np.ndarray:
+    """Which pairs of rows may reach the similarity, by their sizes, the places of the shingle they share (what both have before it
+    and after it bounds the overlap) and their bitmaps."""
     na, nb = n[i], n[j]
     keep = (fp[i] != fp[j]) & (np.minimum(na, nb) >= np.maximum(na, nb) * t - 1e-9)
+    keep &= np.minimum(pi, pj) + np.minimum(na - pi, nb - pj) >= _needed(na, nb, t)
     i, j, na, nb = i[keep], j[keep], na[keep], nb[keep]
     apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
     keep[keep] = (na + nb - apart) // 2 >= _needed(na, nb, t)
@@ -220,7 +222,7 @@ def _expand(t: float, hot_key: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         names = ["a", "b", "key", "at_a", "at_b", "bitmap"]
 
         def pairs(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            ok = _near(row[i], row[j], fp, n, bits, t)
+            ok = _near(row[i], row[j], place[i], place[j], fp, n, bits, t)
             i, j = i[ok], j[ok]
             a, b = fp[row[i]], fp[row[j]]
             x, y = np.where(a < b, i, j), np.where(a < b, j, i)
@@ -255,12 +257,12 @@ def _hot_pairs(hot: DataFrame, t: float) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             fp, at = np.array(held["a"], np.int64), np.array(held["at"], np.int64)
-            n, own, other = at >> 31, np.array(held["own"]), np.array(held["other"])
+            n, place, own, other = at >> 31, at & ((1 << 31) - 1), np.array(held["own"]), np.array(held["other"])
             bits = np.frombuffer(b"".join(held["bits"]), np.uint64).reshape(-1, WORDS)
             for i in range(len(fp)):
                 j = np.flatnonzero((fp > fp[i]) & (((own == other[i]) & (other == own[i])) if own[i] != other[i] else (own == own[i])))
                 if len(j):
-                    ok = _near(np.full(len(j), i), j, fp, n, bits, t)
+                    ok = _near(np.full(len(j), i), j, place[i], place[j], fp, n, bits, t)
                     j = j[ok]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), fp[i])), pa.array(fp[j]), pa.array(np.full(len(j), at[i])), pa.array(at[j])], ["a", "b", "at_a", "at_b"])
 
