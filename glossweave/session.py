@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_steps: list[str] = []
+
+
+def clear_steps(spark: SparkSession) -> None:
+    """Deletes the materialised steps written so far; results that still read them must have been consumed."""
+    jvm = spark.sparkContext._jvm
+    while _steps:
+        path = jvm.org.apache.hadoop.fs.Path(_steps.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def get_session(app: str = "glossweave", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings the engine wants; leaves a running one as it is."""
     b = SparkSession.builder.appName(app)
@@ -36,7 +49,9 @@ def shared_folder(spark: SparkSession) -> str:
     if jvm_dir.isDefined():
         return jvm_dir.get()
     at = os.path.join(tempfile.gettempdir(), f"glossweave-{os.getpid()}")
-    os.makedirs(at, exist_ok=True)
+    if not os.path.exists(at):
+        os.makedirs(at)
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     return at
 
 
@@ -47,5 +62,6 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
+    _steps.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
