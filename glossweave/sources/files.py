@@ -12,7 +12,7 @@ def raw_files(spark: SparkSession, path: str, encoding: str = "UTF-8", glob: str
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(path).select("path", F.decode("content", F.lit(encoding)).alias("text"))
+    return r.load(path).select("path", F.decode("content", encoding).alias("text"))
 
 
 def uneven_files(docs: DataFrame) -> DataFrame:
@@ -51,7 +51,8 @@ def labelled(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def gazetteer_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("encoding", "ISO-8859-1").text(path).select(F.col("value").alias("line"))
+    # the text reader knows UTF-8 only; a separator that no line holds makes the CSV reader give whole lines
+    return spark.read.csv(path, schema="line string", encoding="ISO-8859-1", sep="\u0001", quote="")
 
 
 def kb_entities(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 def arrivals(docs: DataFrame, every: str = "1 day", late: str = "30 days") -> DataFrame:
     """Documents per source and window of ``posted_at``; rows later than ``late`` are dropped by the watermark. For streams and tables alike."""
-    d = docs.withWatermark("posted_at", late) if docs.isStreaming else docs
+    d = docs.withColumn("posted_at", F.col("posted_at").cast("timestamp"))
+    d = d.withWatermark("posted_at", late) if docs.isStreaming else d
     return d.groupBy(F.window("posted_at", every).alias("w"), "source").agg(F.count(F.lit(1)).alias("documents")).select(F.col("w.start").alias("from"), "source", "documents")
 
 
 def delivered_once(links: DataFrame, late: str = "7 days") -> DataFrame:
     """Links without those delivered again within ``late``."""
     keys = ["doc_id", "start_offset", "id"]
-    return links.withWatermark("loaded_at", late).dropDuplicatesWithinWatermark(keys) if links.isStreaming else links.dropDuplicates(keys)
+    timed = links.withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
+    return timed.withWatermark("loaded_at", late).dropDuplicatesWithinWatermark(keys) if links.isStreaming else links.dropDuplicates(keys)
 
 
 def usable(sentences: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
 import os
 
-from glossweave.session import clear_steps, materialise, shared_folder
+from glossweave import session
 
 
 def test_steps_are_written_and_cleared(spark):
-    df = materialise(spark.range(5))
-    at = shared_folder(spark).removeprefix("file:")
-    assert df.count() == 5 and any(x.startswith("step-") for x in os.listdir(at))
-    clear_steps(spark)
-    assert not any(x.startswith("step-") for x in os.listdir(at))
+    df = session.materialise(spark.range(5))
+    made = [p.removeprefix("file:") for p in session._steps]
+    assert df.count() == 5 and all(os.path.isdir(p) for p in made)
+    session.clear_steps(spark)
+    assert not any(os.path.exists(p) for p in made)
