@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tsv_clean
+from .spans import context, sentence_of
 
 
 def changed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,3 +36,17 @@ def document_report(docs: DataFrame, links: DataFrame, chars: int = 300, types:
     j = docs.select("doc_id", F.substring("text", 1, chars).alias("head")).join(per, "doc_id", "left")
     body: Column = F.array_join(F.transform(F.coalesce("r", F.array().cast("array<struct<start_offset:int,row:string>>")), lambda x: x["row"]), "\n")
     return j.select("doc_id", F.concat_ws("\n", "head", F.concat(F.lit("links: "), F.coalesce(F.size("r"), F.lit(0)).cast("string")), body).alias("report"))
+
+
+def mention_contexts(bem: DataFrame, sentences: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, bem_index, kind, target_context, best_context): the sentence an offset lies in (not at its very start), else eighty characters
+    around it. The best context is that of the best entity or the container, for a containment both the target's and the container's, else NA."""
+    t = bem.select("doc_id", "bem_index", "kind", F.col("target.start_offset").alias("t"), F.when(F.col("kind").isin("Full", "CorefFull", "CorefIdentity", "LinkResolved"), F.col("best.start_offset")).when(F.col("kind").isin("Container", "Containment"), F.col("container.start_offset")).alias("b"))
+    at = t.select("doc_id", F.col("t").alias("inner_id")).union(t.select("doc_id", "b")).filter("inner_id is not null").distinct()
+    where = sentence_of(at.select("doc_id", "inner_id", F.col("inner_id").alias("start"), F.col("inner_id").alias("end")), sentences.select("doc_id", "sent_num", "start", "end"), strict=True)
+    said = at.join(where, ["doc_id", "inner_id"], "left").join(sentences.select("doc_id", "sent_num", F.col("text").alias("sentence")), ["doc_id", "sent_num"], "left").join(docs.select("doc_id", "text"), "doc_id", "left")
+    said = said.select("doc_id", F.col("inner_id").alias("o"), F.coalesce("sentence", context(F.col("text"), F.col("inner_id"))).alias("c"))
+    x, y = said.toDF("doc_id", "t", "target_context"), said.toDF("doc_id", "b", "bc")
+    j = t.join(x, ["doc_id", "t"], "left").join(y, ["doc_id", "b"], "left")
+    best = F.when(F.col("kind") == "Containment", F.concat_ws(" ", "target_context", "bc")).otherwise(F.coalesce("bc", F.lit("NA")))
+    return j.select("doc_id", "bem_index", "kind", "target_context", best.alias("best_context"))

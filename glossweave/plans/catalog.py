@@ -15,6 +15,7 @@ from ..functions.fixed import ASCII_FROM, ASCII_TO, PERSONAL, PRONOUNS
 from ..functions.text import asciify, link_entity_type, location_casing, tsv_clean, usable_sentence
 from ..operators import coref, evaluate, gazetteer, ingest, resolve, spans
 from ..sources.tables import table
+from . import pipelines
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -483,3 +484,52 @@ def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
 def mention_report(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "best_mentions")
     return b.select("doc_id", "target.start_offset", tsv_clean(F.col("target.text")).alias("target"), tsv_clean(F.col("best_mention")).alias("best_mention"), "kind")
+
+
+# ---- the three systems -------------------------------------------------------------------------------------------------------
+
+def _tables(spark: SparkSession, d: str) -> pipelines.Tables:
+    e = table(spark, d, "entities").filter("text is not null").distinct()
+    args = e.select("doc_id", F.col("ent_no").alias("arg_id"), "text", "start_offset").dropDuplicates(["doc_id", "arg_id"])
+    kb = table(spark, d, "kb_entities").select("id", "name", "typ", F.lit(6.0).alias("prior"))
+    return pipelines.Tables(args, e, _mentions(spark, d), table(spark, d, "documents"), _places(spark, d), kb)
+
+
+@query("""SELECT e.doc_id, e.ent_no AS arg_id, any_value(e.start_offset) AS start_offset, any_value(e.text) AS text, min(k.id) AS id, 6.0::DOUBLE AS score FROM (SELECT DISTINCT * FROM entities WHERE text IS NOT NULL) e
+JOIN kb_entities k ON lower(trim(k.name)) = lower(trim(e.text)) GROUP BY e.doc_id, e.ent_no""")
+def baseline_links(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.baseline(_tables(spark, d)).select("doc_id", "arg_id", "start_offset", "text", "id", "score")
+
+
+@query()
+def three_systems(spark: SparkSession, d: str) -> DataFrame:
+    """The links of the baseline, the rules and the coreference system."""
+    return pipelines.compare(_tables(spark, d))
+
+
+@query()
+def argument_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """For each tagged entity the sentences in which its cluster is spoken of."""
+    from ..operators.linking import contexts
+
+    e = _entities(spark, d, "arg_id").dropDuplicates(["doc_id", "arg_id"])
+    s = table(spark, d, "sentences").filter("text is not null").select("doc_id", "sent_num", F.col("start_offset").alias("start"), (F.col("start_offset") + F.length("text")).alias("end"), "text").dropDuplicates(["doc_id", "sent_num"])
+    return contexts(e, _mentions(spark, d), s)
+
+
+@query()
+def mention_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence, or eighty characters, around the target and the best form of each best mention."""
+    from ..operators.reports import mention_contexts as of
+
+    s = table(spark, d, "sentences").filter("text is not null").select("doc_id", "sent_num", F.col("start_offset").alias("start"), (F.col("start_offset") + F.length("text")).alias("end"), "text").dropDuplicates(["doc_id", "sent_num"])
+    return of(table(spark, d, "best_mentions"), s, table(spark, d, "documents").select(F.col("ext_id").alias("doc_id"), "text"))
+
+
+@query()
+def feature_tsv(spark: SparkSession, d: str) -> DataFrame:
+    """The features of each best mention as lines of a TSV, two decimals each, index and document last."""
+    from ..operators.reports import tsv
+
+    f = evaluate.features(table(spark, d, "best_mentions"), _places(spark, d))
+    return tsv(f, [*evaluate.FEATURES, "bem_index", "doc_id"], {n: "%.2f" for n in evaluate.FEATURES})
