@@ -78,16 +78,27 @@ def _distance(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
+def _may_be_close(a: Column, b: Column) -> Column:
+    """Holds for every pair within two edits: a swap costs a plain edit distance two but leaves the letters as they are."""
+    lev = F.levenshtein(a, b)
+    letters = F.levenshtein(F.array_join(F.array_sort(F.split(a, "")), ""), F.array_join(F.array_sort(F.split(b, "")), ""))
+    return (lev <= 2) | ((lev == 3) & (letters <= 2)) | ((lev == 4) & (letters == 0))
+
+
 def repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, word, sim) for the distinct ``token`` of one table and the distinct ``word`` of the other: the token itself if it is a
     word, else all words within an edit distance of 2 (of 1 if the token has under 6 characters; none under 3)."""
     tokens, vocabulary = tokens.select("token").distinct(), vocabulary.select("word").distinct()
     same = tokens.join(vocabulary, F.col("token") == F.col("word")).select("token", "word", F.lit(1.0).alias("sim"))
     other = tokens.join(vocabulary, F.col("token") == F.col("word"), "left_anti")
+    # deletions and distances cost far more than the bytes of a token tell: spread them whatever adaptive execution would merge
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    other = other.repartition(parts, "token")
     left = other.select("token", F.explode(_deletions(F.col("token"))).alias("key"))
     right = vocabulary.select("word", F.explode(_deletions(F.col("word"))).alias("key"))
     d = _distance(F.col("token"), F.col("word"))
-    near = left.join(right, "key").filter(F.abs(F.length("token") - F.length("word")) <= 2).select("token", "word").distinct().withColumn("d", d)
+    near = left.join(right, "key").filter(F.abs(F.length("token") - F.length("word")) <= 2).select("token", "word").distinct()
+    near = near.filter(_may_be_close(F.col("token"), F.col("word"))).withColumn("d", d)
     near = near.filter((F.length("token") >= 3) & (F.length("word") >= 3) & (F.col("d") <= 2) & ((F.col("d") <= 1) | (F.length("token") >= 6)))
     return same.union(near.select("token", "word", 1 - F.col("d") / F.greatest(F.length("token"), F.length("word"))))
 
