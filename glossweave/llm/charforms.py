@@ -31,6 +31,8 @@ SPACES = "\t               　"
 HYPHENS = "‐‑﹣－"
 # Signs of the Indic scripts after which a joiner has a meaning of its own.
 VIRAMAS = "्্੍્୍்్್്්"
+#: Rows or bytes that are handed to the embedded database at a time.
+ROWS, BYTES = 131_072, 16 << 20
 KEPT_ZWJ, KEPT_ZWNJ = "", ""
 
 
@@ -117,15 +119,24 @@ def one_form(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         import duckdb
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            con.register("batch", pa.Table.from_batches([batch]))
+
+        def rewritten(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            con.register("batch", pa.Table.from_batches(held))
             out = con.sql(query).to_arrow_table()
             con.unregister("batch")
             names = [*keep, "text", "normal"]
-            out = pa.table({n: out.column(n) for n in names})
-            out = out.cast(pa.schema([pa.field(n, batch.schema.field(n).type if n in keep else pa.string()) for n in names]))
-            yield from out.to_batches()
+            kinds = [*held[0].schema.types[:-1], pa.string(), pa.string()]
+            yield from pa.table({n: out.column(n) for n in names}).cast(pa.schema(list(zip(names, kinds)))).to_batches()
+
+        # planning the statement costs as much as rewriting thousands of rows: batches are put together up to a bound
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS or sum(b.nbytes for b in held) >= BYTES:
+                yield from rewritten(held)
+                held = []
+        if held:
+            yield from rewritten(held)
 
     return src.mapInArrow(run, schema)
