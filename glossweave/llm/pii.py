@@ -52,7 +52,7 @@ ADDRESS = re.compile(
     rf"|(?:P\.\s?O\.|PO|Post(?:\sOffice)?)\s?Box\s\d{{1,6}}(?:,\s(?:{_CODE}\s)?{_TOWN}(?:,?\s{_CODE})?)?)(?![\w])",
     re.I,
 )
-ADDRESS_HINT = re.compile(r"box\s\d|str(?:\.|aße|asse)\s\d|\d,?\s(?:rue|avenue|boulevard|place|chemin|calle|avenida|via|plaza)\s|(?:lane|street|road|avenue|drive|court|square|ave|rd|st|blvd)\b", re.I)
+ADDRESS_HINT = re.compile(r"box\s\d|str(?:\.|aße|asse)\s\d|\d,?\s(?:rue|avenue|boulevard|place|chemin|calle|avenida|via|plaza)\s|\d[a-z]?\s[^\W\d_]+\.?\s(?:[^\W\d_]+\s)?(?:lane|street|road|avenue|drive|court|place|square|way|close|terrace|crescent|boulevard|ave|st|rd|ln|dr|blvd|ct|pl)\b|(?:weg|platz|gasse)\s\d", re.I)
 # Words around personal information, in the languages of the corpus.
 PHONE_BEFORE = re.compile(r"(?:tel|tél|telefon|phone|call|reached on|fax|mobile|contact|or|тел|телефон|電話|电话|هاتف|फ़ोन|फ़ोन|โทร|teléfono|téléphone)[.:：]?\s*$", re.I)
 NUMBER_BEFORE = re.compile(r"(?:lot|order|code|ref\.?|section|point|no\.|page|item|invoice|№)\s*$", re.I)
