@@ -31,7 +31,9 @@ def precision_curve(scored: DataFrame, label: str, confidence: str, tie: list[st
     q = p.join(F.broadcast(before), "_p").withColumn("rank", F.row_number().over(here) + F.col("_nb")).withColumn("precision", (F.sum(F.col(label).cast("long")).over(run) + F.col("_yb")) / F.col("rank"))
     tops = q.groupBy("_p").agg(F.max("precision").alias("_m"))
     after = tops.select("_p", F.max("_m").over(Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_a"))
-    rest = F.max("precision").over(here.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # from the far end backwards: a frame that runs to the end would be summed anew for every row
+    back = Window.partitionBy("_p").orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = F.max("precision").over(back)
     return q.join(F.broadcast(after), "_p").withColumn("smoothed", F.greatest(rest, F.col("_a"))).drop("_p", "_yb", "_nb", "_a")
 
 
