@@ -93,11 +93,12 @@ def repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     other = tokens.join(vocabulary, F.col("token") == F.col("word"), "left_anti")
     # deletions and distances cost far more than the bytes of a token tell: spread them whatever adaptive execution would merge
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    other = other.repartition(parts, "token")
+    other = other.repartition(parts, F.xxhash64("token"))  # by the token itself it would be dropped as already there
     left = other.select("token", F.explode(_deletions(F.col("token"))).alias("key"))
     right = vocabulary.select("word", F.explode(_deletions(F.col("word"))).alias("key"))
     d = _distance(F.col("token"), F.col("word"))
     near = left.join(right, "key").filter(F.abs(F.length("token") - F.length("word")) <= 2).select("token", "word").distinct()
+    near = materialise(near)  # else the optimiser measures each pair once for every deletion it shares
     near = near.filter(_may_be_close(F.col("token"), F.col("word"))).withColumn("d", d)
     near = near.filter((F.length("token") >= 3) & (F.length("word") >= 3) & (F.col("d") <= 2) & ((F.col("d") <= 1) | (F.length("token") >= 6)))
     return same.union(near.select("token", "word", 1 - F.col("d") / F.greatest(F.length("token"), F.length("word"))))
