@@ -153,11 +153,12 @@ def debug_dump(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(DISTINCT doc_id) AS documents, count(*) AS lines, (SELECT count(*) FROM sentences) AS sentences, (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM links) AS links FROM doc_lines")
 def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda t: table(spark, d, t).agg(F.count(F.lit(1)).alias(t))
-    lines = table(spark, d, "doc_lines").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("lines"))
-    for t in ("sentences", "entities", "links"):  # one row each
-        lines = lines.crossJoin(n(t))
-    return lines
+    n = lambda t: table(spark, d, t).agg(F.lit(t).alias("t"), F.count(F.lit(1)).alias("n"))
+    rows = table(spark, d, "doc_lines").agg(F.lit("documents").alias("t"), F.count_distinct("doc_id").alias("n")).union(n("doc_lines"))
+    for t in ("sentences", "entities", "links"):
+        rows = rows.union(n(t))
+    of = lambda t, name: F.max(F.when(F.col("t") == t, F.col("n"))).alias(name)
+    return rows.agg(of("documents", "documents"), of("doc_lines", "lines"), of("sentences", "sentences"), of("entities", "entities"), of("links", "links"))
 
 
 # ---- spans -------------------------------------------------------------------------------------------------------------------
