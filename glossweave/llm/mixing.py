@@ -120,9 +120,9 @@ def mix(docs: DataFrame, id_: str, source: str, tokens: str, targets: DataFrame,
     reached = out.groupBy("source").agg(F.sum("tokens").alias("mix_tokens"), (F.max("repeat_no") + 1).alias("max_used"))
     sums = d.groupBy("source").agg(F.sum("tokens").alias("have_tokens"))
     quota = spark.createDataFrame([(s, q) for s, q in want.items()] or [("", 0)], "source string, quota_tokens long")
-    all_ = out.agg(F.sum("tokens").alias("all_tokens"))
-    shares = t.join(sums, "source", "full").join(quota, "source", "left").join(reached, "source", "left").crossJoin(F.broadcast(all_))  # one row
+    all_tokens = out.agg(F.sum("tokens")).first()[0] or 1
+    shares = t.join(sums, "source", "full").join(quota, "source", "left").join(reached, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    actual = F.coalesce(F.col("mix_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share")
+    actual = F.coalesce(F.col("mix_tokens") / F.lit(float(all_tokens)), F.lit(0.0)).alias("actual_share")
     shares = shares.select("source", zero("have_tokens"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), "max_repeats", zero("quota_tokens"), zero("mix_tokens"), actual, zero("max_used"))
     return out.withColumnRenamed("id", id_).withColumnRenamed("source", source), shares
