@@ -56,15 +56,23 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return _residue(spark, d)
 
 
-def p2_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Every spelling of a person or organisation with the entity it stands for."""
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """The spellings that are names in full: entities.name and best_mention."""
     e = table(spark, d, "entities").select("name", F.col("entity_type").alias("kind"))
     b = table(spark, d, "best_mentions").select(F.col("best_mention").alias("name"), F.col("target.entity_type").alias("kind"))
-    return variants.resolve(e.union(b), "name", "kind")
+    return e.union(b)
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling of a person or organisation, those of entities.text too, with the entity it stands for. A mention is evidence
+    once: its text counts where it has no name."""
+    t = table(spark, d, "entities").select(F.col("text").alias("name"), F.col("entity_type").alias("kind"), F.when(F.col("name").isNull(), 1).otherwise(0).alias("w"))
+    return variants.resolve(_names(spark, d).withColumn("w", F.lit(1)).union(t), "name", "kind", "w")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return variants.pairs(materialise(p2_entities(spark, d)))
+    """Pairs of spellings in entities.name and best_mention only, as TESTDATA.md has them."""
+    return variants.pairs(materialise(p2_entities(spark, d).join(_names(spark, d).distinct(), ["name", "kind"], "left_semi")))
 
 
 def p4_mapped(spark: SparkSession, d: str) -> DataFrame:

@@ -79,6 +79,18 @@ def test_name_variants(spark):
     assert variants.resolve(df.filter("false"), "name", "kind").count() == 0
 
 
+def test_spellings_of_texts(spark, tmp_path):
+    rows = [("Leon\nFisabasko", "Leon Fisabasko"), ("Fisabasko", "Leon Fisabasko"), ("Fis\u00e1basko", "Leon Fisabasko"), ("Le\u200bon Fisab\u0430sko", "Leon Fisabasko"), ("Leon Fisabsako", "Leon Fisabasko"), ("FISABASKO, Leon", "FISABASKO, Leon"), (None, "L. Fisabasko"), ("Tomas Fisabasko", None)]
+    spark.createDataFrame([(t, n, "PERSON") for t, n in rows] + [("Here", "There", "LOCATION")], "text string, name string, entity_type string").write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame([("Leon Fisabasko", ("PERSON",))], "best_mention string, target struct<entity_type string>").write.parquet(f"{tmp_path}/best_mentions.parquet")
+    got = {r.name: r.entity for r in catalog.p2_entities(spark, str(tmp_path)).collect()}
+    assert set(got) == {x for r in rows for x in r if x}
+    leon = {n for n, e in got.items() if e == got["Leon Fisabasko"]}
+    assert leon == {"Leon Fisabasko", "Leon\nFisabasko", "Le\u200bon Fisab\u0430sko", "Leon Fisabsako", "FISABASKO, Leon", "L. Fisabasko"}
+    assert got["Fisabasko"] == got["Fis\u00e1basko"] == "Fisabasko" and got["Tomas Fisabasko"] == "Tomas Fisabasko"
+    assert {tuple(r) for r in catalog.p2_found(spark, str(tmp_path)).collect()} == {("FISABASKO, Leon", "L. Fisabasko"), ("FISABASKO, Leon", "Leon Fisabasko"), ("L. Fisabasko", "Leon Fisabasko")}
+
+
 # ---- 3 ranks ---------------------------------------------------------------------------------------------------------------
 
 def test_fused_ranks_by_either_way(spark):
