@@ -97,8 +97,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Five words and 0.8 over the documents of every language."""
-    return neardup.groups(table(spark, d, "documents"), "doc_id", "text")
+    """Five words and 0.8 over the documents of every language, a row for each; those of under five words by their whole word list."""
+    return neardup.document_groups(table(spark, d, "documents"), "doc_id", "text")
 
 
 SENTENCE_SOURCES = ["news", "transcript", "bulletin", "archive"]

@@ -335,3 +335,26 @@ def groups(docs: DataFrame, id_: str, text: str, k: int = 5, t: float = 0.8) ->
     degree = links.select("a").union(links.select("b")).toDF("fp").groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
     out = members.distinct().join(roots, "fp", "left").join(degree, "fp", "left")
     return out.select(F.col("id").alias(id_), F.col("fp").alias("class_id"), F.coalesce("root", "fp").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _without_shingles(docs: DataFrame, k: int) -> DataFrame:
+    """(id, class_id) of the (id, text) that have no shingle: the hash of the whole word list, null texts being a class of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, classes = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                if t is None or len(t.split(None, k - 1)) < k:
+                    at.append(i)
+                    classes.append(xxhash.xxh3_64_intdigest("null" if t is None else "words " + " ".join(t.lower().split()), seed=k))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(classes, np.uint64).view(np.int64))], ["id", "class_id"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, class_id long")
+
+
+def document_groups(docs: DataFrame, id_: str, text: str, k: int = 5, t: float = 0.8) -> DataFrame:
+    """``groups`` with a row for every document: texts without shingles (null, empty, under ``k`` words) are in one class and group with
+    those of the same words in the same order, and similar to no other class."""
+    short = _without_shingles(docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text")), k).distinct()
+    rest = short.select(F.col("id").alias(id_), "class_id", F.col("class_id").alias("group_id"), F.lit(0).cast("long").alias("links"))
+    return groups(docs, id_, text, k, t).unionByName(rest)

@@ -170,6 +170,18 @@ def test_pairs_equal_brute_force(spark, k, t):
     assert all(group[a] == group[b] for a, b in want) and set(group) == {i for i, s in enumerate(sets) if s}
 
 
+def test_groups_have_every_document(spark, tmp_path):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, long), (2, long.upper()), (3, long + " more"), (4, "One  two"), (5, "one\ntwo"), (6, "two one"), (7, ""), (8, " "), (9, None), (10, None), (11, "同じ文。 同じ文。"), (12, "同じ文。 同じ文。"), (13, "one two three four"), (14, "one two three four five")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.p5_groups(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 15))
+    by = lambda c: sorted(sorted(r.doc_id for r in got if r[c] == x) for x in {r[c] for r in got})
+    assert by("class_id") == [[1, 2], [3], [4, 5], [6], [7, 8], [9, 10], [11, 12], [13], [14]]
+    assert by("group_id") == [[1, 2, 3], [4, 5], [6], [7, 8], [9, 10], [11, 12], [13], [14]]
+    assert {r.doc_id for r in got if r.links} == {1, 2, 3}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.pairs(spark.createDataFrame([], "doc_id int, text string"), "doc_id", "text").count() == 0
 
