@@ -6,16 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def arrivals(docs: DataFrame, every: str = "1 day", late: str = "30 days") -> DataFrame:
-    """Documents per source and window of ``posted_at``; rows later than ``late`` are dropped by the watermark. For streams and tables alike."""
+def arrivals(docs: DataFrame, every: str = "1 day", late: str = "90 days") -> DataFrame:
+    """Documents per source and window of ``posted_at``; rows later than ``late`` are dropped by the watermark of a stream, and may be kept
+    aside by ``overdue``. Documents come up to 60 days late. For streams and tables alike."""
     d = docs.withColumn("posted_at", F.col("posted_at").cast("timestamp"))
     d = d.withWatermark("posted_at", late) if docs.isStreaming else d
     return d.groupBy(F.window("posted_at", every).alias("w"), "source").agg(F.count(F.lit(1)).alias("documents")).select(F.col("w.start").alias("from"), "source", "documents")
 
 
-def delivered_once(links: DataFrame, late: str = "7 days") -> DataFrame:
-    """Links without those delivered again within ``late``."""
-    keys = ["doc_id", "start_offset", "id"]
+def overdue(docs: DataFrame, late: str = "90 days") -> DataFrame:
+    """The side table of ``arrivals``: documents received more than ``late`` after they were posted. In order of receipt, no other
+    document can be dropped by its watermark. Keeps no state."""
+    return docs.filter(F.col("received_at").cast("timestamp") > F.col("posted_at").cast("timestamp") + F.expr(f"interval {late}"))
+
+
+def delivered_once(links: DataFrame, late: str = "90 days") -> DataFrame:
+    """Links without those delivered again within ``late``. Links come again up to 61 days later. Hand-typed ones have no id and no
+    offset, so the text tells them apart."""
+    keys = ["doc_id", "start_offset", "id", "text"]
     timed = links.withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
     return timed.withWatermark("loaded_at", late).dropDuplicatesWithinWatermark(keys) if links.isStreaming else links.dropDuplicates(keys)
 
