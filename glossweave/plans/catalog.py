@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import ASCII_FROM, ASCII_TO, PERSONAL, PRONOUNS
 from ..functions.text import asciify, link_entity_type, location_casing, tsv_clean, usable_sentence
 from ..operators import coref, evaluate, gazetteer, ingest, resolve, spans
+from ..session import materialise
 from ..sources.tables import table
 from . import pipelines
 
@@ -474,11 +475,13 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Half of the documents train, the other half is scored; the label is whether the best mention is the name itself."""
-    b = table(spark, d, "best_mentions").withColumn("label", (F.col("best_mention") == F.col("target.name")).cast("double")).filter("label is not null")
+    """Each half of the documents is scored by what the other half trains; the label is whether the best mention is the name itself.
+    Rows whose label is not known are scored but train nothing."""
+    b = table(spark, d, "best_mentions").withColumn("label", (F.col("best_mention") == F.col("target.name")).cast("double"))
     x = evaluate.features(b, _places(spark, d)).join(b.select("doc_id", "bem_index", "label"), ["doc_id", "bem_index"])
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    return evaluate.classify(x.filter(half == 0), x.filter(half == 1)).select("doc_id", "bem_index", "label", "confidence")
+    x = materialise(x.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))))
+    parts = [evaluate.classify(x.filter((F.col("half") != h) & F.col("label").isNotNull()), x.filter(F.col("half") == h)) for h in (0, 1)]
+    return parts[0].unionByName(parts[1]).select("doc_id", "bem_index", "label", "confidence")
 
 
 @query("""SELECT doc_id, target.start_offset AS start_offset, translate(target.text, chr(9) || chr(10), '  ') AS target, translate(best_mention, chr(9) || chr(10), '  ') AS best_mention, kind FROM best_mentions""")

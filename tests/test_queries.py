@@ -33,3 +33,10 @@ def test_against_sql(spark, sf, db, tmp_path, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_best_mention_is_scored(spark, sf):
+    got = catalog.queries()["classifier_scores"](spark, sf)
+    want = spark.read.parquet(f"{sf}/best_mentions.parquet").select("doc_id", "bem_index")
+    assert got.count() == want.count() and want.exceptAll(got.select("doc_id", "bem_index")).count() == 0
+    assert got.filter("confidence between 0 and 1").count() == got.count()
