@@ -84,7 +84,10 @@ KIND = {k: i for i, (k, _) in enumerate(PIECES)}
 BEGIN = r"(?=[<>&*_`\[\]{}\\$#=|~^'!/-]|[ \t:][ \t=|!#`~:<{-]|[A-Za-z]:\\)"
 SCAN = re.compile(BEGIN + "(?:" + "|".join(f"({p})" for _, p in PIECES) + ")")
 SUSPECT = re.compile(r"[<>&*_`\[\]{}\\$#=|~^]|''")
-CODE_LINE = re.compile(r"^\s*(?:[}{)]+;?|(?:for|if|while|def|return|else|elif|class|import|from|SELECT|INSERT|UPDATE|WHERE|FROM|var|let|const|int|print)\b.*[(){}:;=*].*|\w[\w.\[\]'\"]*\s*(?:\+=|-=|=|:=)\s.*|.*[;{]\s*)\s*$")
+CODE_WORD = re.compile(r"(?:for|if|while|def|return|else|elif|class|import|from|SELECT|INSERT|UPDATE|WHERE|FROM|var|let|const|int|print)\b")
+CODE_SIGN = re.compile(r"[(){}:;=*]")
+CODE_START = re.compile(r"\w[\w.\[\]'\"]*\s*(?:\+=|-=|=|:=)\s")
+CODE_END = re.compile(r"[}{)]+;?")
 #: Plain signs: inside a formula, say, they belong to it and are content.
 PLAIN_KINDS = {KIND[k] for k in ("path", "money", "note", "compare", "approx", "number_sign", "power", "star", "underscore", "ampersand", "angle", "other")}
 TEX_ROW = re.compile(r"&[^&\n]*\\\\")
@@ -178,7 +181,7 @@ def train(clean: list[str], seed: int = 11) -> Model:
         formats[fmt] += 1
         for line, r, syntax in page:
             role[fmt, r] += 1
-            look[r, int(bool(CODE_LINE.match(line)))] += 1
+            look[r, int(_code_line(line))] += 1
             for k, a, b in pieces(line):
                 s = int(k not in PLAIN_KINDS and any(a < y and x < b for x, y in syntax))
                 state[r, s] += 1
@@ -186,6 +189,15 @@ def train(clean: list[str], seed: int = 11) -> Model:
     return Model(formats, role, state, kind, look)
 
 
+def _code_line(line: str) -> bool:
+    """Whether a whole line looks like code by its end or its start; linear in its length."""
+    bare = line.strip()
+    if not bare or bare[-1] in ";{":
+        return bool(bare)
+    word = CODE_WORD.match(bare)
+    return bool(CODE_END.fullmatch(bare) or CODE_START.match(line.lstrip()) or (word and CODE_SIGN.search(bare, word.end())))
+
+
 def _batch(texts: list[str | None], model: Model) -> list[list[tuple[int, int, int, float]]]:
     """For each text its pieces with their marginals."""
     kinds, lines, looks, docs, owner, spots = [], [], [], [], [], []
@@ -200,7 +212,7 @@ def _batch(texts: list[str | None], model: Model) -> list[list[tuple[int, int, i
                 a = t.rfind("\n", 0, s) + 1
                 b = t.find("\n", s)
                 b = len(t) if b < 0 else b
-                looks.append(int(bool(CODE_LINE.match(t[a : min(b, a + 400)]))))
+                looks.append(int(_code_line(t[a:b])))
                 docs.append(i)
                 last = a
                 row = TEX_ROW.search(t, a, b)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,18 @@ def test_marginals_equal_enumeration(model):
     assert np.allclose(on / total, model.marginals(kinds, lines, looks, docs, 1))
 
 
+def test_long_lines_are_looked_at_whole():
+    class Looks:
+        def marginals(self, kinds, lines, looks, docs, n):
+            self.looks = looks.tolist()
+            return np.zeros(len(kinds))
+
+    long = "some words with a_sign and *another " * 20
+    for line, want in [(long + ";", 1), (long + "{ ", 1), (long, 0), ("for " + long.replace("*", "_") + "(", 1), ("}" * 500, 1)]:
+        markup._batch(["first\n" + line + "\nlast"], seen := Looks())
+        assert seen.looks == [want], line
+
+
 def test_markup_edges(spark):
     df = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "<DOC id=\"x\">\n", 9), (4, "<b>x</b> " * 20000, 9)], "id int, text string, clean2 int")
     got = {r.id: r for r in markup.residue(df, "text", ["id"], frames=True).collect()}
