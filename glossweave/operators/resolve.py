@@ -156,23 +156,30 @@ def person_in_text(e: DataFrame, docs: DataFrame) -> DataFrame:
 
 def location_in_text(e: DataFrame, docs: DataFrame, g: DataFrame) -> DataFrame:
     """'X, Container' of the raw text, abbreviations expanded, where the gazetteer bears it out; the nearest one, then the first.
-    Texts are matched literally."""
-    pattern = re.compile(r",\s?([A-Z]\S+)[\s.?!,]", re.ASCII)
+    Texts are matched literally, wherever they stand, as they are, in lower or in upper case; hits of one text do not overlap."""
+    pattern = re.compile(r"(?=(,\s?([A-Z]\S+)[\s.?!,]))", re.ASCII)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for d, t in zip(f.doc_id, f.body):
+            for d, t, texts in zip(f.doc_id, f.body, f.texts):
+                plains: dict[str, set[str]] = {}
+                for p in texts:
+                    for x in (p, p.lower(), p.upper()):
+                        plains.setdefault(x, set()).add(p)
+                lengths, over = sorted({len(x) for x in plains}, reverse=True), dict.fromkeys(texts, 0)
                 for m in pattern.finditer(t or ""):
-                    head = t[max(0, m.start() - 60) : m.start()]
-                    starts = [0, *[i + 1 for i, c in enumerate(head) if c == " " or c == "\n"]]
-                    rows += [(d, head[s:], m.start() - len(head) + s, m.group(1)) for s in starts[-6:] if head[s:]]
-            yield pd.DataFrame(rows, columns=["doc_id", "seen", "best_offset", "cont"])
-
-    l = e.filter("entity_type = 'LOCATION'")
-    c = _found(l, docs, scan, "doc_id string, seen string, best_offset int, cont string").withColumn("key", F.lower("seen"))
-    t = _targets(l).withColumn("plain", F.regexp_replace("key", "[()]", "")).withColumn("key", F.lower("plain"))
-    hit = t.join(c, ["doc_id", "key"]).filter("seen = plain or seen = lower(plain) or seen = upper(plain)")
+                    for s in (m.start() - n for n in lengths if n <= m.start()):
+                        for p in plains.get(t[s : m.start()], ()):
+                            if s >= over[p]:
+                                over[p] = m.end(1)
+                                rows.append((d, p, t[s : m.start()], s, m.group(2)))
+            yield pd.DataFrame(rows, columns=["doc_id", "plain", "seen", "best_offset", "cont"])
+
+    t = _targets(e.filter("entity_type = 'LOCATION'")).withColumn("plain", F.regexp_replace("key", "[()]", ""))
+    texts = t.filter("plain <> ''").groupBy("doc_id").agg(F.collect_set("plain").alias("texts"))  # the places of one document
+    c = docs.select(F.col("ext_id").alias("doc_id"), F.col("text").alias("body")).join(texts, "doc_id").mapInPandas(scan, "doc_id string, plain string, seen string, best_offset int, cont string")
+    hit = t.join(c, ["doc_id", "plain"])
     hit = gazetteer.expand_locations(hit.withColumn("pair", location_casing(F.concat_ws(", ", "seen", "cont"))), "pair", g)
     parts = F.split("expanded", ",")
     hit = hit.withColumn("contained", F.lower(F.trim(F.element_at(parts, 1)))).withColumn("name", F.trim(F.try_element_at(parts, F.lit(2)))).withColumn("container", F.lower("name"))

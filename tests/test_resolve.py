@@ -94,3 +94,12 @@ def test_empty_inputs(spark):
     assert resolve.person_affix(e).count() == resolve.organisation_affix(e).count() == resolve.organisation_acronym(e).count() == 0
     assert evaluate.precision_curve(spark.createDataFrame([], "y int, c double, k string"), "y", "c", ["k"]).count() == 0
     assert spans.greedy(spark.createDataFrame([], "doc_id string, inner_id int, start int, end int"), ["doc_id"]).select(F.count("*")).first()[0] == 0
+
+
+def test_locations_stand_anywhere(spark):
+    g = places(spark)
+    e = ents(spark, [("Seattle", 100, None, "LOCATION"), ("Washington", 100, None, "LOCATION")])
+    for text, want in [("Rain (Seattle, Washington) fell", 6), ('"SEATTLE, Washington is', 1), ("To Boston-Seattle, WA now", 10), ("see Nowhere, Seattle, Washington now", 13)]:
+        docs = spark.createDataFrame([("d", text)], "ext_id string, text string")
+        got = [(r.ent_no, r.container_name, r.best_offset) for r in resolve.location_in_text(e, docs, g).collect()]
+        assert got == [(0, "Washington", want)], text
