@@ -97,8 +97,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Five words and 0.8 over the documents of every language, a row for each; those of under five words by their whole word list."""
-    return neardup.document_groups(table(spark, d, "documents"), "doc_id", "text")
+    """Five words and 0.8 over the documents of every language, a row for each; those of under five words by their whole word list.
+    A class (equal sets) and a group (chains of similar texts) bear the least doc_id in them."""
+    g = materialise(neardup.document_groups(table(spark, d, "documents"), "doc_id", "text"))
+    least = lambda c: g.groupBy(c).agg(F.min("doc_id").alias(f"first_of_{c[:-3]}"))
+    return g.join(least("class_id"), "class_id").join(least("group_id"), "group_id").select("doc_id", "first_of_class", "first_of_group", "links")
 
 
 SENTENCE_SOURCES = ["news", "transcript", "bulletin", "archive"]
@@ -170,8 +173,37 @@ fused AS (SELECT doc_id, start_offset, id, CAST(rank_score AS INT) AS rank_score
 """
 
 
+_WS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_WORDS = f"list_filter(string_split_regex(lower(text), '{_WS}'), lambda x: x <> '')"
+
+
+def _runs(k: int) -> str:
+    return "unnest(list_transform(range(1, len(l) - {}), lambda i: {})) AS g".format(k - 2, " || ' ' || ".join(f"l[i + {j}]" for j in range(k)))
+
+
+_PAIRS = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS l FROM documents WHERE lang IS NULL OR lang NOT IN ('zh', 'ja', 'th')),
+s AS (SELECT DISTINCT doc_id, {_runs(3)} FROM w), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL)
+SELECT x AS doc_id_a, y AS doc_id_b FROM c JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 2 * k >= na.n + nb.n - k
+"""
+_GROUPS = f"""
+WITH RECURSIVE w AS (SELECT doc_id, text IS NULL AS no_text, {_WORDS} AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, {_runs(5)} FROM w WHERE len(l) >= 5),
+k AS (SELECT doc_id, md5(string_agg(g, chr(1) ORDER BY g)) AS c, count(*) AS n FROM s GROUP BY doc_id UNION ALL SELECT doc_id, CASE WHEN no_text THEN 'null' ELSE 'w ' || array_to_string(l, ' ') END, 0 FROM w WHERE no_text OR len(l) < 5),
+cls AS (SELECT c, min(doc_id) AS rep, any_value(n) AS n FROM k GROUP BY c), r AS (SELECT s.* FROM s SEMI JOIN cls ON cls.rep = s.doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM r x JOIN r y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN cls na ON na.rep = a JOIN cls nb ON nb.rep = b WHERE 5 * m >= 4 * (na.n + nb.n - m)),
+reach(node, root) AS (SELECT rep, rep FROM cls UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node), roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+deg AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT k.doc_id, cls.rep AS first_of_class, roots.root AS first_of_group, coalesce(deg.links, 0) AS links FROM k JOIN cls USING (c) JOIN roots ON roots.node = cls.rep LEFT JOIN deg ON deg.a = cls.rep
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": _PAIRS,
+        "p5_groups": _GROUPS,
         "p3_fused": _FUSED + "SELECT * FROM fused",
         "p3_found": _FUSED
         + """SELECT doc_id, start_offset, id FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, start_offset) AS n, row_number() OVER (PARTITION BY doc_id, start_offset ORDER BY fused DESC, rank_sum, id) AS r

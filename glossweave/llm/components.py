@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an edge, ``root`` being the least node it is linked to over any number of edges.
 
-    Each round is two aggregates; a hub's neighbours are never collected. Rounds grow with the logarithm of the longest chain.
+    Each round is two aggregates; a hub's neighbours are never collected. Rounds go on until one
+    changes nothing; their number grows with the logarithm of the longest chain.
     Self-links and null ends are ignored; an empty edge table gives no rows.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     e = materialise(e)
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -177,7 +177,7 @@ def test_pairs_equal_brute_force(spark, k, t):
     want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
     df = spark.createDataFrame(rows, "doc_id int, text string, fp int")
     assert {(r.doc_id_a, r.doc_id_b) for r in neardup.pairs(df, "doc_id", "text", k, t).collect()} == want
-    assert {(r.doc_id_a, r.doc_id_b) for r in neardup.pairs(df, "doc_id", "text", k, t, hot_key=3).collect()} == want  # by blocks
+    assert {(r.doc_id_a, r.doc_id_b) for r in neardup.pairs(df, "doc_id", "text", k, t, part=1500, block=3, hot=2).collect()} == want  # by blocks
     got = neardup.groups(df, "doc_id", "text", k, t).collect()
     group = {r.doc_id: r.group_id for r in got}
     assert all(group[a] == group[b] for a, b in want) and set(group) == {i for i, s in enumerate(sets) if s}
@@ -190,11 +190,31 @@ def test_groups_have_every_document(spark, tmp_path):
     got = catalog.p5_groups(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in got) == list(range(1, 15))
     by = lambda c: sorted(sorted(r.doc_id for r in got if r[c] == x) for x in {r[c] for r in got})
-    assert by("class_id") == [[1, 2], [3], [4, 5], [6], [7, 8], [9, 10], [11, 12], [13], [14]]
-    assert by("group_id") == [[1, 2, 3], [4, 5], [6], [7, 8], [9, 10], [11, 12], [13], [14]]
+    assert all(r.first_of_group <= r.first_of_class <= r.doc_id for r in got)
+    assert by("first_of_class") == [[1, 2], [3], [4, 5], [6], [7, 8], [9, 10], [11, 12], [13], [14]]
+    assert by("first_of_group") == [[1, 2, 3], [4, 5], [6], [7, 8], [9, 10], [11, 12], [13], [14]]
     assert {r.doc_id for r in got if r.links} == {1, 2, 3}
 
 
+def test_sketch_by_either_way(spark):
+    df = spark.createDataFrame([(f"w{i % 7} w{i % 5} w{i % 3} w{i % 11}",) for i in range(400)], "text string")
+    assert neardup._sketch(df.coalesce(1), "text", 3) == neardup._sketch(df.repartition(80), "text", 3)  # at once, and in groups first
+    assert len(b"".join(neardup._sketch(df, "text", 3))) < 1 << neardup.SKETCH_BITS
+
+
+def test_cells_cover_every_pair_once():
+    fp = np.arange(40, dtype=np.int64) * 7919
+    row, cell, side = neardup._cells(np.full(40, 5, np.int64), fp, np.full(40, 6, np.int64))
+    seen = {}
+    for c in set(cell.tolist()):
+        own = [(int(r), int(s)) for r, s in zip(row[cell == c], side[cell == c])]
+        for i, (a, s) in enumerate(own):
+            for b, t in own[i + 1 :]:
+                if (s == t == 0) or s != t:
+                    seen[min(a, b), max(a, b)] = seen.get((min(a, b), max(a, b)), 0) + 1
+    assert seen == {(a, b): 1 for a in range(40) for b in range(a + 1, 40)}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.pairs(spark.createDataFrame([], "doc_id int, text string"), "doc_id", "text").count() == 0
 
