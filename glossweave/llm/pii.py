@@ -1,9 +1,10 @@
 """Personal information in free text: weak supervision over candidate spans.
 
-Regular expressions and a gazetteer propose spans; labelers (shapes, gazetteer entries, words around the span) vote for
-or against each. How often every pattern of votes occurs is counted over all candidates; expectation-maximisation on
-these counts estimates the reliability of each labeler and a posterior per pattern, on which a logistic span classifier
-is trained. It decides on every span.
+Regular expressions, a gazetteer and words of address propose spans, far more than are personal information. Labelers (shapes,
+gazetteer entries, words around the span) vote for or against each or abstain. How often every pattern of votes occurs is
+counted over all candidates; expectation-maximisation on these counts estimates the reliability of each labeler and a posterior
+per pattern. On these posteriors a logistic span classifier is trained, over the votes and over features of the span and its
+neighbours; it decides on every span.
 """
 
 from __future__ import annotations
@@ -20,13 +21,17 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-KINDS = ["email", "phone", "id_number", "address", "name"]
-PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-LABELERS = 8
-#: Bits of the gazetteer's address space; a byte each, so its size is fixed.
-GAZETTEER_BITS = 22
-SEGMENT_BITS = 18
-GIVEN, SURNAME = 1, 2
+#: Of overlapping spans the kind that comes first here counts.
+KINDS = ["email", "address", "id_number", "phone", "name"]
+PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
+LABELERS = 10
+#: Entries of the gazetteer at most that are broadcast (16 bytes each); larger ones are joined to the tokens of the texts instead.
+GAZETTEER_ROWS = 2_000_000
+GIVEN, SURNAME, BODY = 1, 2, 3
+#: Spans of a kind at most that the classifier is trained on, drawn by hash from all candidates.
+TRAIN_SPANS = 4000
+#: Places of the hashed features, and features of a span.
+PLACES, FEATURES = 4096, 7
 
 _S = r"[\s­​-‍⁠﻿]"
 _A = r"(?:(?![؀-ۿऀ-໿぀-ヿ一-鿿＀-／：-＠])[\w.+\-­​-‍⁠﻿])"
@@ -34,11 +39,13 @@ _AT = rf"(?:{_S}?[\[(]{_S}?at{_S}?[\])]{_S}?|@)"
 _DOT = rf"(?:{_S}?[\[(]{_S}?dot{_S}?[\])]{_S}?|{_S}dot{_S}|\.)"
 EMAIL = re.compile(rf"{_A}+{_AT}(?:(?![.]){_A})+?(?:{_DOT}[^\W_][\w-]*)+", re.I)
 SPELLED = re.compile(rf"[A-Za-z0-9_+-]+(?:{_S}dot{_S}[A-Za-z0-9_+-]+)*{_S}at{_S}[A-Za-z0-9-]+(?:{_S}dot{_S}[A-Za-z0-9-]+)+(?![\w-])(?!{_S}at{_S}[\w-]+{_S}dot)", re.I)
+HANDLE = re.compile(r"(?<![\w.@])(?:[\w.+-]*\w)?@\w[\w-]*(?![\w.-]*\.\w)")
 EMAIL_HINT = re.compile(r"@|[\[(]\s?at\s?[\])]", re.I)
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"\])|]+")
 PHONE = re.compile(rf"(?<![\w.,/$€£-])(?:\+\d{{1,3}}[\s.-]?)?(?:\(\d{{1,4}}\)[\s.-]?)?\d{{1,5}}(?:[\s.-]\d{{2,5}}){{1,4}}(?:\s?(?:ext\.?|x|extension)\s?\d{{1,5}})?(?![\w/]|[.,-]\d)")
 PHONE_SHAPE = re.compile(r"\+\d{1,3}[\s.-]\d{1,4}(?:[\s.-]\d{2,5}){1,3}$|\(\d{3}\)[\s.-]?\d{3}[\s.-]\d{4}$|(?:1[\s.-])?\d{3}([\s.-])\d{3}\1\d{4}$|0\d{1,3}(?:\s\d{2,5}){2,4}$")
 ID = re.compile(r"(?<![\w./-])(?:\d{3}-\d{2}-\d{4}|\d{2}/\d{3}/\d{5}|\d{3}\.\d{3}\.\d{3}-\d{2}|[A-Z]{1,2}\d{6,9}[A-Z]?|[Ａ-Ｚ]\d{6,9})(?![\w/]|[.-]\d)")
+WIDE_ID = re.compile(r"(?<![\w./-])(?=[^\s]*\d{3})[A-ZＡ-Ｚ]{0,3}\d[\d./-]{3,}\d[A-Z]?(?![\w/]|[.,-]\d)")
 _NO = r"\d{1,4}[a-zA-Z]?"
 _WORD = r"[^\W\d_]+"
 _TOWN = rf"(?:(?:Saint|St\.?|Port|Mount|Fort|New|Old|North|South|East|West)\s)?(?-i:[A-ZＡ-ＺÀ-Þ]){_WORD[:-1]}+(?:\s(?:Heights|Hts\.?|Springs|Falls|Beach|City|Hills|Park))?"
@@ -53,6 +60,7 @@ ADDRESS = re.compile(
     re.I,
 )
 ADDRESS_HINT = re.compile(r"box\s\d|str(?:\.|aße|asse)\s\d|\d,?\s(?:rue|avenue|boulevard|place|chemin|calle|avenida|via|plaza)\s|\d[a-z]?\s[^\W\d_]+\.?\s(?:[^\W\d_]+\s)?(?:lane|street|road|avenue|drive|court|place|square|way|close|terrace|crescent|boulevard|ave|st|rd|ln|dr|blvd|ct|pl)\b|(?:weg|platz|gasse)\s\d", re.I)
+WAY = re.compile(rf"(?<![\w-])(?:{_NO}\s)?[A-Z]{_WORD}\s(?:Lane|Street|Road|Avenue|Drive|Court|Square|Terrace|Crescent|Boulevard|Ave|Rd|Ln|Blvd)(?!\w)")
 # Words around personal information, in the languages of the corpus.
 PHONE_BEFORE = re.compile(r"(?:tel|tél|telefon|phone|call|reached on|fax|mobile|contact|or|тел|телефон|電話|电话|هاتف|फ़ोन|फ़ोन|โทร|teléfono|téléphone)[.:：]?\s*$", re.I)
 NUMBER_BEFORE = re.compile(r"(?:lot|order|code|ref\.?|section|point|no\.|page|item|invoice|№)\s*$", re.I)
@@ -61,20 +69,20 @@ ADDRESS_BEFORE = re.compile(r"(?:lives at|goes to|address|adresse|anschrift|dire
 TITLE_BEFORE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Gen|Col|Capt|Rev|Sr|Sra|Dra|M|Mme|Mlle|Herr|Frau|Hr|Fr|Señor|Señora)\.?|г-н|г-жа)\s$")
 PERSON_BEFORE = re.compile(r"(?:\b(?:by|to|of|and|for|with|said|told|asked|according to|remove|witness|lists|an|a|lobte|hörte|félicité|écouté|écoute|elogió a|escuchó a|schreiben|write)|[.!?:\"“>*\[]|^)\s*$", re.I)
 PERSON_AFTER = re.compile(r"^(?:['’]s|\s(?:said|told|and|called|who|lives|\w+ly\s\w+ed|\w+ed|twice|gave|für|pour|por|im|en)\b|[,.]\s|\s\()")
+TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Gen|Col|Capt|Rev|Mme|Mlle|Herr|Frau|Señora?)\.?\s([A-ZÀ-Þ][^\W\d_]+(?:[ \n][A-ZÀ-Þ][^\W\d_]+)?)")
+MONEY_NEAR = re.compile(r"[$€£]\s*$|(?:crowns|euros?|dollars|kg|tonnes|tons|pages|percent|%)\b", re.I)
 BODY_AFTER = re.compile(r"^\s?(?:,?\s?(?:and|&)\sSons|\s(?:Brothers|Bros|Institute|Inst|Association|Assn|Company|Co\b|Corp|Limited|Ltd|International|Intl|Int'l|Foods|University|Street|Lane|Road|Ave|Football|Maritime|Observatory|Airport|Province|Heights|Formation|Marathon|Church))", re.I)
 TOKEN = re.compile(r"[^\W\d_]+(?:[­​-‍⁠﻿̀-ͯ'’-]+[^\W\d_]+)*")
-RUN = re.compile(r"[GSBI]*[SB][GSBI]*|[G][GI]*I*[G]")
+RUN = re.compile(r"[GSI]*[GS][GSI]*")
 
 
 def _key(token: str) -> str:
     return re.sub("[­​-‍⁠﻿]", "", token).lower()
 
 
-def gazetteer(mentions: DataFrame, texts: list[str], kind: str) -> list[bytes]:
-    """A table of fixed size: for the hash of a token, whether it is mostly part of names of people, as a given name or a surname.
-
-    Counted over all mentions; two tokens may share a place, and the other labelers then outvote it."""
-    size, part = 1 << GAZETTEER_BITS, 1 << SEGMENT_BITS
+def gazetteer(mentions: DataFrame, texts: list[str], kind: str) -> DataFrame:
+    """(token, class): every token of the mentions, mostly part of names of people, as a given name or a surname, or of other names.
+    Counted over all mentions."""
     spelled = mentions.select(F.col(kind).alias("kind"), F.explode(F.array(*[F.col(t) for t in texts])).alias("t")).filter("t is not null and kind is not null").groupBy("kind", "t").agg(F.count(F.lit(1)).alias("n"))
     plain = F.lower(F.regexp_replace("t", "[­​-‍⁠﻿]", ""))
     comma = F.regexp_replace(F.regexp_replace(plain, r"^([^,]*),(.*)$", "$2 $1"), "['’]s?$", "")
@@ -83,45 +91,33 @@ def gazetteer(mentions: DataFrame, texts: list[str], kind: str) -> list[bytes]:
     person = F.col("kind") == "PERSON"
     last = F.col("i") == F.col("m") - 1
     sums = each.groupBy("token").agg(F.sum("n").alias("all"), F.sum(F.when(person, F.col("n")).otherwise(0)).alias("person"), F.sum(F.when(person & ~last, F.col("n")).otherwise(0)).alias("given"))
-    sums = sums.filter("person > 0.6 * all").select("token", F.when(F.col("given") * 2 > F.col("person"), GIVEN).otherwise(SURNAME).alias("bit"))
+    return sums.select("token", F.when(F.col("person") <= 0.6 * F.col("all"), BODY).when(F.col("given") * 2 > F.col("person"), GIVEN).otherwise(SURNAME).alias("class"))
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for b in batches:
-            for token, bit in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at = xxhash.xxh3_64_intdigest(token) % size
-                parts.setdefault(at >> SEGMENT_BITS, np.zeros(part, np.uint8))[at & (part - 1)] |= bit
-        for seg, a in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([zlib.compress(a.tobytes(), 1)], pa.binary())], ["seg", "bits"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
+
+def _hash(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token)
+
+
+def _hashed(entries: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for seg, bits in zip(b.column(0).to_pylist(), b.column(1)):
-                a = np.frombuffer(zlib.decompress(bits.as_py()), np.uint8)
-                parts[seg] = parts[seg] | a if seg in parts else a
-        for seg, a in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([zlib.compress(a.tobytes(), 1)], pa.binary())], ["seg", "bits"])
+            h = np.array([_hash(t) for t in b.column(0).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(1).cast(pa.int8())], ["h", "class"])
 
-    got = {r.seg: bytes(r.bits) for r in sums.mapInArrow(fill, "seg int, bits binary").repartition("seg").mapInArrow(join, "seg int, bits binary").collect()}
-    empty = zlib.compress(bytes(part), 1)
-    return [got.get(i, empty) for i in range(size >> SEGMENT_BITS)]
+    return entries.mapInArrow(run, "h long, class byte")
 
 
 def _names(text: str, code_of: dict[str, str], blocked: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    """Spans built from tokens of the gazetteer and the initials beside them, and the form each has."""
+    """Spans built from tokens of the gazetteer and what stands beside them, and the form each has: G given name, S surname, I initial,
+    O unknown word, a comma where the surname comes first. What is none (lone given names, lower-case words) is proposed too."""
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-    codes = []
-    for a, b in tokens:
-        c = code_of.get(text[a:b])
-        codes.append(c if c else code_of[text[a:b]])
-    line = "".join(codes)
+    line = "".join([code_of[text[a:b]] for a, b in tokens])
     french = (" le " in text or " la " in text or " avec " in text) and " the " not in text and " el " not in text
     for run in RUN.finditer(line):
         i, stop = run.start(), run.end()
         while i < stop:
             at = tokens[i][0]
-            if line[i] == "I" and i + 1 < stop and text[at : at + 3] == "M. " and (line[i + 1] in "GB" or french and re.search(r"(?:^|[.!?:>*\n-]\s*)$", text[max(0, at - 3) : at])):
+            if line[i] == "I" and i + 1 < stop and text[at : at + 3] == "M. " and (line[i + 1] in "G" or french and re.search(r"(?:^|[.!?:>*\n-]\s*)$", text[max(0, at - 3) : at])):
                 i += 1  # Monsieur
                 continue
             seq = [i]
@@ -132,21 +128,21 @@ def _names(text: str, code_of: dict[str, str], blocked: list[tuple[int, int]]) -
                 c, form = line[j], "".join(line[x] for x in seq)
                 low = text[tokens[j][0]].islower()
                 if gap in (" ", "\n", " ") or (len(gap) == 1 and gap.isspace()) or (gap in (". ", ".\n", ".") and line[j - 1] == "I"):
-                    done = re.search(r"^I*[GB]+I*[SB]$|^[SB][GI]$|^I+[SB]$", form) if not comma else re.search(r"^[SB](?:[GB]|I+)$", form)
+                    done = re.search(r"^I*G+I*S$|^S[GI]$|^I+S$", form) if not comma else re.search(r"^S(?:G|I+)$", form)
                     if done and not (c == "I" and comma):
                         break
-                    if form in ("S", "B") and c == "S" and not low:
+                    if form in ("S",) and c == "S" and not low:
                         break
-                elif re.fullmatch(r",\s", gap) and form in ("S", "B") and c in "GBI" and not comma:
+                elif re.fullmatch(r",\s", gap) and form in ("S",) and c in "GI" and not comma:
                     after = text[tokens[j][1] : tokens[j + 1][0]] if j + 1 < len(tokens) else ""
-                    if c in "GB" and j + 1 < stop and line[j + 1] in "SB" and after.isspace():
+                    if c in "G" and j + 1 < stop and line[j + 1] in "S" and after.isspace():
                         break
                     if c == "I" and not text[tokens[j][1] : tokens[j][1] + 1] == ".":
                         break
                     comma = True
-                elif re.fullmatch(r"\s[\"“]", gap) and c in "GB":
+                elif re.fullmatch(r"\s[\"“]", gap) and c in "G":
                     pass
-                elif re.fullmatch(r"[\"”]\s", gap) and c in "SB":
+                elif re.fullmatch(r"[\"”]\s", gap) and c in "S":
                     pass
                 else:
                     break
@@ -154,15 +150,21 @@ def _names(text: str, code_of: dict[str, str], blocked: list[tuple[int, int]]) -
                 j += 1
             form = "".join(line[x] for x in seq)
             a, b = tokens[seq[0]][0], tokens[seq[-1]][1]
-            if ("S" in form or "B" in form) or form.count("G") > 1:
+            if form.strip("I"):
                 if form[-1] == "I" and comma and text[b : b + 1] == ".":
                     b += 1
                 word = re.sub(r"['’]s?$", "", text[a:b])
                 b = a + len(word)
-                lower = text[a].islower() and (len(seq) == 1 or text[tokens[seq[-1]][0]].islower())
-                if not (lower and len(seq) == 1) and form not in ("G", "I") and not any(a < y and x < b for x, y in blocked):
+                if not any(a < y and x < b for x, y in blocked):
                     yield a, b, ("," if comma else "") + form
+                    if form == "G" and j < len(tokens) and line[j] in "OK" and text[b : tokens[j][0]] == " " and text[tokens[j][0]].isupper() and text[a].isupper():
+                        yield a, tokens[j][1], "G" + line[j]
             i = j
+    for m in TITLED.finditer(text):
+        words = m.group(1).split()
+        form = "".join(code_of[w] for w in words)
+        if form[0] in "OK" and not any(m.start(1) < y and x < m.end(1) for x, y in blocked):
+            yield m.start(1), m.start(1) + len(words[0]) if len(words) > 1 and form[1] in "GS" else m.end(1), form[0] if len(words) > 1 and form[1] in "GS" else form
 
 
 def _votes(votes: list[int]) -> int:
@@ -173,103 +175,165 @@ def _votes(votes: list[int]) -> int:
     return out
 
 
-def find(text: str, code_of: dict[str, str]) -> list[tuple[str, int, int, int]]:
-    """(kind, start, end, votes) of the candidates of a text."""
-    out: list[tuple[str, int, int, int]] = []
+def _shape(word: str) -> str:
+    """The word with letters as x, capitals as X and digits as 9, runs shortened."""
+    return re.sub(r"(.)\1+", r"\1+", word.translate(_SHAPES)) if word.isascii() else "U" + str(len(word))
+
+
+_SHAPES = {**{ord(c): "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{ord(c): "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{ord(c): "9" for c in "0123456789"}}
+
+
+def _features(kind: str, text: str, a: int, b: int, votes: int) -> list[int]:
+    """Places of the hashed features: words before and after, shape and length of the span."""
+    before, after = text[max(0, a - 24) : a].split()[-2:], text[b : b + 24].split()[:2]
+    span = text[a:b]
+    one, two = (before[-1] if before else "^"), (after[0] if after else "$")
+    names = ["p" + one.lower(), "q" + " ".join(before).lower(), "n" + two.lower(), "m" + " ".join(after).lower(), "s" + _shape(span), f"l{min(len(span), 40) // 4}", f"w{span.count(' ')}" + text[a - 1 : a] + "|" + text[b : b + 1]]
+    return [zlib.crc32(x.encode()) % PLACES for x in names]
+
+
+def find(text: str, code_of: dict[str, str]) -> list[tuple[int, int, int, int]]:
+    """(kind, start, end, votes) of the candidates of a text; spans of several kinds may overlap. ``kind`` is a place in ``KINDS``."""
+    out: list[tuple[int, int, int, int]] = []
     urls = [m.span() for m in URL.finditer(text)] if "://" in text or "www." in text else []
-    taken = list(urls)
-    inside = lambda a, b, spans: any(x <= a and b <= y for x, y in spans)
+    inside = lambda a, b: any(x <= a and b <= y for x, y in urls)
     marked = list(EMAIL.finditer(text)) if EMAIL_HINT.search(text) else []
     if "dot" in text or "DOT" in text or "Dot" in text:
         marked += [m for m in SPELLED.finditer(text) if not any(m.start() < x.end() and x.start() < m.end() for x in marked)]
-    if marked:
-        for m in marked:
-            a, b = m.span()
-            s = m.group()
-            lead = len(s) - len(s.lstrip(".-+"))
-            a += lead
-            if inside(a, b, urls):
-                continue
-            tld = re.split(rf"{_DOT}", s)[-1]
+    if "@" in text:
+        marked += [m for m in HANDLE.finditer(text) if not any(m.start() < x.end() and x.start() < m.end() for x in marked)]
+    for m in marked:
+        a, b = m.span()
+        s = m.group()
+        a, b = a + len(s) - len(s.lstrip(".-+_")), b - len(s) + len(s.rstrip("_"))
+        s = text[a:b]
+        if not inside(a, b):
+            parts = re.split(rf"{_DOT}", s)
+            tld = parts[-1]
             before = text[max(0, a - 24) : a]
-            out.append(("email", a, b, _votes([1 if "@" in s else 0, 1 if re.search(r"[\[(]\s?at|\sat\s", s, re.I) and re.search(r"dot|\.", s, re.I) else 0, 1 if tld.isalpha() and 2 <= len(tld) <= 12 else 2, 1 if re.search(r"(?:to|contact|mail|e-mail|\(|:|：|or|копи|copy)\s?$", before, re.I) else 0])))
-            taken.append((a, b))
+            votes = [1 if "@" in s else 0, 1 if re.search(r"[\[(]\s?at|\sat\s", s, re.I) and re.search(r"dot|\.", s, re.I) else 0, 1 if len(parts) > 1 and tld.isalpha() and 2 <= len(tld) <= 12 else 2, 1 if re.search(r"(?:to|contact|mail|e-mail|\(|:|：|or|копи|copy)\s?$", before, re.I) else 0, 2 if len(parts) == 1 else 0, 2 if s.startswith("@") else 0]
+            out.append((0, a, b, _votes(votes)))
     if any(c.isdigit() for c in text):
-        hint = ADDRESS_HINT.search(text)
-        for m in ADDRESS.finditer(text) if hint else ():
+        seen = []
+        for m in ADDRESS.finditer(text) if ADDRESS_HINT.search(text) else ():
             a, b = m.span()
             s = m.group()
-            if inside(a, b, urls):
-                continue
-            before = text[max(0, a - 30) : a]
-            town = "," in s
-            out.append(("address", a, b, _votes([1 if town else 2, 1 if re.search(r"\d{5}", s) or re.search(r"Box", s, re.I) else 0, 1 if ADDRESS_BEFORE.search(before) else 0, 1 if re.search(r"[A-Z]", s[:14].replace("P.O", "p.o")) or "rue" in s else 2])))
-            taken.append((a, b))
-        for m in ID.finditer(text):
+            if not inside(a, b):
+                votes = [1 if "," in s else 0, 1 if re.search(r"\d{5}", s) or re.search(r"Box", s, re.I) else 0, 1 if ADDRESS_BEFORE.search(text[max(0, a - 30) : a]) else 0, 1 if re.search(r"[A-Z]", s[:14].replace("P.O", "p.o")) or "rue" in s else 2, 1 if re.match(r"\d|p\.?\s?o|box|post", s, re.I) or re.search(r"\d", s) else 2, 2 if re.search(r"\s(?:rue|avenue|boulevard|place|chemin|calle|avenida|via|plaza)\s(?:de\s)?(?![A-ZÀ-Þ])", s) else 0]
+                out.append((1, a, b, _votes(votes)))
+                seen.append((a, b))
+        for m in WAY.finditer(text):
             a, b = m.span()
-            if inside(a, b, taken):
-                continue
-            s, before = m.group(), text[max(0, a - 70) : a]
-            near = before[-14:]
-            labelled = ID_BEFORE.search(before)
-            strict = re.fullmatch(r"\d{3}-\d{2}-\d{4}|\d{2}/\d{3}/\d{5}|\d{3}\.\d{3}\.\d{3}-\d{2}|[A-ZＡ-Ｚ]\d{8}|[A-Z]{2}\d{6}[A-Z]", s)
-            out.append(("id_number", a, b, _votes([1 if strict else 2, 1 if labelled else 2, 2 if NUMBER_BEFORE.search(near) and not re.search(r"passport", before, re.I) else 0, 1 if len(s) >= 8 else 2])))
-            taken.append((a, b))
+            if not inside(a, b) and not any(a < y and x < b for x, y in seen):
+                numbered = text[a].isdigit()
+                out.append((1, a, b, _votes([0, 0, 1 if ADDRESS_BEFORE.search(text[max(0, a - 30) : a]) else 0, 1, 1 if numbered else 2, 0 if numbered else 2])))
+        seen = []
+        for pattern in (ID, WIDE_ID):
+            for m in pattern.finditer(text):
+                a, b = m.span()
+                if inside(a, b) or any(a < y and x < b for x, y in seen):
+                    continue
+                s, before = m.group(), text[max(0, a - 70) : a]
+                strict = re.fullmatch(r"\d{3}-\d{2}-\d{4}|\d{2}/\d{3}/\d{5}|\d{3}\.\d{3}\.\d{3}-\d{2}|[A-ZＡ-Ｚ]\d{8}|[A-Z]{2}\d{6}[A-Z]", s)
+                votes = [1 if strict else 2, 1 if ID_BEFORE.search(before) else 0, 2 if NUMBER_BEFORE.search(before[-14:]) and not re.search(r"passport", before, re.I) else 0, 1 if len(s) >= 8 else 2, 2 if pattern is WIDE_ID else 0, 2 if MONEY_NEAR.search(before[-3:] + " ") or MONEY_NEAR.match(text[b : b + 10].lstrip()) else 0]
+                out.append((2, a, b, _votes(votes)))
+                seen.append((a, b))
         for m in PHONE.finditer(text):
             a, b = m.span()
             s = m.group()
-            digits = sum(c.isdigit() for c in re.split(r"ext|x", s)[0])
-            if digits < 7 or inside(a, b, taken) or any(a < y and x < b for x, y in taken):
-                continue
-            before = text[max(0, a - 24) : a]
             core = re.split(r"\s?(?:ext|x)", s)[0]
-            out.append(("phone", a, b, _votes([1 if PHONE_SHAPE.match(core) else 2, 1 if PHONE_BEFORE.search(before) else 0, 2 if NUMBER_BEFORE.search(before) else 0, 1 if 10 <= digits <= 13 else 2])))
-            taken.append((a, b))
-    for a, b, form in _names(text, code_of, taken):
+            digits = sum(c.isdigit() for c in core)
+            if digits >= 5 and not any(a < y and x < b for x, y in urls):
+                before, after = text[max(0, a - 24) : a], text[b : b + 10].lstrip()
+                votes = [1 if PHONE_SHAPE.match(core) else 2, 1 if PHONE_BEFORE.search(before) else 0, 2 if NUMBER_BEFORE.search(before) else 0, 1 if 10 <= digits <= 13 else 2, 2 if digits < 7 else 0, 2 if MONEY_NEAR.match(after) or MONEY_NEAR.search(before[-3:]) else 0, 1 if s[0] in "+(" or len(core) < len(s) else 0]
+                out.append((3, a, b, _votes(votes)))
+    for a, b, form in _names(text, code_of, urls):
         before, after = text[max(0, a - 24) : a], text[b : b + 24]
-        titled = TITLE_BEFORE.search(before)
-        out.append(("name", a, b, _votes([1, 1 if re.search("[GB].*[SB]|[SB].*[GB]|I", form) else 0, 1 if titled else 0, 1 if PERSON_BEFORE.search(before) else 0, 1 if PERSON_AFTER.match(after) else 0, 2 if BODY_AFTER.match(after) else 0, 2 if text[a].islower() and len(form) < 2 else 0])))
+        whole = re.search("[GI].*S|S.*[GI]|GG", form)
+        small = text[a].islower() and text[b - 1].islower() and len(form) < 2
+        unknown = "O" in form or "K" in form
+        votes = [1 if whole else 0, 1 if form == "S" else 0, 1 if TITLE_BEFORE.search(before) else 0, 1 if PERSON_BEFORE.search(before) else 0, 1 if PERSON_AFTER.match(after) else 0, 2 if BODY_AFTER.match(after) else 0, 2 if small else 0, 2 if form.strip("I") == "G" and not whole else 0, 2 if unknown else 0, 2 if "K" in form else 0]
+        out.append((4, a, b, _votes(votes)))
     return out
 
 
 class _Codes(dict):
-    """Token -> G given name, S surname, B either, I initial, O other; filled as tokens come up."""
+    """Token -> G given name, S surname, K part of other names, I initial, O unknown; filled as tokens come up, from a sorted table of hashes."""
 
-    def __init__(self, bits: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray, classes: np.ndarray) -> None:
         super().__init__()
-        self.bits = bits
+        self.hashes, self.classes = hashes, classes
 
     def __missing__(self, token: str) -> str:
         bare = re.sub(r"['’]s?$", "", token)
         if len(bare) == 1:
             c = "I" if bare.isupper() else "O"
         else:
-            key = _key(bare)
-            bit = int(self.bits[xxhash.xxh3_64_intdigest(key) % len(self.bits)])
-            c = "OGSB"[bit]
+            h = np.uint64(_hash(_key(bare))).astype(np.int64)
+            at = int(np.searchsorted(self.hashes, h))
+            c = "?GSK"[self.classes[at]] if at < len(self.hashes) and self.hashes[at] == h else "O"
         if len(self) < 500_000:
             self[token] = c
         return c
 
 
-def candidates(docs: DataFrame, id_: str, text: str, table: list[bytes]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def _text_tokens(text: str) -> set[int]:
+    return {_hash(_key(re.sub(r"['’]s?$", "", m.group()))) for m in TOKEN.finditer(text)}
+
+
+def candidates(docs: DataFrame, id_: str, text: str, entries: DataFrame, most: int = GAZETTEER_ROWS) -> DataFrame:
+    """(id, kinds, starts, ends, votes, feats) of every text: its candidates side by side, ``FEATURES`` places of features each.
+
+    A gazetteer of at most ``most`` entries is broadcast as a sorted table of hashes; a larger one is joined to the tokens of the texts.
+    """
     kind = docs.schema[id_].dataType.simpleString()
+    src = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"))
+    entries = materialise(_hashed(entries))
+    table = None
+    if entries.count() <= most:
+        t = entries.toArrow().combine_chunks()
+        order = np.argsort(t.column("h").to_numpy(), kind="stable")
+        table = docs.sparkSession.sparkContext.broadcast((t.column("h").to_numpy()[order], t.column("class").to_numpy()[order]))
+    else:
+        src = src.withColumn("rid", F.xxhash64("id", "text"))
+
+        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sets = [_text_tokens(t) if t else () for t in b.column(1).to_pylist()]
+                at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                h = np.fromiter((x for own in sets for x in own), np.uint64, len(at)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(h)], ["rid", "h"])
+
+        known = src.select("rid", "text").mapInArrow(tokens, "rid long, h long").distinct().join(entries, "h")
+        known = known.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("h", "class"))).alias("known"))  # the known tokens of one text
+        src = src.join(known, "rid", "left").select("id", "text", F.col("known.h").alias("h"), F.col("known.class").alias("class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes(np.concatenate([np.frombuffer(zlib.decompress(s), np.uint8) for s in shared.value]))
+        codes = None if table is None else _Codes(*table.value)
         for b in batches:
-            at, rows = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
+            rows: list[tuple[int, int, int, int]] = []
+            feats: list[int] = []
+            offsets = [0]
+            own = [None] * b.num_rows if codes is not None else list(zip(b.column(2), b.column(3)))
+            for t, mine in zip(b.column(1).to_pylist(), own):
                 if t:
-                    found = find(t, codes)
+                    if codes is None:
+                        known = [x.values for x in mine]
+                        c = _Codes(*(k.to_numpy() if k is not None else np.empty(0, np.int64) for k in known))
+                    else:
+                        c = codes
+                    found = find(t, c)
                     rows += found
-                    at += [i] * len(found)
-            if rows:
-                k, s, e, v = zip(*rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(k), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(v, pa.int32())], ["id", "kind", "start_pos", "end_pos", "votes"])
+                    for k, x, y, v in found:
+                        feats += _features(KINDS[k], t, x, y, v)
+                offsets.append(len(rows))
+            a = np.array(rows, np.int64).reshape(-1, 4)
+            at = pa.array(offsets, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(a[:, i].astype(np.int32))) for i in range(4)]
+            wide = pa.ListArray.from_arrays(pa.array(np.array(offsets) * FEATURES, pa.int32()), pa.array(np.array(feats, np.int16)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists, wide], ["id", "kinds", "starts", "ends", "votes", "feats"])
 
-    return docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, kind string, start_pos int, end_pos int, votes int")
+    return src.mapInArrow(run, f"id {kind}, kinds array<int>, starts array<int>, ends array<int>, votes array<int>, feats array<short>")
 
 
 def _unpack(patterns: np.ndarray) -> np.ndarray:
@@ -298,40 +362,91 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) ->
     return post, like
 
 
-def span_classifier(patterns: np.ndarray, counts: np.ndarray, post: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Probability of each pattern by a logistic model of the votes, trained on the posteriors, every pattern weighted by the root of its count."""
-    v = _unpack(patterns)
-    x = np.concatenate([np.ones((len(v), 1)), v == 1, v == 2], 1).astype(float)
-    w, weight = np.zeros(x.shape[1]), np.sqrt(counts) / np.sqrt(counts).sum()
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(x.shape[1])
-        step = np.linalg.solve(hess, x.T @ (weight * (p - post)) + 1e-4 * w)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+def span_classifier(votes: np.ndarray, feats: np.ndarray, post: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Weights of a logistic model over votes and features, trained on the posteriors. Places beyond ``PLACES`` are the votes'."""
+    x = _places(votes, feats)
+    w, g2 = np.zeros(PLACES + 4 * LABELERS + 1), np.full(PLACES + 4 * LABELERS + 1, 1e-8)
+    for _ in range(steps):  # gradient steps with a rate of its own for each weight
+        p = 1 / (1 + np.exp(-np.clip(w[x].sum(1), -30, 30)))
+        grad = np.bincount(x.ravel(), np.repeat((p - post) / len(post), x.shape[1]), len(w)) + 1e-4 * w
+        g2 += grad * grad
+        w -= 0.5 * grad / np.sqrt(g2)
+    return w
+
+
+def _places(votes: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    """A row for each span: the places of its features, of its votes and of the constant."""
+    v = _unpack(votes) + 4 * np.arange(LABELERS)[None, :] + PLACES
+    return np.concatenate([feats.astype(np.int64), v, np.full((len(v), 1), PLACES + 4 * LABELERS)], 1)
+
+
+def _fit(found: DataFrame) -> tuple[dict[int, np.ndarray], dict[int, tuple[int, np.ndarray]]]:
+    """For each kind the weights of its classifier, and (candidates, P(vote | truth)). The votes of all candidates are counted; the
+    classifier learns from at most about ``TRAIN_SPANS`` of each kind, drawn by hash."""
+    each = found.select("id", "feats", F.posexplode(F.arrays_zip("kinds", "votes", "starts")).alias("i", "c"))
+    # at most 3 ** LABELERS patterns for each of five kinds, whatever the corpus
+    tally = each.groupBy(F.col("c.kinds").alias("kind"), F.col("c.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total = {k: sum(r.n for r in tally if r.kind == k) for k in range(len(KINDS))}
+    share = F.element_at(F.array(*[F.lit(min(1.0, TRAIN_SPANS / max(1, total[k]))) for k in range(len(KINDS))]), F.col("c.kinds") + 1)
+    drawn = each.filter(F.pmod(F.xxhash64("id", "c.starts", "c.kinds"), F.lit(1 << 30)) < share * (1 << 30))
+    drawn = drawn.select(F.col("c.kinds").alias("kind"), F.col("c.votes").alias("votes"), F.slice("feats", F.col("i") * FEATURES + 1, F.lit(FEATURES)).alias("feats")).toArrow()
+    weights, learnt = {}, {}
+    kinds, votes = drawn.column("kind").to_numpy(), drawn.column("votes").to_numpy()
+    feats = drawn.column("feats").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
+    for k in range(len(KINDS)):
+        own = [(r.votes, r.n) for r in tally if r.kind == k]
+        if own and (kinds == k).any():
+            patterns, counts = np.array([x for x, _ in own]), np.array([float(n) for _, n in own])
+            post, like = reliabilities(patterns, counts)
+            order = np.argsort(patterns)
+            mine = kinds == k
+            weights[k] = span_classifier(votes[mine], feats[mine], post[order][np.searchsorted(patterns[order], votes[mine])])
+            learnt[k] = (int(counts.sum()), like)
+    return weights, learnt
 
 
-def spans(docs: DataFrame, id_: str, text: str, mentions: DataFrame, mention_texts: list[str], mention_kind: str, threshold: float = 0.5) -> DataFrame:
-    """(id, kind, start_pos, end_pos, probability), positions in code points, of all personal information found.
+def scored(docs: DataFrame, id_: str, text: str, mentions: DataFrame, mention_texts: list[str], mention_kind: str, threshold: float = 0.5, most: int = GAZETTEER_ROWS) -> DataFrame:
+    """Every candidate: (id, kind, start_pos, end_pos, probability, accepted). Accepted are those of ``threshold`` or more that no accepted
+    span of an earlier kind, or a longer or likelier one of their own kind, overlaps."""
+    found = materialise(candidates(docs, id_, text, gazetteer(mentions, mention_texts, mention_kind), most))
+    shared = docs.sparkSession.sparkContext.broadcast(_fit(found)[0])
 
-    Null and empty texts have none. Texts are read whole. Rows repeated are read each. An empty gazetteer leaves names unfound
-    but all other kinds as they are.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+        for b in batches:
+            flat = [b.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(1, 6)]
+            kinds, starts, ends, votes = flat[:4]
+            row = np.repeat(np.arange(b.num_rows), np.diff(b.column(1).offsets.to_numpy()))
+            feats = flat[4].reshape(-1, FEATURES)
+            p = np.zeros(len(kinds))
+            for k, w in weights.items():
+                own = kinds == k
+                p[own] = 1 / (1 + np.exp(-np.clip(w[_places(votes[own], feats[own])].sum(1), -30, 30)))
+            taken = np.zeros(len(kinds), bool)
+            order = np.lexsort((-p, starts - ends, kinds, row))
+            order = order[p[order] >= threshold]
+            held: list[tuple[int, int]] = []
+            current = -1
+            for i, r, a, e in zip(order.tolist(), row[order].tolist(), starts[order].tolist(), ends[order].tolist()):
+                if r != current:
+                    current, held = r, []
+                if not any(a < y and x < e for x, y in held):
+                    held.append((a, e))
+                    taken[i] = True
+            names = pa.array([KINDS[k] for k in kinds.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), names, pa.array(starts), pa.array(ends), pa.array(p), pa.array(taken)], ["id", "kind", "start_pos", "end_pos", "probability", "accepted"])
+
+    kind = docs.schema[id_].dataType.simpleString()
+    return found.mapInArrow(run, f"id {kind}, kind string, start_pos int, end_pos int, probability double, accepted boolean").withColumnRenamed("id", id_)
+
+
+def spans(docs: DataFrame, id_: str, text: str, mentions: DataFrame, mention_texts: list[str], mention_kind: str, threshold: float = 0.5, most: int = GAZETTEER_ROWS) -> DataFrame:
+    """(id, kind, start_pos, end_pos, probability), positions in code points, of all personal information found; spans do not overlap.
+
+    Null and empty texts have none. Texts are read whole. Rows repeated are read each. An empty gazetteer leaves all names unfound but
+    those after a title, other kinds as they are. Other columns are ignored.
     """
-    found = materialise(candidates(docs, id_, text, gazetteer(mentions, mention_texts, mention_kind)))
-    # at most 2 ** 16 patterns for each of five kinds, whatever the corpus
-    tally = found.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    rows = []
-    for kind in KINDS:
-        own = [(r.votes, r.n) for r in tally if r.kind == kind]
-        if own:
-            patterns, counts = np.array([x for x, _ in own]), np.array([float(n) for _, n in own])
-            post, _ = reliabilities(patterns, counts)
-            rows += [(kind, int(x), float(p)) for x, p in zip(patterns, span_classifier(patterns, counts, post))]
-    scores = docs.sparkSession.createDataFrame(rows, "kind string, votes int, probability double")
-    kept = found.join(F.broadcast(scores), ["kind", "votes"]).filter(F.col("probability") >= threshold)
-    return kept.select(F.col("id").alias(id_), "kind", "start_pos", "end_pos", "probability")
+    return scored(docs, id_, text, mentions, mention_texts, mention_kind, threshold, most).filter("accepted").drop("accepted")
 
 
 def masked(docs: DataFrame, id_: str, text: str, found: DataFrame) -> DataFrame:

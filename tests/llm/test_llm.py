@@ -354,6 +354,32 @@ def test_personal_information(spark):
     assert pii.spans(df.filter("false"), "doc_id", "text", e.filter("false"), ["t"], "kind").count() == 0
 
 
+def test_gazetteer_by_either_way(spark, sf):
+    docs, e = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/entities.parquet")
+    of = lambda most: {tuple(r) for r in pii.candidates(docs, "doc_id", "text", pii.gazetteer(e, ["text", "name"], "entity_type"), most).select("id", F.to_json("starts"), F.to_json("votes"), F.to_json("feats")).collect()}
+    broadcast = of(pii.GAZETTEER_ROWS)
+    assert broadcast == of(0) and len(broadcast) == docs.count()
+
+
+def test_the_classifier_rejects_of_every_kind(spark, sf):
+    docs, e = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/entities.parquet")
+    got = pii.scored(docs, "doc_id", "text", e, ["text", "name"], "entity_type").cache()
+    assert {r.kind for r in got.filter("not accepted and probability < 0.5").select("kind").distinct().collect()} == set(pii.KINDS)
+    taken = got.filter("accepted")
+    clash = taken.alias("x").join(taken.alias("y"), "doc_id").filter("(x.start_pos, x.end_pos) <> (y.start_pos, y.end_pos) and x.start_pos < y.end_pos and y.start_pos < x.end_pos")
+    assert clash.count() == 0
+
+
+# names of the annotated mentions stand at known places: the share of them that is found, and of what is found that is one of them
+def test_names_against_annotated_mentions(spark, sf):
+    docs, e = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/entities.parquet")
+    found = pii.spans(docs, "doc_id", "text", e, ["text", "name"], "entity_type").filter("kind = 'name'").join(docs.select("doc_id", "ext_id"), "doc_id").select("ext_id", "start_pos", "end_pos").distinct()
+    # of annotations whose text was changed after they were made the place is not exact
+    said = e.filter("entity_type = 'PERSON'").join(docs.select(F.col("ext_id").alias("doc_id"), F.col("text").alias("body")), "doc_id").filter(F.expr("substring(body, start_offset + 1, length(text)) = text"))
+    said = said.select(F.col("doc_id").alias("ext_id"), F.col("start_offset").alias("start_pos"), (F.col("start_offset") + F.length("text")).alias("end_pos")).distinct()
+    assert found.join(said, ["ext_id", "start_pos", "end_pos"]).count() / said.count() > 0.97
+
+
 # ---- queries ---------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
