@@ -37,14 +37,17 @@ _S = r"[\s­​-‍⁠﻿]"
 _A = r"(?:(?![؀-ۿऀ-໿぀-ヿ一-鿿＀-／：-＠])[\w.+\-­​-‍⁠﻿])"
 _AT = rf"(?:{_S}?[\[(]{_S}?at{_S}?[\])]{_S}?|@)"
 _DOT = rf"(?:{_S}?[\[(]{_S}?dot{_S}?[\])]{_S}?|{_S}dot{_S}|\.)"
-EMAIL = re.compile(rf"{_A}+{_AT}(?:(?![.]){_A})+?(?:{_DOT}[^\W_][\w-]*)+", re.I)
+LOCAL = re.compile(_A)
+AT_SIGN = re.compile(_AT, re.I)
+DOMAIN = re.compile(rf"(?:(?![.]){_A})+?(?:{_DOT}[^\W_][\w-]*)+", re.I)
+SPELLED_HINT = re.compile(rf"{_S}dot{_S}", re.I)
 SPELLED = re.compile(rf"[A-Za-z0-9_+-]+(?:{_S}dot{_S}[A-Za-z0-9_+-]+)*{_S}at{_S}[A-Za-z0-9-]+(?:{_S}dot{_S}[A-Za-z0-9-]+)+(?![\w-])(?!{_S}at{_S}[\w-]+{_S}dot)", re.I)
-HANDLE = re.compile(r"(?<![\w.@])(?:[\w.+-]*\w)?@\w[\w-]*(?![\w.-]*\.\w)")
-EMAIL_HINT = re.compile(r"@|[\[(]\s?at\s?[\])]", re.I)
+HANDLE = re.compile(r"@\w[\w-]*(?![\w.-]*\.\w)")
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"\])|]+")
 PHONE = re.compile(rf"(?<![\w.,/$€£-])(?:\+\d{{1,3}}[\s.-]?)?(?:\(\d{{1,4}}\)[\s.-]?)?\d{{1,5}}(?:[\s.-]\d{{2,5}}){{1,4}}(?:\s?(?:ext\.?|x|extension)\s?\d{{1,5}})?(?![\w/]|[.,-]\d)")
+SEPARATORS = (" ", "\n", "\t", ".", "-", ")", "\u00a0", "\u2009", "\u202f", "\u3000")
 PHONE_SHAPE = re.compile(r"\+\d{1,3}[\s.-]\d{1,4}(?:[\s.-]\d{2,5}){1,3}$|\(\d{3}\)[\s.-]?\d{3}[\s.-]\d{4}$|(?:1[\s.-])?\d{3}([\s.-])\d{3}\1\d{4}$|0\d{1,3}(?:\s\d{2,5}){2,4}$")
-ID = re.compile(r"(?<![\w./-])(?:\d{3}-\d{2}-\d{4}|\d{2}/\d{3}/\d{5}|\d{3}\.\d{3}\.\d{3}-\d{2}|[A-Z]{1,2}\d{6,9}[A-Z]?|[Ａ-Ｚ]\d{6,9})(?![\w/]|[.-]\d)")
+ID = re.compile(r"(?:\d{3}-\d{2}-\d{4}|\d{2}/\d{3}/\d{5}|\d{3}\.\d{3}\.\d{3}-\d{2}|[A-Z]{1,2}\d{6,9}[A-Z]?|[Ａ-Ｚ]\d{6,9})")
 WIDE_ID = re.compile(r"(?<![\w./-])(?=[^\s]*\d{3})[A-ZＡ-Ｚ]{0,3}\d[\d./-]{3,}\d[A-Z]?(?![\w/]|[.,-]\d)")
 _NO = r"\d{1,4}[a-zA-Z]?"
 _WORD = r"[^\W\d_]+"
@@ -59,7 +62,10 @@ ADDRESS = re.compile(
     rf"|(?:P\.\s?O\.|PO|Post(?:\sOffice)?)\s?Box\s\d{{1,6}}(?:,\s(?:{_CODE}\s)?{_TOWN}(?:,?\s{_CODE})?)?)(?![\w])",
     re.I,
 )
-ADDRESS_HINT = re.compile(r"box\s\d|str(?:\.|aße|asse)\s\d|\d,?\s(?:rue|avenue|boulevard|place|chemin|calle|avenida|via|plaza)\s|\d[a-z]?\s[^\W\d_]+\.?\s(?:[^\W\d_]+\s)?(?:lane|street|road|avenue|drive|court|place|square|way|close|terrace|crescent|boulevard|ave|st|rd|ln|dr|blvd|ct|pl)\b|(?:weg|platz|gasse)\s\d", re.I)
+# Addresses hold a number: where its house, way or box may stand before it.
+NUMBER = re.compile(r"\d+")
+WAY_BEFORE = re.compile(rf"{_WORD}(?:str\.|straße|strasse|weg|platz|gasse)\s$", re.I)
+BOX_BEFORE = re.compile(r"(?:P\.\s?O\.|PO|Post(?:\sOffice)?)\sBox\s$", re.I)
 WAY = re.compile(rf"(?<![\w-])(?:{_NO}\s)?[A-Z]{_WORD}\s(?:Lane|Street|Road|Avenue|Drive|Court|Square|Terrace|Crescent|Boulevard|Ave|Rd|Ln|Blvd)(?!\w)")
 # Words around personal information, in the languages of the corpus.
 PHONE_BEFORE = re.compile(r"(?:tel|tél|telefon|phone|call|reached on|fax|mobile|contact|or|тел|телефон|電話|电话|هاتف|फ़ोन|फ़ोन|โทร|teléfono|téléphone)[.:：]?\s*$", re.I)
@@ -188,8 +194,87 @@ def _features(kind: str, text: str, a: int, b: int, votes: int) -> list[int]:
     before, after = text[max(0, a - 24) : a].split()[-2:], text[b : b + 24].split()[:2]
     span = text[a:b]
     one, two = (before[-1] if before else "^"), (after[0] if after else "$")
-    names = ["p" + one.lower(), "q" + " ".join(before).lower(), "n" + two.lower(), "m" + " ".join(after).lower(), "s" + _shape(span), f"l{min(len(span), 40) // 4}", f"w{span.count(' ')}" + text[a - 1 : a] + "|" + text[b : b + 1]]
-    return [zlib.crc32(x.encode()) % PLACES for x in names]
+    return [_place["p" + one], _place["q" + before[0] if len(before) > 1 else "q"], _place["n" + two], _place["m" + after[1] if len(after) > 1 else "m"], _place["s" + _shape(span)], _place[f"l{min(len(span), 40) // 4}"], _place[f"w{span.count(' ')}{text[a - 1 : a]}|{text[b : b + 1]}"]]
+
+
+class _Places(dict):
+    """Feature -> its hashed place."""
+
+    def __missing__(self, name: str) -> int:
+        at = zlib.crc32(name.lower().encode("utf-8", "replace")) % PLACES
+        if len(self) < 200_000:
+            self[name] = at
+        return at
+
+
+_place = _Places()
+
+
+def _mails(text: str) -> list[tuple[int, int]]:
+    """Runs around an at sign with a domain after it, spelled-out addresses, and names after a bare at sign."""
+    out: list[tuple[int, int]] = []
+    if "@" in text or "(" in text or "[" in text:
+        for m in AT_SIGN.finditer(text):
+            a, least = m.start(), out[-1][1] if out else 0
+            while a > least and LOCAL.match(text, a - 1):
+                a -= 1
+            if a < m.start() and (d := DOMAIN.match(text, m.end())):
+                out.append((a, d.end()))
+            elif m.group() == "@" and (d := HANDLE.match(text, m.start())):
+                out.append((a, d.end()))
+    if SPELLED_HINT.search(text):
+        out += [m.span() for m in SPELLED.finditer(text) if not any(m.start() < y and x < m.end() for x, y in out)]
+    return out
+
+
+def _addresses(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    end = 0
+    for at, stop in runs:
+        if at < end:
+            continue
+        before = None
+        if text[at - 1 : at].isspace() and text[max(0, at - 7) : at - 1].lower().endswith(("str.", "straße", "trasse", "weg", "platz", "gasse", "box")):
+            near = text[max(0, at - 40) : at]
+            before = WAY_BEFORE.search(near) or BOX_BEFORE.search(near[-16:])
+        after = text[stop : stop + 1]
+        if before or after.isspace() or after == "," or after.isalpha():
+            if m := ADDRESS.match(text, at - len(before.group()) if before else at):
+                out.append(m.span())
+                end = m.end()
+    return out
+
+
+def _numbers(text: str, runs: list[tuple[int, int]]) -> tuple[list[re.Match], list[re.Match]]:
+    """Matches of identity numbers and of phone numbers, none overlapping one of its kind."""
+    ids, phones = [], []
+    id_end = phone_end = 0
+    for at, stop in runs:
+        start = at
+        while start > at - 3 and start > id_end and (text[start - 1].isupper() and (text[start - 1] < "[" or "Ａ" <= text[start - 1] <= "Ｚ")):
+            start -= 1
+        if at >= id_end and (m := WIDE_ID.match(text, start)):
+            ids.append(m)
+            id_end = m.end()
+        if at >= phone_end and (text[stop : stop + 1] in SEPARATORS or text[at - 1 : at] in "+("):
+            start = at - 1 if text[at - 1 : at] in ("+", "(") else at
+            m = PHONE.match(text, start) or (PHONE.match(text, at) if start < at else None)
+            if m:
+                phones.append(m)
+                phone_end = m.end()
+    return ids, phones
+
+
+class _Forms(dict):
+    """What the form of a name tells by itself: votes of whole names, lone surnames, lone given names, unknown and known other words."""
+
+    def __missing__(self, form: str) -> tuple[int, int, int, int, int]:
+        whole = bool(re.search("[GI].*S|S.*[GI]|GG", form))
+        self[form] = (1 if whole else 0, 1 if form == "S" else 0, 2 if form.strip("I") == "G" and not whole else 0, 2 if "O" in form or "K" in form else 0, 2 if "K" in form else 0)
+        return self[form]
+
+
+_forms = _Forms()
 
 
 def find(text: str, code_of: dict[str, str]) -> list[tuple[int, int, int, int]]:
@@ -197,14 +282,8 @@ def find(text: str, code_of: dict[str, str]) -> list[tuple[int, int, int, int]]:
     out: list[tuple[int, int, int, int]] = []
     urls = [m.span() for m in URL.finditer(text)] if "://" in text or "www." in text else []
     inside = lambda a, b: any(x <= a and b <= y for x, y in urls)
-    marked = list(EMAIL.finditer(text)) if EMAIL_HINT.search(text) else []
-    if "dot" in text or "DOT" in text or "Dot" in text:
-        marked += [m for m in SPELLED.finditer(text) if not any(m.start() < x.end() and x.start() < m.end() for x in marked)]
-    if "@" in text:
-        marked += [m for m in HANDLE.finditer(text) if not any(m.start() < x.end() and x.start() < m.end() for x in marked)]
-    for m in marked:
-        a, b = m.span()
-        s = m.group()
+    for a, b in _mails(text):
+        s = text[a:b]
         a, b = a + len(s) - len(s.lstrip(".-+_")), b - len(s) + len(s.rstrip("_"))
         s = text[a:b]
         if not inside(a, b):
@@ -213,11 +292,11 @@ def find(text: str, code_of: dict[str, str]) -> list[tuple[int, int, int, int]]:
             before = text[max(0, a - 24) : a]
             votes = [1 if "@" in s else 0, 1 if re.search(r"[\[(]\s?at|\sat\s", s, re.I) and re.search(r"dot|\.", s, re.I) else 0, 1 if len(parts) > 1 and tld.isalpha() and 2 <= len(tld) <= 12 else 2, 1 if re.search(r"(?:to|contact|mail|e-mail|\(|:|：|or|копи|copy)\s?$", before, re.I) else 0, 2 if len(parts) == 1 else 0, 2 if s.startswith("@") else 0]
             out.append((0, a, b, _votes(votes)))
-    if any(c.isdigit() for c in text):
-        seen = []
-        for m in ADDRESS.finditer(text) if ADDRESS_HINT.search(text) else ():
-            a, b = m.span()
-            s = m.group()
+    runs = [m.span() for m in NUMBER.finditer(text)]
+    seen: list[tuple[int, int]] = []
+    if runs:
+        for a, b in _addresses(text, runs):
+            s = text[a:b]
             if not inside(a, b):
                 votes = [1 if "," in s else 0, 1 if re.search(r"\d{5}", s) or re.search(r"Box", s, re.I) else 0, 1 if ADDRESS_BEFORE.search(text[max(0, a - 30) : a]) else 0, 1 if re.search(r"[A-Z]", s[:14].replace("P.O", "p.o")) or "rue" in s else 2, 1 if re.match(r"\d|p\.?\s?o|box|post", s, re.I) or re.search(r"\d", s) else 2, 2 if re.search(r"\s(?:rue|avenue|boulevard|place|chemin|calle|avenida|via|plaza)\s(?:de\s)?(?![A-ZÀ-Þ])", s) else 0]
                 out.append((1, a, b, _votes(votes)))
@@ -227,18 +306,15 @@ def find(text: str, code_of: dict[str, str]) -> list[tuple[int, int, int, int]]:
             if not inside(a, b) and not any(a < y and x < b for x, y in seen):
                 numbered = text[a].isdigit()
                 out.append((1, a, b, _votes([0, 0, 1 if ADDRESS_BEFORE.search(text[max(0, a - 30) : a]) else 0, 1, 1 if numbered else 2, 0 if numbered else 2])))
-        seen = []
-        for pattern in (ID, WIDE_ID):
-            for m in pattern.finditer(text):
-                a, b = m.span()
-                if inside(a, b) or any(a < y and x < b for x, y in seen):
-                    continue
+        ids, phones = _numbers(text, runs)
+        for m in ids:
+            a, b = m.span()
+            if not inside(a, b):
                 s, before = m.group(), text[max(0, a - 70) : a]
                 strict = re.fullmatch(r"\d{3}-\d{2}-\d{4}|\d{2}/\d{3}/\d{5}|\d{3}\.\d{3}\.\d{3}-\d{2}|[A-ZＡ-Ｚ]\d{8}|[A-Z]{2}\d{6}[A-Z]", s)
-                votes = [1 if strict else 2, 1 if ID_BEFORE.search(before) else 0, 2 if NUMBER_BEFORE.search(before[-14:]) and not re.search(r"passport", before, re.I) else 0, 1 if len(s) >= 8 else 2, 2 if pattern is WIDE_ID else 0, 2 if MONEY_NEAR.search(before[-3:] + " ") or MONEY_NEAR.match(text[b : b + 10].lstrip()) else 0]
+                votes = [1 if strict else 2, 1 if ID_BEFORE.search(before) else 0, 2 if NUMBER_BEFORE.search(before[-14:]) and not re.search(r"passport", before, re.I) else 0, 1 if len(s) >= 8 else 2, 0 if ID.fullmatch(s) else 2, 2 if MONEY_NEAR.search(before[-3:] + " ") or MONEY_NEAR.match(text[b : b + 10].lstrip()) else 0]
                 out.append((2, a, b, _votes(votes)))
-                seen.append((a, b))
-        for m in PHONE.finditer(text):
+        for m in phones:
             a, b = m.span()
             s = m.group()
             core = re.split(r"\s?(?:ext|x)", s)[0]
@@ -249,10 +325,9 @@ def find(text: str, code_of: dict[str, str]) -> list[tuple[int, int, int, int]]:
                 out.append((3, a, b, _votes(votes)))
     for a, b, form in _names(text, code_of, urls):
         before, after = text[max(0, a - 24) : a], text[b : b + 24]
-        whole = re.search("[GI].*S|S.*[GI]|GG", form)
         small = text[a].islower() and text[b - 1].islower() and len(form) < 2
-        unknown = "O" in form or "K" in form
-        votes = [1 if whole else 0, 1 if form == "S" else 0, 1 if TITLE_BEFORE.search(before) else 0, 1 if PERSON_BEFORE.search(before) else 0, 1 if PERSON_AFTER.match(after) else 0, 2 if BODY_AFTER.match(after) else 0, 2 if small else 0, 2 if form.strip("I") == "G" and not whole else 0, 2 if unknown else 0, 2 if "K" in form else 0]
+        whole, alone, given, unknown, known = _forms[form]
+        votes = [whole, alone, 1 if TITLE_BEFORE.search(before) else 0, 1 if PERSON_BEFORE.search(before) else 0, 1 if PERSON_AFTER.match(after) else 0, 2 if BODY_AFTER.match(after) else 0, 2 if small else 0, given, unknown, known]
         out.append((4, a, b, _votes(votes)))
     return out
 
