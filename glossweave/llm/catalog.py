@@ -43,8 +43,8 @@ def _residue(spark: SparkSession, d: str) -> DataFrame:
     a = docs.select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), F.lit(-1).alias("line_no"), "text")
     b = table(spark, d, "doc_lines").select(F.lit("doc_lines").alias("tbl"), F.col("doc_id").alias("rec_id"), "line_no", F.col("line").alias("text"))
     keep = ["tbl", "rec_id", "line_no"]
-    of_docs = markup.residue(a, "text", keep, fit_on=docs)
-    return of_docs.unionByName(markup.residue(b, "text", keep, fit_on=docs, frames=True))
+    model = markup.fit(docs, "text")
+    return markup.residue(a, "text", keep, model).unionByName(markup.residue(b, "text", keep, model, frames=True))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Markup residue in text: a tree-structured model tells syntax from content, then texts are rewritten.
 
-A text is a tree: the document, its lines, and in them the pieces that could be markup. The document has a format
-(plain, HTML, Markdown, wiki, TeX), a line a role (prose, code, markup), a piece is syntax or content. Potentials between
-parent and child and of each kind of piece are counted on labelled pages, which are made from clean lines of the corpus.
-Sum-product messages up and down the tree give the marginal of every piece.
+A text is parsed into nested nodes as a lenient browser would do it: the document, its lines, the elements that an opening
+and a closing piece enclose (tags, links, templates, environments, commands with braces, fences, formulas, emphasis), the
+lines within elements of several lines, and the single pieces. The document has a format (plain, HTML, Markdown, wiki, TeX),
+a line that and a role (prose, code, markup), an element or piece is syntax or content. Potentials tie each node to its parent
+by the kinds and states of both; they are counted on labelled pages, which are rendered in every format from clean lines of
+the corpus. Sum-product messages up and down the tree give the marginal of every node.
 """
 
 from __future__ import annotations
@@ -35,14 +37,14 @@ _bare = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reve
 _full = {n[:-1] for n in html5 if n.endswith(";")}
 # Kinds of pieces, the more specific first; the last ones are mostly plain use of the same characters.
 PIECES: list[tuple[str, str]] = [
-    ("comment", r"<!--(?:[^\n]*?-->)?|-->"),
+    ("comment", r"<!--|-->"),
     ("tag", rf"</?(?i:{_names})(?:\s[^<>\n]*)?/?>"),
     ("tag_other", r"</?[A-Za-z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:\"[^\"\n]*\"|'[^'\n]*'|[^\s<>]+))*\s*/?>"),
     ("tag_broken", rf"</?(?i:{_names})(?:\s+[\w:-]+=[^<>\n]*)?(?=\s|$|<|\.|,)(?!\s*[=<>]?\s*\d)|(?<![\w<])/(?i:{_names})>|</?(?i:{_names})$"),
     ("entity_tag", rf"&lt;/?(?i:{_names})(?:\s[^&\n]*)?/?&gt;"),
     ("entity", r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"),
     ("entity_broken", rf"&(?:#\d{{2,5}}|{_bare})(?![A-Za-z0-9=])"),
-    ("md_link", r"!?\[[^\]\n]*\]\([^)\n]*\)|\]\((?:https?://|[\w./]+\))|!\[[^\]\n]{0,60}\]?(?=\(|$)"),
+    ("md_link", r"!?\[[^\]\n]*\]\([^)\n]*\)|\]\((?:https?://|[\w./]+\))|!\[[^\[\]\n]*\]?(?=\(|$)"),
     ("wiki_link", r"\[\[|\]\]"),
     ("ext_link", r"\[(?:https?:)?//[^\s\]]+"),
     ("template", r"\{\{\{?|\}\}\}?(?!\$)"),
@@ -53,12 +55,12 @@ PIECES: list[tuple[str, str]] = [
     ("fence", r"(?m:^[ \t]*(?:```|~~~)[\w+-]*[ \t]*$)|```"),
     ("inline_code", r"(?<!`)`[^`\n]+`(?!`)"),
     ("emphasis", r"\*\*\*?(?=\S)|(?<=\S)\*\*\*?|(?<![\w])__(?=\S)|(?<=\S)__(?!\w)|~~"),
-    ("single_emphasis", r"(?<![\w*\\])\*(?=[^\s*])[^*\n]{1,80}?(?<=[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]{1,80}?(?<=[^\s_])_(?![\w_])"),
+    ("single_emphasis", r"(?<![\w*\\])\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]*(?<=[^\s_])_(?![\w_])"),
     ("md_heading", r"(?m:^[ \t]{0,3}#{1,6}[ \t]+(?=\S))"),
     ("wiki_heading", r"(?m:^[ \t]*={2,6}[ \t]*[^=\n].*$|[ \t]={2,6}[ \t]*$)"),
     ("path", r"(?<!\w)[A-Za-z]:\\[\w\\.-]+"),
     ("display_math", r"\$\$|\\\[(?!\d)|\\\]|\\\(|\\\)"),
-    ("inline_math", r"(?<![\w$\\])\$(?![\s\d][^$\n]*\$?\d)(?=[^$\n]*[\\^_={}+])[^$\n]{1,120}\$(?!\d)|(?<![\w$\\])\$[a-zA-Z]\$"),
+    ("inline_math", r"(?<![\w$\\])\$(?![\s\d][^$\n]*\$?\d)(?=[^$\n]*[\\^_={}+])[^$\n]+\$(?!\d)|(?<![\w$\\])\$[a-zA-Z]\$"),
     ("tex_environment", r"\\(?:begin|end)\s?\{[^}\n]*\}?"),
     ("tex_command", r"\\[a-zA-Z]{2,}\*?|\\[a-zA-Z](?=[{\s])"),
     ("tex_break", r"\\\\(?:\[[\w.]+\])?"),
@@ -66,7 +68,7 @@ PIECES: list[tuple[str, str]] = [
     ("tex_script", r"(?<=[\w)}])[_^]\{"),
     ("tex_tie", r"(?<=[A-Za-z.])~(?=[A-Za-z\\\d])"),
     ("money", r"\$\d[\d.,]*"),
-    ("note", r"\[[^\[\]\n]{0,40}\]"),
+    ("note", r"\[[^\[\]\n]*\]"),
     ("compare", r"<=|>=|<>|&&|<(?=[\s\d%=-])|>(?=[\s\d%=-])|->|=>"),
     ("approx", r"~(?=\d)"),
     ("number_sign", r"#(?=[\w])"),
@@ -79,7 +81,9 @@ PIECES: list[tuple[str, str]] = [
     ("pipe", r"\|"),
     ("other", r"[`~\\$#=]{1,3}"),
 ]
-KIND = {k: i for i, (k, _) in enumerate(PIECES)}
+# kinds told by more than a pattern: tags and environments that hold what is not prose
+KIND = {k: i for i, k in enumerate([*(k for k, _ in PIECES), "tag_code", "tag_math", "tex_verbatim"])}
+NAMES = list(KIND)
 #: What a piece can begin with; at any other place no pattern is tried.
 BEGIN = r"(?=[<>&*_`\[\]{}\\$#=|~^'!/-]|[ \t:][ \t=|!#`~:<{-]|[A-Za-z]:\\)"
 SCAN = re.compile(BEGIN + "(?:" + "|".join(f"({p})" for _, p in PIECES) + ")")
@@ -88,9 +92,15 @@ CODE_WORD = re.compile(r"(?:for|if|while|def|return|else|elif|class|import|from|
 CODE_SIGN = re.compile(r"[(){}:;=*]")
 CODE_START = re.compile(r"\w[\w.\[\]'\"]*\s*(?:\+=|-=|=|:=)\s")
 CODE_END = re.compile(r"[}{)]+;?")
-#: Plain signs: inside a formula, say, they belong to it and are content.
-PLAIN_KINDS = {KIND[k] for k in ("path", "money", "note", "compare", "approx", "number_sign", "power", "star", "underscore", "ampersand", "angle", "other")}
 TEX_ROW = re.compile(r"&[^&\n]*\\\\")
+# Elements that hold code, that hold formulas, and that are never closed.
+CODE_TAGS, MATH_TAGS = {"pre", "code", "syntaxhighlight", "nowiki", "kbd", "samp"}, {"math", "sup", "sub"}
+VOID_TAGS = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track"}
+TAG_NAME = re.compile(r"</?([A-Za-z][\w:-]*)")
+#: Kinds of pieces that can enclose something, and those of them that end with their line.
+LINE_ONLY = {KIND[k] for k in ("wiki_link", "emphasis", "quotes")}
+TAGS = {KIND[k] for k in ("tag", "tag_other", "tag_code", "tag_math")}
+COMMANDS = {KIND[k] for k in ("tex_command", "tex_script")}
 
 
 def pieces(text: str) -> list[tuple[int, int, int]]:
@@ -100,93 +110,421 @@ def pieces(text: str) -> list[tuple[int, int, int]]:
         k = m.lastindex - 1
         if k == KIND["entity"] and m.group()[1] != "#" and m.group()[1:-1] not in _full:
             k = KIND["ampersand"]
+        elif k == KIND["tag"]:
+            name = TAG_NAME.match(m.group()).group(1).lower()
+            k = KIND["tag_code"] if name in CODE_TAGS else KIND["tag_math"] if name in MATH_TAGS else k
+        elif k == KIND["tex_environment"] and re.search("verbatim|lstlisting", m.group()):
+            k = KIND["tex_verbatim"]
         out.append((k, m.start(), m.end()))
     return out
 
 
+def _side(k: int, piece: str) -> tuple[str, int] | None:
+    """What a piece opens (1), closes (-1) or either (0), by a key that both sides share."""
+    if k in TAGS:
+        name = TAG_NAME.match(piece)
+        name = name.group(1).lower() if name else ""
+        return None if name in VOID_TAGS or piece.endswith("/>") else ("<" + name, -1 if piece.startswith("</") else 1)
+    if k == KIND["brace"] or k == KIND["tex_script"]:
+        return ("{", -1 if piece == "}" else 1)
+    if k == KIND["wiki_link"]:
+        return ("[[", 1 if piece == "[[" else -1)
+    if k == KIND["template"]:
+        return ("{" * len(piece), 1 if piece[0] == "{" else -1)
+    if k == KIND["tex_environment"] or k == KIND["tex_verbatim"]:
+        return ("\\" + piece[piece.find("{") + 1 :].rstrip("}"), 1 if piece.startswith("\\begin") else -1)
+    if k == KIND["fence"]:
+        return ("fence", 0)
+    if k == KIND["emphasis"] or k == KIND["quotes"]:
+        return (piece, 0)
+    if k == KIND["display_math"]:
+        return ("$$", 0) if piece == "$$" else ("\\[" if piece in ("\\[", "\\]") else "\\(", 1 if piece in ("\\[", "\\(") else -1)
+    if k == KIND["comment"]:
+        return ("<!", 1 if piece == "<!--" else -1)
+    if k == KIND["wiki_table"]:
+        body = piece.lstrip()
+        return ("{|", 1) if body.startswith("{|") else ("{|", -1) if body.startswith("|}") else None
+    return None
+
+
+def partners(text: str, own: list[tuple[int, int, int]]) -> list[int]:
+    """For each piece the one that closes or opens its element, -1 for none. Elements nest; what crosses another stays single."""
+    out = [-1] * len(own)
+    stack: list[tuple[str, int, int]] = []
+    live: dict[str, int] = {}
+    dead: set[int] = set()
+    short: list[tuple[str, int]] = []
+    line_end = -1
+    for i, (k, s, e) in enumerate(own):
+        if s > line_end:
+            for key, j in short:  # emphasis and the like end with the line
+                if out[j] < 0 and j not in dead:
+                    dead.add(j)
+                    live[key] -= 1
+            short = []
+            line_end = text.find("\n", s)
+            line_end = len(text) if line_end < 0 else line_end
+        side = _side(k, text[s:e])
+        if side is None:
+            continue
+        key, way = side
+        if way <= 0 and live.get(key, 0) > 0:
+            while True:
+                name, j, _ = stack.pop()
+                if j in dead:
+                    continue
+                live[name] -= 1
+                dead.add(j)
+                if name == key:
+                    break
+            out[i], out[j] = j, i
+        elif way >= 0:
+            stack.append((key, i, s))
+            live[key] = live.get(key, 0) + 1
+            if k in LINE_ONLY:
+                short.append((key, i))
+    # a command whose argument is in braces encloses it: both braces are the command's
+    for i in range(1, len(own)):
+        if own[i][0] == KIND["brace"] and out[i] > i and own[i - 1][0] == KIND["tex_command"] and own[i - 1][2] == own[i][1]:
+            out[i - 1] = out[i]
+    return out
+
+
+class Forest:
+    """The trees of many texts side by side: for each node its type (0 document, 1 line, 2 element or piece), kind, parent, depth and, for
+    lines, look; ``node`` tells the node of each piece, ``pieces`` (text, kind, start, end, partner) of each."""
+
+    def __init__(self) -> None:
+        self.typ: list[int] = []
+        self.kind: list[int] = []
+        self.parent: list[int] = []
+        self.depth: list[int] = []
+        self.look: list[int] = []
+        self.at: list[tuple[int, int]] = []
+        self.node: list[int] = []
+        self.pieces: list[tuple[int, int, int, int, int]] = []
+
+    def _add(self, typ: int, kind: int, parent: int, look: int, at: tuple[int, int]) -> int:
+        self.typ.append(typ)
+        self.kind.append(kind)
+        self.parent.append(parent)
+        self.depth.append(0 if parent < 0 else self.depth[parent] + 1)
+        self.look.append(look)
+        self.at.append(at)
+        return len(self.typ) - 1
+
+    def plant(self, owner: int, text: str) -> None:
+        """Adds the tree of a text; one without pieces has none."""
+        own = pieces(text)
+        if not own:
+            return
+        other = partners(text, own)
+        root = self._add(0, 0, -1, 0, (owner, 0))
+        of = [-1] * len(own)
+        boxes: list[tuple[int, int, int]] = []  # node, closing piece, line
+        line, line_no, end, row = root, 0, -1, None
+        for i, (k, s, e) in enumerate(own):
+            while boxes and boxes[-1][1] < i:
+                boxes.pop()
+            if s > end:
+                a = text.rfind("\n", 0, s) + 1
+                end = text.find("\n", s)
+                end = len(text) if end < 0 else end
+                line_no += 1
+                line = self._add(1, 0, boxes[-1][0] if boxes else root, int(_code_line(text[a:end])), (owner, a))
+                row = TEX_ROW.search(text, a, end)
+            if k == KIND["ampersand"] and row:
+                k = KIND["tex_break"]
+            if 0 <= other[i] < i:
+                of[i] = of[other[i]]
+            elif i and other[i] > i and own[i - 1][0] == KIND["tex_command"] and other[i - 1] == other[i]:
+                of[i] = of[i - 1]  # the opening brace of a command
+            else:
+                of[i] = self._add(2, 2 * k + (other[i] > i), boxes[-1][0] if boxes and boxes[-1][2] == line_no else line, 0, (owner, s))
+                if other[i] > i:
+                    boxes.append((of[i], other[i], line_no))
+            self.node.append(of[i])
+            self.pieces.append((owner, k, s, e, other[i]))
+
+
 class Model:
-    """Log potentials, learnt by counting: role given format, syntax or content given role, kind of piece given syntax or content, and the
-    look of a line given its role."""
-
-    def __init__(self, formats: np.ndarray, role: np.ndarray, state: np.ndarray, kind: np.ndarray, look: np.ndarray) -> None:
-        norm = lambda a: np.log(a / a.sum(-1, keepdims=True))
-        self.formats, self.role, self.state, self.kind, self.look = norm(formats), norm(role), norm(state), norm(kind), norm(look)
-
-    def marginals(self, kinds: np.ndarray, lines: np.ndarray, looks: np.ndarray, docs: np.ndarray, n_docs: int) -> np.ndarray:
-        """P(syntax) of each piece; ``lines`` tells its line, ``docs`` the document of each line. All trees of a batch at once."""
-        joint = self.state[None, :, :] + self.kind.T[kinds][:, None, :]  # piece, role, state
-        up = np.logaddexp(joint[..., 0], joint[..., 1])
-        line = self.look.T[looks].copy()
-        np.add.at(line, lines, up)
-        to_doc = np.logaddexp.reduce(self.role[None] + line[:, None, :], axis=2)  # line, format
-        doc = np.repeat(self.formats[None], n_docs, 0)
-        np.add.at(doc, docs, to_doc)
-        from_doc = doc[docs] - to_doc  # the message without the line's own
-        down = np.logaddexp.reduce(self.role[None] + from_doc[:, :, None], axis=1)
-        belief = (down + line)[lines] - up  # what the rest of the tree says of the role
-        both = np.logaddexp.reduce(belief[:, :, None] + joint, axis=1)
-        return np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
-
-
-def _labelled(lines: list[str], rng: np.random.Generator) -> Iterator[tuple[int, list[tuple[str, int, list[tuple[int, int]]]]]]:
-    """Pages made of clean lines: (format, [(line, role, spans of syntax)])."""
-    words = [w for l in lines for w in re.findall(r"[^\W\d_]{3,}", l)] or ["word"]
-    pick = lambda: words[rng.integers(len(words))]
-    num = lambda: int(rng.integers(1, 100))
-    wraps = {
-        1: [("<b>", "</b>"), ("<em class=\"x\">", "</em>"), ("<a href=\"https://e.example/a?id=3\">", "</a>"), ("<span style='color:red'>", "</span>"), ("&lt;i&gt;", ""), ("", "&amp;"), ("&#8217;", ""), ("<br/>", ""), ("", "<!-- ad -->"), ("", "</b"), ("<i", ""), ("&nbsp", "")],
-        2: [("**", "**"), ("__", "__"), ("~~", "~~"), ("`", "`"), ("[", "](https://e.example/b?id=1)"), ("![img](pic.png)", ""), ("**", ""), ("", "](https://e.example/)"), ("*", "*"), ("_", "_")],
-        3: [("[[", "]]"), ("[[Word|", "]]"), ("'''", "'''"), ("''", "''"), ("{{stub}}", ""), ("[https://e.example/c ", "]"), ("", "<ref name=\"r1\"/>"), ("[[Category:Notes]]", ""), ("[[", ""), ("", "}}"), ("{{cite ", "")],
-        4: [("\\textbf{", "}"), ("\\emph{", "}"), ("\\footnote{see $x_{3}$}", ""), ("$E = k x_{2}$", ""), ("\\cite{key}", ""), ("", "~\\ref{a}"), ("\\\\[2pt]", ""), ("", "\\%"), ("\\textit{", "")],
-    }
-    blocks = {
-        1: ["<ul>", "</ul>", "<pre><code>", "</code></pre>", "<table><tr><td>a</td><td>3</td></tr></table>", "<i>a^2 + b^2</i><sup>2</sup>", "<hr>", "<p>", "</p>", "</p"],
-        2: ["```", "| a | 3 |", "|---|---|", "$$a^2 + b^2 = c^2$$", "## Word word", "| item | count |"],
-        3: ["{| class=\"wikitable\"", "|-", "| a || 3", "|}", "== Word word ==", "<math>a^2</math>", "! a !! b", "<syntaxhighlight lang=\"sql\">", "</syntaxhighlight>"],
-        4: ["\\begin{itemize}", "\\end{itemize}", "\\item word word", "\\begin{verbatim}", "a & 30 \\\\", "\\begin{equation} v_8 = d / t \\end{equation}", "\\section{Word}", "\\[ a^2 \\]", "\\end{tabular}"],
-    }
-    harmless = ["If x < {} and y > {}, it is late.", "They wrote 2^{} - 1 and ~{} more.", "It costs ${} to ${} a day.", "Rates ({}* hotels) fell <{}%.", "Ranked #{} of {}.", "The file C:\\new\\list_{} held {} * 3 entries.", "It [sic] was R&D at {} and {}.", "Their market_id field is >= {} and <= {}.", "Smith & Sons paid {} & {}.", "See [{}] and {}.", "a = {} or b = {}", "Follow @one_two #tag {} {}"]
-    code = ["for i in range({}):", "    total += rows[i]['qty']", "if (a < b && c > d) {{", "}}", "SELECT * FROM t WHERE c <> {}", "    return x * y;", "x = [{}]", "while (n <= {}) {{ n++; }}"]
-    for at in range(0, len(lines), 6):
-        fmt, page = int(rng.integers(5)), []
-        for l in lines[at : at + 6]:
-            r = rng.random()
-            if fmt and r < 0.25:
-                b = blocks[fmt][rng.integers(len(blocks[fmt]))]
-                page.append((b, 2, [(0, len(b))]))
-            if r > 0.8:
-                page.append((code[rng.integers(len(code))].format(num()), 1, []))
-            if rng.random() < 0.35:
-                page.append((harmless[rng.integers(len(harmless))].format(num(), num()), 0, []))
-            if fmt and rng.random() < 0.5:
-                a, b = wraps[fmt][rng.integers(len(wraps[fmt]))]
-                p = int(rng.integers(len(l))) if l else 0
-                p = l.rfind(" ", 0, p) + 1
-                q = (l.find(" ", p) + len(l) + 1) % (len(l) + 1) if " " in l[p:] else len(l)
-                page.append((l[:p] + a + l[p:q] + b + l[q:], 0, [s for s in ((p, p + len(a)), (q + len(a), q + len(a) + len(b))) if s[0] < s[1]]))
+    """Log potentials, learnt by counting. ``root`` of a format; ``line`` of a line's format and role given the parent's kind and state;
+    ``child`` of an element's kind and state given the parent's; ``look`` of a line given its role. Kind 0 of a parent is the document
+    (or, for elements, a line), the others are those of elements."""
+
+    STATES = 15  # format x role of a line; a document uses the first five, an element the first two
+
+    def __init__(self, root: np.ndarray, line: np.ndarray, child: np.ndarray, look: np.ndarray) -> None:
+        norm = lambda a, axes: np.log(a / a.sum(axes, keepdims=True))
+        self.root = norm(root, -1)
+        base = line[1:].sum(0, keepdims=True)
+        base = base / base.sum(-1, keepdims=True)
+        line = np.concatenate([line[:1], line[1:] + 5 * base])
+        self.line = norm(line, -1)
+        # a parent of a kind that was rarely seen is taken for one of any kind
+        own = child[1:].sum(0, keepdims=True) + 1e-3
+        own, of_line = own / own.sum((-1, -2), keepdims=True), child[:1].sum(1, keepdims=True)
+        anywhere = of_line.sum((0, 1)) / of_line.sum()
+        state = child.sum((2,)) + 1e-3  # parent kind, parent state, state
+        by_state = (child.sum((0, 1)) + 0.02) / (child.sum((0, 1)) + 0.02).sum(0, keepdims=True)  # kind given state
+        factored = (state / state.sum(-1, keepdims=True))[:, :, None, :] * by_state[None, None]
+        rest = np.concatenate([factored[:1], np.broadcast_to(0.5 * own + 0.5 * anywhere[None, None], child[1:].shape)])
+        self.child = norm(child + 30 * rest, (-1, -2))
+        self.look = norm(look, -1)
+        own_share = child.sum((0, 1))
+        self.by_kind = own_share[:, 1] > own_share[:, 0]  # what a kind alone would be taken for
+
+    def marginals(self, f: Forest) -> np.ndarray:
+        """P(syntax) of each node, exact; all trees at once, depth by depth."""
+        typ, kind, parent, depth, look = (np.array(x, np.int64) for x in (f.typ, f.kind, f.parent, f.depth, f.look))
+        n, none = len(typ), -1e30
+        up = np.full((n, self.STATES), none)
+        docs, lines, items = typ == 0, typ == 1, typ == 2
+        up[docs, :5] = self.root
+        up[lines] = np.tile(self.look.T[look[lines]], 5)  # state = 3 * format + role
+        up[items, :2] = 0.0
+        pk = np.where(parent < 0, 0, np.where(typ[parent] == 2, kind[parent] + 1, 0))
+        sent, down = np.zeros((n, self.STATES)), np.zeros((n, self.STATES))
+        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+
+        def table(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # node, state of the parent, own state
+            return (self.line[pk[own]], up[own]) if typ[own[0]] == 1 else (self.child[pk[own], :, kind[own], :], up[own][:, :2])
+
+        for level in reversed(levels[1:]):
+            for own in (level[typ[level] == 1], level[typ[level] == 2]):
+                if len(own):
+                    t, u = table(own)
+                    sent[own] = _logsum(t + u[:, None, :], 2)
+                    np.add.at(up, parent[own], sent[own])
+        for level in levels[1:]:
+            for own in (level[typ[level] == 1], level[typ[level] == 2]):
+                if len(own):
+                    t, _ = table(own)
+                    above = up[parent[own]] + down[parent[own]] - sent[own]
+                    d = _logsum(t + above[:, :, None], 1)
+                    down[own, : d.shape[1]] = d
+        both = up[:, :2] + down[:, :2]
+        return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500)))
+
+
+def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
+    top = a.max(axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis))
+
+
+class _Page:
+    """A page being rendered: its text, the spans of it that are syntax and the role of each line."""
+
+    def __init__(self, rng: np.random.Generator, lines: list[str]) -> None:
+        self.rng, self.lines, self.text, self.syntax, self.roles, self.role = rng, lines, "", [], [], 0
+
+    def put(self, text: str) -> None:
+        self.text += text
+
+    def mark(self, text: str) -> None:
+        if text:
+            self.syntax.append((len(self.text), len(self.text) + len(text)))
+            self.text += text
+
+    def end(self, role: int = 0) -> None:
+        self.roles.append(role)
+        self.text += "\n"
+
+    def pick(self, some: list):
+        return some[self.rng.integers(len(some))]
+
+    def words(self, most: int = 4) -> str:
+        w = self.pick(self.lines).split()
+        at = int(self.rng.integers(max(1, len(w) - most)))
+        return " ".join(w[at : at + 1 + int(self.rng.integers(most))])
+
+    def number(self) -> str:
+        return str(int(self.rng.integers(1, 100)))
+
+    def wrap(self, a: str, b: str, inner) -> None:
+        """Something between two delimiters; now and then one of them is lost or cut short."""
+        r = self.rng.random()
+        self.mark("" if r < 0.08 else a[:-1] if r < 0.12 and len(a) > 2 and a[0] == "<" else a)
+        inner()
+        r = self.rng.random()
+        self.mark("" if r < 0.08 else b[:-1] if r < 0.12 and len(b) > 2 and b[0] == "<" else b)
+
+
+# How each format writes the same things: pairs of delimiters around a phrase, and what stands by itself.
+INLINE = {
+    1: [("<b>", "</b>"), ("<i>", "</i>"), ("<em class=\"x\">", "</em>"), ("<a href=\"https://e.example/a?id=3\">", "</a>"), ("<span style='color:red'>", "</span>"), ("<FONT SIZE=2>", "</FONT>"), ("<code>", "</code>"), ("<sup>", "</sup>"), ("&lt;i&gt;", "&lt;/i&gt;"), ("<!-- ", " -->"), ("&quot;", "&quot;")],
+    2: [("**", "**"), ("__", "__"), ("~~", "~~"), ("`", "`"), ("[", "](https://e.example/b?id=1)"), ("*", "*"), ("_", "_"), ("![", "](pic.png)"), ("***", "***")],
+    3: [("[[", "]]"), ("[[Word|", "]]"), ("'''", "'''"), ("''", "''"), ("{{", "}}"), ("{{cite|", "}}"), ("[https://e.example/c ", "]"), ("<ref>", "</ref>"), ("<ref name=\"r1\">", "</ref>"), ("<nowiki>", "</nowiki>"), ("[[Category:", "]]")],
+    4: [("\\textbf{", "}"), ("\\emph{", "}"), ("\\footnote{", "}"), ("\\textit{", "}"), ("\\cite{", "}"), ("\\href{https://e.example}{", "}"), ("``", "''")],
+}
+SINGLE = {1: ["<br/>", "<br>", "&amp;", "&#8217;", "&nbsp;", "&nbsp", "<hr>", "&eacute;", "<img src=\"p.png\">"], 2: ["![pic](pic.png)", "  \\"], 3: ["<ref name=\"r1\"/>", "{{stub}}", "<br />", "&ndash;"], 4: ["\\%", "\\&", "~\\ref{a}", "\\\\[2pt]", "\\ldots ", "\\$"]}
+HARMLESS = [
+    "If x < {} and y > {}, it is late.", "They wrote 2^{} - 1 and ~{} more.", "It costs ${} to ${} a day.", "Rates ({}* hotels) fell <{}%.", "Ranked #{} of {}.", "The file C:\\new\\list_{} held {} * 3 entries.", "It [sic] was R&D at {} and {}.",
+    "Their market_id field is >= {} and <= {}.", "Smith & Sons paid {} & {}.", "See [{}] and {}.", "a = {} or b = {}", "Follow @one_two #tag {} {}", "Set {{a, b}} has {} of {} parts.", "Press A|B or {} | {}.", "It took {} -> {} steps.", "It's the crew's {} 'or so' of {}.", "* {} and {}", "- {} of {}", "{}. First of {}",
+]
+CODE = [
+    "for i in range({}):", "    total += rows[i]['qty']", "if (a < b && c > d) {{", "}}", "SELECT * FROM t WHERE c <> {}", "    return x * y;", "x = [{}]", "while (n <= {}) {{ n++; }}", "y = a ** {} + b[{}];", "vector<int> v({});", "print(f\"{{a}} & {}\")", "def __init__(self):", "m = {{'k': {}}};", "let s = a | b[{}] & ~c;",
+    "INSERT INTO t VALUES ({}, 'x_y');", "const z = x => x * {};", "int *p = &q[{}];",
+]
+
+
+def _formula(p: _Page) -> str:
+    return p.pick(["a^2 + b^2", "E = k x_{{2}}", "v_8 = d / t", "x_{{{}}} + {}", "\\frac{{a}}{{{}}}", "a < b"]).format(p.number(), p.number())
+
+
+def _phrase(p: _Page, fmt: int) -> None:
+    """One piece of inline markup of a format: something that stands by itself, a formula, or a phrase in one pair of delimiters or two."""
+    r = p.rng.random()
+    if r < 0.15:
+        p.mark(p.pick(SINGLE[fmt]))
+    elif r < 0.3:
+        formula = _formula(p)
+        a, b = {1: ("<i>", "</i>"), 2: ("$", "$"), 3: ("<math>", "</math>"), 4: ("$", "$")}[fmt]
+        if a == "$":
+            p.mark(f"${formula}$")
+        else:
+            p.wrap(a, b, lambda: p.put(formula))
+    elif r < 0.4:
+        (a, b), (c, d) = p.pick(INLINE[fmt]), p.pick(INLINE[fmt])
+        p.wrap(a, b, lambda: (p.put(p.words(2) + " "), p.wrap(c, d, lambda: p.put(p.words(2)))))
+    else:
+        a, b = p.pick(INLINE[fmt])
+        p.wrap(a, b, lambda: p.put(p.words(3)))
+
+
+def _sentence(p: _Page, fmt: int) -> None:
+    """A line of prose: plain words, harmless signs and, if the format has any, inline markup, in any order."""
+    parts = [lambda: p.put(p.pick(p.lines) if p.rng.random() < 0.3 else p.words(6))]
+    if p.rng.random() < 0.35:
+        parts += [lambda: p.put(p.pick(HARMLESS).format(p.number(), p.number()))] * (1 + int(p.rng.integers(3)))
+    if fmt and p.rng.random() < 0.6:
+        parts += [lambda: _phrase(p, fmt)] * (1 + int(p.rng.integers(2)))
+
+    def body() -> None:
+        for i, j in enumerate(p.rng.permutation(len(parts)).tolist()):
+            p.put(" " if i else "")
+            parts[j]()
+
+    if fmt == 1 and p.rng.random() < 0.4:
+        p.wrap("<p>", "</p>", body)
+    else:
+        body()
+    p.end()
+
+
+def _block(p: _Page, fmt: int) -> None:
+    """A heading, list, table, block of code or formula as the format writes it."""
+    what = p.pick(["heading", "list", "table", "code", "formula", "box"])
+    rows = 1 + int(p.rng.integers(3))
+    code = lambda: (p.put(p.pick(CODE).format(p.number(), p.number())), p.end(1))
+    if what == "heading":
+        a, b = {1: ("<h2>", "</h2>"), 2: ("## ", ""), 3: ("== ", " =="), 4: ("\\section{", "}")}[fmt]
+        p.wrap(a, b, lambda: p.put(p.words())) if fmt in (1, 4) else (p.mark(a), p.put(p.words()), p.mark(b))
+        p.end(2)
+    elif what == "list" and fmt in (1, 4):
+        a, b = {1: p.pick([("<ul>", "</ul>"), ("<ol>", "</ol>")]), 4: p.pick([("\\begin{itemize}", "\\end{itemize}"), ("\\begin{enumerate}", "\\end{enumerate}")])}[fmt]
+
+        def items() -> None:
+            p.end(2)
+            for _ in range(rows):
+                p.wrap("<li>", "</li>", lambda: p.put(p.words(6))) if fmt == 1 else (p.mark("\\item "), p.put(p.words(6)))
+                p.end(0)
+
+        p.wrap(a, b, items)
+        p.end(2)
+    elif what == "table":
+        cell = lambda: p.put(p.words(1) if p.rng.random() < 0.5 else p.number())
+        a, b = {1: ("<table>", "</table>"), 2: ("", ""), 3: ("{| class=\"wikitable\"", "|}"), 4: ("\\begin{tabular}{lr}", "\\end{tabular}")}[fmt]
+        p.mark(a)
+        if a:
+            p.end(2)
+        for i in range(rows + 1):
+            if fmt == 1:
+                p.wrap("<tr><td>", "</td></tr>", lambda: (cell(), p.mark("</td><td>"), cell()))
+            elif fmt == 2:
+                p.mark(f"| {p.words(1)} | {p.number()} |" if i != 1 else "|---|---|")
+            elif fmt == 3:
+                p.mark(p.pick(["|-", f"| {p.words(1)} || {p.number()}", f"! {p.words(1)} !! {p.words(1)}"]))
             else:
-                page.append((l, 0, []))
-        yield fmt, page
+                cell()
+                p.mark(" & ")
+                cell()
+                p.mark(" \\\\")
+            p.end(2)
+        p.mark(b)
+        if b:
+            p.end(2)
+    elif what == "code":
+        a, b = {1: p.pick([("<pre><code>", "</code></pre>"), ("<pre>", "</pre>")]), 2: ("```" + p.pick(["", "python", "sql"]), "```"), 3: ("<syntaxhighlight lang=\"sql\">", "</syntaxhighlight>"), 4: ("\\begin{verbatim}", "\\end{verbatim}")}[fmt]
+        p.mark(a)
+        p.end(2)
+        for _ in range(rows):
+            code()
+        p.mark(b)
+        p.end(2)
+    elif what == "formula":
+        a, b = {1: ("<i>", "</i>"), 2: ("$$", "$$"), 3: ("<math>", "</math>"), 4: p.pick([("\\[ ", " \\]"), ("$$", "$$"), ("\\begin{equation} ", " \\end{equation}")])}[fmt]
+        formula = _formula(p)
+        p.wrap(a, b, lambda: p.put(formula))
+        p.end(2)
+    else:
+        a, b = {1: p.pick([("<p>", "</p>"), ("<div class=\"c\">", "</div>"), ("<blockquote>", "</blockquote>"), ("<!--", "-->")]), 2: ("> ", ""), 3: ("{{Infobox", "}}"), 4: ("\\begin{quote}", "\\end{quote}")}[fmt]
+        if fmt == 2:
+            p.put(p.words(6))
+        else:
+            p.wrap(a, b, lambda: (p.end(2), _sentence(p, 0)) if p.rng.random() < 0.4 else p.put(p.words(6)))
+        p.end(2)
+
 
+def labelled_page(rng: np.random.Generator, lines: list[str]) -> tuple[int, str, list[tuple[int, int]], list[int]]:
+    """(format, text, spans of syntax, role of each line) of a page rendered from clean lines: one line or several."""
+    fmt, p = int(rng.integers(5)), _Page(rng, lines)
+    for _ in range(1 if rng.random() < 0.5 else 2 + int(rng.integers(8))):
+        r = rng.random()
+        if fmt and r < 0.35:
+            _block(p, fmt)
+        elif r < 0.47:
+            p.put(p.pick(CODE).format(p.number(), p.number()))
+            p.end(1)
+        else:
+            _sentence(p, fmt)
+    return fmt, p.text, p.syntax, p.roles
 
-def train(clean: list[str], seed: int = 11) -> Model:
+
+def train(clean: list[str], seed: int = 11, pages: int = 12_000) -> Model:
+    """Potentials counted over ``pages`` labelled pages made of the lines of ``clean`` texts."""
     rng = np.random.default_rng(seed)
-    lines = [l for t in clean for l in t.split("\n") if l.strip()][: 20 * TRAIN_PAGES] or ["A line of words."]
-    while len(lines) < 2000:  # few clean texts still give every construct its pages
-        lines = lines + lines
-    formats, role = np.full(5, 1.0), np.full((5, 3), 1.0)
-    state, look = np.full((3, 2), 1.0), np.full((3, 2), 1.0)
-    kind = np.full((2, len(PIECES)), 0.05)
-    for fmt, page in _labelled(lines, rng):
-        formats[fmt] += 1
-        for line, r, syntax in page:
-            role[fmt, r] += 1
-            look[r, int(_code_line(line))] += 1
-            for k, a, b in pieces(line):
-                s = int(k not in PLAIN_KINDS and any(a < y and x < b for x, y in syntax))
-                state[r, s] += 1
-                kind[s, k] += 1
-    return Model(formats, role, state, kind, look)
+    lines = [l for t in clean for l in t.split("\n") if l.strip()] or ["A line of words."]
+    k = 2 * len(KIND)
+    root, look = np.full(5, 1.0), np.full((3, 2), 1.0)
+    line, child = np.full((k + 1, Model.STATES, Model.STATES), 1e-6), np.zeros((k + 1, Model.STATES, k, 2))
+    for f in range(5):
+        line[0, f, 3 * f : 3 * f + 3] += 0.5
+    for _ in range(pages):
+        fmt, text, syntax, roles = labelled_page(rng, lines)
+        f = Forest()
+        f.plant(0, text)
+        root[fmt] += 1
+        starts = np.array([a for a, _ in syntax] or [-1])
+        ends = np.array([b for _, b in syntax] or [-1])
+        state = [0] * len(f.typ)
+        for node, (_, _, s, e, _) in zip(f.node, f.pieces):
+            state[node] |= int(((starts < e) & (ends > s)).any())
+        for i, typ in enumerate(f.typ):
+            if typ == 0:
+                state[i] = fmt
+            elif typ == 1:
+                role = roles[text.count("\n", 0, f.at[i][1])]
+                state[i] = 3 * fmt + role
+                look[role, f.look[i]] += 1
+        for i, up in enumerate(f.parent):
+            if up >= 0:
+                pk = f.kind[up] + 1 if f.typ[up] == 2 else 0
+                if f.typ[i] == 1:
+                    line[pk, state[up], state[i]] += 1
+                else:
+                    child[pk, state[up], f.kind[i], state[i]] += 1
+    return Model(root, line, child, look)
 
 
 def _code_line(line: str) -> bool:
@@ -198,57 +536,37 @@ def _code_line(line: str) -> bool:
     return bool(CODE_END.fullmatch(bare) or CODE_START.match(line.lstrip()) or (word and CODE_SIGN.search(bare, word.end())))
 
 
-def _batch(texts: list[str | None], model: Model) -> list[list[tuple[int, int, int, float]]]:
-    """For each text its pieces with their marginals."""
-    kinds, lines, looks, docs, owner, spots = [], [], [], [], [], []
+def _batch(texts: list[str | None], model: Model) -> list[list[tuple[int, int, int, float, int]]]:
+    """For each text its pieces (kind, start, end, marginal of its node, partner)."""
+    f = Forest()
     for i, t in enumerate(texts):
-        if not t or not SUSPECT.search(t):
-            continue
-        t = t.replace("\r", " ")
-        own = pieces(t)
-        last, a, b = -1, 0, -1
-        for k, s, e in own:
-            if s > b or last < 0:  # a new line
-                a = t.rfind("\n", 0, s) + 1
-                b = t.find("\n", s)
-                b = len(t) if b < 0 else b
-                looks.append(int(_code_line(t[a:b])))
-                docs.append(i)
-                last = a
-                row = TEX_ROW.search(t, a, b)
-            if k == KIND["ampersand"] and row:
-                k = KIND["tex_break"]
-            kinds.append(k)
-            lines.append(len(looks) - 1)
-            owner.append(i)
-            spots.append((k, s, e))
-    out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    if kinds:
-        p = model.marginals(np.array(kinds), np.array(lines), np.array(looks), np.array(docs), len(texts))
-        for i, (k, s, e), q in zip(owner, spots, p.tolist()):
-            out[i].append((k, s, e, q))
+        if t and SUSPECT.search(t):
+            f.plant(i, t.replace("\r", " "))
+    out: list[list[tuple[int, int, int, float, int]]] = [[] for _ in texts]
+    if f.pieces:
+        p = model.marginals(f)[np.array(f.node)].tolist()
+        for (owner, k, s, e, other), q in zip(f.pieces, p):
+            out[owner].append((k, s, e, q, other))
     return out
 
 
 _DROP = re.compile(r"\\(?:cite|ref|label|usepackage|documentclass)\*?(?:\[[^\]]*\])?\{[^}]*\}")
 
 
-def clean(text: str, found: list[tuple[int, int, int, float]], threshold: float = 0.5) -> str:
+def clean(text: str, found: list[tuple[int, int, int, float, int]], threshold: float = 0.5) -> str:
     """The text without syntax: headings as '# ' lines, items as '- ', code indented by four blanks, formulas as they are, cells parted by tabs."""
     out: list[str] = []
-    at, code, skip = 0, False, 0
-    names = [k for k, _ in PIECES]
-    open_braces = 0
-    for k, s, e, p in found:
+    at, code = 0, False
+    for i, (k, s, e, p, other) in enumerate(found):
         if s < at or p < threshold:
             continue
-        chunk, piece, kind = text[at:s], text[s:e], names[k]
+        chunk, piece, kind = text[at:s], text[s:e], NAMES[k]
         out.append(re.sub(r"\n(?=[^\n])", "\n    ", chunk) if code else chunk)
         at, put = e, ""
         low = piece.lower()
         name = re.match(r"</?([a-z]+\d?)", low)
         tag = name.group(1) if name else ""
-        if kind in ("tag", "tag_other", "tag_broken"):
+        if kind in ("tag", "tag_other", "tag_broken", "tag_code", "tag_math"):
             if tag in ("pre", "syntaxhighlight"):
                 code, put = not low.startswith("</"), "\n"
             elif low.startswith("</"):
@@ -278,12 +596,14 @@ def clean(text: str, found: list[tuple[int, int, int, float]], threshold: float
                     at = bar + 1
         elif kind == "ext_link":
             at += 1 if text[at : at + 1] == " " else 0
-            end = text.find("]", at)
-            if 0 < end - at < 200 and "\n" not in text[at:end]:
+            stop = text.find("\n", at)
+            end = text.find("]", at, len(text) if stop < 0 else stop)
+            if end > at:
                 put, at = text[at:end], end + 1
         elif kind == "template":
-            end = text.find("}}", e)
-            at = end + 2 if piece.startswith("{{") and 0 < end < e + 2000 else at
+            at = found[other][2] if other > i else at
+        elif kind == "comment":
+            at = found[other][2] if other > i else at
         elif kind in ("wiki_table", "md_table", "table_row"):
             body = piece.strip()
             rule = re.fullmatch(r"\{\|.*|\|[-}+].*|[-|: ]+", body)
@@ -300,8 +620,8 @@ def clean(text: str, found: list[tuple[int, int, int, float]], threshold: float
             put = "# " + piece.strip().strip("=").strip() if piece.strip().strip("=") else ""
         elif kind == "inline_math":
             put = piece.strip("$")
-        elif kind == "tex_environment":
-            if "verbatim" in piece or "lstlisting" in piece:
+        elif kind in ("tex_environment", "tex_verbatim"):
+            if kind == "tex_verbatim":
                 code = piece.startswith("\\begin")
             m = re.match(r"\{[lcr|]+\}", text[e:])
             at += m.end() if m else 0
@@ -312,13 +632,10 @@ def clean(text: str, found: list[tuple[int, int, int, float]], threshold: float
                 put = "-"
             elif re.match(r"\\(?:sub)*section|\\chapter|\\title", low):
                 put = "# "
-            elif text[e : e + 1] != "{" or low in ("\\frac", "\\sqrt"):
+            elif low == "\\footnote" and other > i:
+                put = " ("
+            elif other < 0 or low in ("\\frac", "\\sqrt"):
                 put = piece  # part of a formula
-            if low == "\\footnote" and (m := re.match(r"\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}", text[e : e + 2000])):
-                put, at = f" ({m.group(1).replace('$', '')})", e + m.end()
-            elif put != piece and text[at : at + 1] == "{":
-                at += 1
-                open_braces += 1
         elif kind == "tex_break":
             put = "\t" if piece == "&" else "\n" if text[e : e + 1] != "\n" else ""
         elif kind == "tex_escape":
@@ -327,32 +644,43 @@ def clean(text: str, found: list[tuple[int, int, int, float]], threshold: float
             put = piece
         elif kind == "tex_tie":
             put = " "
-        elif kind in ("brace", "pipe", "other", "star", "angle") and not (kind == "brace" and piece == "}" and open_braces):
-            put = piece
         elif kind == "brace":
-            open_braces -= 1
+            of = found[other] if other >= 0 else None
+            before = found[i - 1] if other > i and i else found[other - 1] if 0 < other < i else None  # the command of the braces
+            command = before is not None and NAMES[before[0]] == "tex_command" and before[2] == (s if other > i else of[1])
+            word = text[before[1] : before[2]].lower() if command else ""
+            put = piece if not command or word in ("\\frac", "\\sqrt") else ")" if word == "\\footnote" and other < i else ""
+        elif kind in ("pipe", "other", "star", "angle"):
+            put = piece
         out.append(put)
     out.append(text[at:])
     done = "".join(out)
-    if open_braces:
-        done = re.sub(r"\}(?=[^{}\n]*(?:\n|$))", "", done, count=open_braces)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", done)).strip("\n")
 
 
-def _model(docs: DataFrame, text: str) -> Model:
-    """Fitted on the ``TRAIN_PAGES`` clean texts that come first by their hash."""
-    plain = docs.select(F.col(text).cast("string").alias("t")).filter(~F.col("t").rlike(SUSPECT.pattern) & (F.length("t") < 20_000))
-    return train([r.t for r in plain.orderBy(F.xxhash64("t"), "t").limit(TRAIN_PAGES).collect()])
+def fit(docs: DataFrame, text: str) -> Model:
+    """Fitted on the ``TRAIN_PAGES`` clean texts that come first by their hash (all, if fewer). A share of the texts, such that about
+    twice as many are left, is taken before any leaves its task; if too few of them are clean the share is raised."""
+    t = docs.select(F.col(text).cast("string").alias("t"))
+    h = F.xxhash64("t")
+    plain = t.filter(~F.col("t").rlike(SUSPECT.pattern) & (F.length("t") < 20_000))
+    share = min(1.0, 3 * TRAIN_PAGES / max(1, docs.count()))
+    while True:
+        some = plain.filter(F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else plain
+        got = [r.t for r in some.orderBy(F.pmod(h, F.lit(1 << 40)), "t").limit(TRAIN_PAGES).collect()]
+        if len(got) == TRAIN_PAGES or share >= 1:
+            return train(got)
+        share = min(1.0, 4 * share)
 
 
-def residue(docs: DataFrame, text: str, keep: list[str], fit_on: DataFrame | None = None, fit_text: str = "text", frames: bool = False) -> DataFrame:
+def residue(docs: DataFrame, text: str, keep: list[str], model: Model | None = None, frames: bool = False) -> DataFrame:
     """``keep``, ``pieces`` (how many pieces of syntax the text holds), ``doubt`` (the largest marginal of any) and ``clean``.
 
     Null stays null with 0 pieces; a text without syntax is its own clean text. With ``frames`` a text that begins with a frame
-    tag is taken for a frame line and left as it is. Potentials are fitted on ``fit_on`` (the texts themselves, by default). The
-    output has no columns but these; ``keep`` may not hold their names.
+    tag is taken for a frame line and left as it is. Without a ``model`` one is fitted on the texts themselves. The output has no
+    columns but these; ``keep`` may not hold their names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_model(docs if fit_on is None else fit_on, text if fit_on is None else fit_text))
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text))
     src = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in src.schema.fields[:-1]], T.StructField("pieces", T.IntegerType()), T.StructField("doubt", T.DoubleType()), T.StructField("clean", T.StringType())])
 
@@ -361,8 +689,8 @@ def residue(docs: DataFrame, text: str, keep: list[str], fit_on: DataFrame | Non
             texts = b.column(b.num_columns - 1).to_pylist()
             asked = [None if t and frames and FRAME.match(t) else t for t in texts]
             found = _batch(asked, shared.value)
-            n = [sum(p >= 0.5 for *_, p in f) for f in found]
-            doubt = [max((p for *_, p in f), default=0.0) for f in found]
+            n = [sum(x[3] >= 0.5 for x in f) for f in found]
+            doubt = [max((x[3] for x in f), default=0.0) for f in found]
             done = [clean(t, f) if t and c else t for t, f, c in zip(texts, found, n)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int32()), pa.array(doubt, pa.float64()), pa.array(done, pa.string())], names=[*keep, "pieces", "doubt", "clean"])
 

@@ -27,42 +27,81 @@ def model(sf):
 ])
 def test_markup_becomes_text(model, text, clean):
     found = markup._batch([text], model)[0]
-    assert any(p >= 0.5 for *_, p in found)
+    assert any(x[3] >= 0.5 for x in found)
     assert markup.clean(text, found).strip() == clean.strip()
 
 
 @pytest.mark.parametrize("text", ["If x < 8 and y > 7, it costs $5 to $9.", "They wrote 2^11 - 1 and ~85 of R&D [sic].", "C:\\storm\\new_list held 19 * 5 * 2 #7", "for i in range(7):\n    total += rows[i]['qty']\n}", "- a\n- b\n1. c", "Smith & Sons, snake_case_id >= 3", ""])
 def test_plain_use_is_no_markup(model, text):
     found = markup._batch([text], model)[0]
-    assert not any(p >= 0.5 for *_, p in found)
+    assert not any(x[3] >= 0.5 for x in found)
 
 
 def test_marginals_equal_enumeration(model):
     import itertools
 
-    import numpy as np
-
-    kinds, lines, looks, docs = np.array([markup.KIND["emphasis"], markup.KIND["star"], markup.KIND["brace"]]), np.array([0, 0, 1]), np.array([0, 1]), np.array([0, 0])
-    total, on = 0.0, np.zeros(3)
-    for f in range(5):
-        for roles in itertools.product(range(3), repeat=2):
-            for xs in itertools.product(range(2), repeat=3):
-                w = model.formats[f] + sum(model.role[f, r] + model.look[r, l] for r, l in zip(roles, looks)) + sum(model.state[roles[l], x] + model.kind[x, k] for k, l, x in zip(kinds, lines, xs))
-                total += np.exp(w)
-                on += np.exp(w) * np.array(xs)
-    assert np.allclose(on / total, model.marginals(kinds, lines, looks, docs, 1))
+    f = markup.Forest()
+    f.plant(0, "a **b** {\n<i>x * y\n2 ^ 3</i> z")
+    states = [{0: 5, 1: 15, 2: 2}[t] for t in f.typ]
+    assert f.typ.count(1) == 3 and max(f.depth) == 4 and len(f.typ) == 9  # the element <i> holds the line after its own
+    total, on = 0.0, np.zeros(len(states))
+    for xs in itertools.product(*map(range, states)):
+        w = model.root[xs[0]]
+        for i in range(1, len(states)):
+            up = f.parent[i]
+            pk = f.kind[up] + 1 if f.typ[up] == 2 else 0
+            w += model.line[pk, xs[up], xs[i]] + model.look[xs[i] % 3, f.look[i]] if f.typ[i] == 1 else model.child[pk, xs[up], f.kind[i], xs[i]]
+        total += np.exp(w)
+        on += np.exp(w) * (np.array(xs) == 1)
+    items = np.array(f.typ) == 2
+    assert np.allclose((on / total)[items], model.marginals(f)[items])
+
+
+def test_trees():
+    text = "{{box|\n[[a|b]] '''c''' d\n}} \\textbf{x {y} z} <ul>\n<li>e <b>f</li>\n</ul></p>"
+    own = markup.pieces(text)
+    other = markup.partners(text, own)
+    spans = {text[own[i][1] : own[j][2]] for i, j in enumerate(other) if j > i}
+    assert {"{{box|\n[[a|b]] '''c''' d\n}}", "[[a|b]]", "'''c'''", "\\textbf{x {y} z}", "{y}", "<ul>\n<li>e <b>f</li>\n</ul>", "<li>e <b>f</li>"} <= spans
+    assert other[[text[s:e] for _, s, e in own].index("</p>")] == -1
+    long = "<b>" * 30_000 + "</i>" * 30_000  # nothing closes: linear all the same
+    assert set(markup.partners(long, markup.pieces(long))) == {-1}
+
+
+def test_labelled_pages_have_both_outcomes(model):
+    rng = np.random.default_rng(5)
+    seen, right, n = {}, 0, 0
+    for _ in range(600):
+        _, text, syntax, roles = markup.labelled_page(rng, ["One line of words to take.", "Another one, with more of them."])
+        assert len(roles) == text.count("\n")
+        f = markup.Forest()
+        f.plant(0, text)
+        if f.typ:
+            p = model.marginals(f)
+            for node, (_, k, s, e, _) in zip(f.node, f.pieces):
+                y = any(a < e and s < b for a, b in syntax)
+                seen.setdefault(markup.NAMES[k], set()).add(y)
+                right, n = right + ((p[node] >= 0.5) == y), n + 1
+    assert right / n > 0.97 and sum(len(v) == 2 for v in seen.values()) >= 8
 
 
 def test_long_lines_are_looked_at_whole():
-    class Looks:
-        def marginals(self, kinds, lines, looks, docs, n):
-            self.looks = looks.tolist()
-            return np.zeros(len(kinds))
-
     long = "some words with a_sign and *another " * 20
     for line, want in [(long + ";", 1), (long + "{ ", 1), (long, 0), ("for " + long.replace("*", "_") + "(", 1), ("}" * 500, 1)]:
-        markup._batch(["first\n" + line + "\nlast"], seen := Looks())
-        assert seen.looks == [want], line
+        f = markup.Forest()
+        f.plant(0, "first\n" + line + "\nlast")
+        assert [x for t, x in zip(f.typ, f.look) if t == 1] == [want], line
+
+
+def test_long_constructs_are_taken_whole(model):
+    words = ("many words of a note " * 400).strip()
+    for text, clean in [(f"a \\footnote{{{words}}} b", f"a  ({words}) b"), (f"a {{{{note|{words}}}}} b", "a  b"), (f"[https://e.example/ {words}] c", f"{words} c"), (f"<!-- {words} --> d", " d")]:
+        assert markup.clean(text, markup._batch([text], model)[0]).strip() == clean.strip(), text[:20]
+
+
+def test_few_texts_leave_the_tasks(spark):
+    df = spark.createDataFrame([(f"clean text number {i}",) for i in range(9000)], "text string").repartition(8)
+    assert markup.fit(df, "text").root.shape == (5,)
 
 
 def test_markup_edges(spark):
