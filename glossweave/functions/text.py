@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import ASCII_FROM, ASCII_TO, LEAST_GAPS, MOST_CHARS
+from .fixed import ASCII_FROM, ASCII_TO, LEAST_GAPS, LINK_TYPES, MOST_CHARS
 
 
 def asciify(x: Column) -> Column:
@@ -57,7 +57,23 @@ def tsv_clean(x: Column) -> Column:
 def link_entity_type(types: Column) -> Column:
     """The type a link's types speak for: places before organisations before people."""
     has = lambda p: F.exists(F.coalesce(types, F.array().cast("array<string>")), lambda t: F.coalesce(t.rlike(p), F.lit(False)))
-    return F.when(has("location"), "LOCATION").when(has("organization"), "ORGANIZATION").when(has("people|person"), "PERSON").otherwise("OTHER")
+    out = F
+    for name, pattern in LINK_TYPES.items():
+        out = out.when(has(pattern), name)
+    return out.otherwise("OTHER")
+
+
+def link_debug(name: Column, id_: Column, score: Column) -> Column:
+    return F.concat(F.lit("("), name, F.lit(","), id_, F.lit(","), score.cast("string"), F.lit(")"))
+
+
+def mention_debug(offset: Column, text: Column, best: Column) -> Column:
+    return F.concat(F.lit("("), offset.cast("string"), F.lit(") "), text, F.lit(" -> "), best)
+
+
+def fixed(x: Column, digits: int = 2) -> Column:
+    """A number with a fixed count of decimals; halves of the decimal number go up, as in the reports."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x.cast("double")))
 
 
 def debug_line(offset: Column, line: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import LEAST_SCORE, PERSONAL, PRONOUNS
+from .evaluate import FULL_KINDS
 from ..functions.text import link_entity_type
 
 
@@ -43,7 +44,8 @@ def expand(mentions: DataFrame, links: DataFrame, best: DataFrame) -> DataFrame:
     one = lambda df: df.groupBy("doc_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*[c for c in df.columns if c not in ("doc_id", "cluster_id")])).alias("f")).filter("n = 1")
     by_link = one(links_of(mentions, links)).select("doc_id", "cluster_id", F.lit("LinkResolved").alias("kind"), F.col("f.name").alias("best_mention"), "f.entity_type", F.lit(1.0).alias("candidate_count"))
     b = one(best_of(mentions, best)).join(by_link.select("doc_id", "cluster_id"), ["doc_id", "cluster_id"], "left_anti")
-    kind = F.when(F.col("f.kind") == "Full", "CorefFull").when(F.col("f.kind") == "Identity", "CorefIdentity").otherwise("Coref")
+    # whatever is full by its kind stays full; identities become full mentions of their entity; all others are only coreferent
+    kind = F.when(F.col("f.kind").isin(FULL_KINDS), "CorefFull").when(F.col("f.kind") == "Identity", "CorefIdentity").otherwise("Coref")
     by_best = b.select("doc_id", "cluster_id", kind.alias("kind"), "f.best_mention", "f.entity_type", F.when(kind == "CorefIdentity", 1.0).otherwise(F.col("f.candidate_count")).alias("candidate_count"))
     says = by_link.unionByName(by_best)
     pronouns = mentions.select("doc_id", "cluster_id", "start_offset", "text").distinct().filter(is_pronoun(F.col("text")))
@@ -51,6 +53,21 @@ def expand(mentions: DataFrame, links: DataFrame, best: DataFrame) -> DataFrame:
     return out.select("doc_id", "start_offset", "text", "cluster_id", "kind", "best_mention", "candidate_count")
 
 
+def link_entities(links: DataFrame) -> DataFrame:
+    """(doc_id, text, start_offset, name, entity_type): the entity a link stands for, by what its types speak for."""
+    return links.select("doc_id", "text", "start_offset", "name", link_entity_type(F.col("types")).alias("entity_type"))
+
+
+def best_links(links: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The best candidate of each mention (doc_id, start_offset, text), if its score is ``least`` or more: what a linker answers. Of equal
+    scores the smaller id is taken; repeated deliveries count once. Mentions without offset or candidates have none."""
+    l = links.filter("id is not null and start_offset is not null and score is not null")
+    rest = [c for c in ("name", "doc_sim_score", "candidate_score", "inlinks", "types") if c in links.columns]
+    best = F.min(F.struct((-F.col("score")).alias("neg"), "id", *rest)).alias("b")
+    one = l.groupBy("doc_id", "start_offset", "text").agg(best)
+    return one.select("doc_id", "start_offset", "text", (-F.col("b.neg")).alias("score"), "b.id", *[f"b.{c}" for c in rest]).filter(F.col("score") >= least)
+
+
 def usable_links(links: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     return links.filter(F.col("score") >= least)
 

@@ -37,16 +37,60 @@ def precision_curve(scored: DataFrame, label: str, confidence: str, tie: list[st
     return q.join(F.broadcast(after), "_p").withColumn("smoothed", F.greatest(rest, F.col("_a"))).drop("_p", "_yb", "_nb", "_a")
 
 
+# The names of the features, which are columns of the reports.
 FEATURES = [
     "Ambiguous Candidate Count", "Coref Cluster Agrees", "Country Contains City", "Location Ambiguity Count", "StateOrProvince contains City", "Target and Best location type similarity",
     "is Coref BestMention", "is Coref+Identity BestMention", "is Linked BestMention", "is a Location rule", "is a Organization rule", "is a Other rule", "is a Person rule",
 ]
 
 
-def features(bem: DataFrame, g: DataFrame) -> DataFrame:
+def mentions_of(bem: DataFrame) -> DataFrame:
+    """(doc_id, cluster_id, start_offset, text) of the clusters that best mentions bring along: the mention and the entity it stands for."""
+    c = bem.filter("cluster_id is not null").select("doc_id", "cluster_id", F.explode(F.array("target", "best")).alias("m")).filter("m is not null")
+    return c.select("doc_id", "cluster_id", "m.start_offset", "m.text").distinct()
+
+
+def cluster_agreement(bem: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(doc_id, bem_index, agrees) of best mentions of a full kind: 1 if a cluster has a mention within the target and one within the best
+    entity, -1 if only the best entity has clusters, 0 if it has none. A mention in several clusters belongs to the last."""
+    from .coref import cluster_of
+    from .spans import within
+
+    full = bem.filter(F.col("kind").isin(FULL_KINDS) & F.col("best").isNotNull())
+    width = lambda c: F.length(F.regexp_replace(f"{c}.text", r"\s+", " ")) if c == "target" else F.length(f"{c}.text")
+    part = lambda c, side: full.select("doc_id", F.struct("bem_index", F.lit(side).alias("side")).alias("outer_id"), F.col(f"{c}.start_offset").alias("start"), (F.col(f"{c}.start_offset") + width(c)).alias("end"))
+    m = cluster_of(mentions).withColumn("inner_id", F.concat_ws(":", "start_offset", "text"))
+    inside = within(part("target", 0).unionByName(part("best", 1)), m.select("doc_id", "inner_id", F.col("start_offset").alias("start"), (F.col("start_offset") + F.length("text")).alias("end")))
+    per = inside.join(m.select("doc_id", "inner_id", "cluster_id"), ["doc_id", "inner_id"]).groupBy("doc_id", F.col("outer_id.bem_index").alias("bem_index"), "cluster_id").agg(F.max("outer_id.side").alias("best"), F.min("outer_id.side").alias("least"))
+    both = per.groupBy("doc_id", "bem_index").agg(F.max(F.when((F.col("best") == 1) & (F.col("least") == 0), 1).otherwise(0)).alias("shared"), F.max("best").alias("any"))
+    return both.select("doc_id", "bem_index", F.when(F.col("shared") == 1, 1.0).when(F.col("any") == 1, -1.0).otherwise(0.0).alias("agrees"))
+
+
+def char_proximity(bem: DataFrame, default: int = -1) -> DataFrame:
+    """(doc_id, bem_index, proximity): characters between the target and the best entity of a full mention, ``default`` for others."""
+    far = F.when(F.col("kind").isin(FULL_KINDS) & F.col("best").isNotNull(), F.abs(F.col("target.start_offset") - F.col("best.start_offset"))).otherwise(default)
+    return bem.select("doc_id", "bem_index", far.cast("int").alias("proximity"))
+
+
+def positions(bem: DataFrame) -> DataFrame:
+    """(doc_id, bem_index, position): the place of each non-trivial best mention among those of its document, from 0."""
+    from .resolve import non_trivial
+
+    said = non_trivial(bem.withColumn("text", F.regexp_replace("target.text", r"\s+", " ")))
+    return said.select("doc_id", "bem_index", (F.row_number().over(Window.partitionBy("doc_id").orderBy("bem_index")) - 1).alias("position"))
+
+
+def labelled_mentions(labels: DataFrame, bem: DataFrame) -> DataFrame:
+    """Labels (doc_id, bem_index, label) with the best mentions that stand at this position of the document; others are dropped."""
+    at = positions(bem).join(bem, ["doc_id", "bem_index"]).withColumnRenamed("bem_index", "of_all")
+    return labels.select("doc_id", F.col("bem_index").alias("position"), "label").join(at, ["doc_id", "position"])
+
+
+def features(bem: DataFrame, g: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """The thirteen features of each best mention, in alphabetical order, as columns of doubles beside ``doc_id`` and ``bem_index``.
 
     ``bem`` has doc_id, bem_index, kind, candidate_count, cluster_id, target, best and container (structs of text, start_offset, name, entity_type).
+    ``mentions`` (doc_id, cluster_id, start_offset, text) are those of all clusters; without them, what best mentions bring along.
     The two 'contains' features ask only whether both names are places of the right type.
     """
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
@@ -57,12 +101,9 @@ def features(bem: DataFrame, g: DataFrame) -> DataFrame:
     n = gazetteer.names(g)
     nt, nc = n.select(F.col("lname").alias("t"), F.col("is_city").alias("t_city")), n.select(F.col("lname").alias("c"), F.col("is_province").alias("c_prov"), F.col("is_country").alias("c_country"))
     b = b.join(nt, "t", "left").join(nc, "c", "left").join(gazetteer.total_count(g).withColumnRenamed("lname", "t"), "t", "left")
-    # clusters under the target and under the best mention
-    spans = bem.filter("cluster_id is not null").select("doc_id", F.col("target.start_offset").alias("o"), F.col("target.text").alias("x"), "cluster_id").groupBy("doc_id", "o", "x").agg(F.collect_set("cluster_id").alias("cl"))
-    tc, bc = spans.toDF("td", "to", "tx", "tcl"), spans.toDF("bd", "bo", "bx", "bcl")
-    b = b.join(tc, (F.col("doc_id") == F.col("td")) & (F.col("target.start_offset") == F.col("to")) & (F.col("target.text") == F.col("tx")), "left")
-    b = b.join(bc, (F.col("doc_id") == F.col("bd")) & (F.col("best.start_offset") == F.col("bo")) & (F.col("best.text") == F.col("bx")), "left")
-    agrees = F.when(~F.col("kind").isin(FULL_KINDS) | F.col("bcl").isNull(), 0.0).when(F.coalesce(F.arrays_overlap("tcl", "bcl"), F.lit(False)), 1.0).otherwise(-1.0)
+    said = cluster_agreement(bem, mentions_of(bem) if mentions is None else mentions)
+    b = b.join(said, ["doc_id", "bem_index"], "left")
+    agrees = F.coalesce("agrees", F.lit(0.0))
     box = F.col("kind").isin(CONTAINER_KINDS)
     is_a = lambda x: flag(F.col("target.entity_type") == x)
     values = [
@@ -72,13 +113,25 @@ def features(bem: DataFrame, g: DataFrame) -> DataFrame:
     return b.select("doc_id", "bem_index", *[v.alias(n) for n, v in zip(FEATURES, values)])
 
 
-def classify(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
-    """``test`` with ``confidence`` by a logistic regression on the features of ``train``. Regularisation is this engine's own choice."""
+def fit_classifier(train: DataFrame, label: str = "label"):
+    """A logistic regression on the features of ``train``. Regularisation is this engine's own choice."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     steps = [VectorAssembler(inputCols=FEATURES, outputCol="_x", handleInvalid="keep"), LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.01)]
-    got = Pipeline(stages=steps).fit(train.na.fill(0.0, FEATURES)).transform(test.na.fill(0.0, FEATURES))
+    return Pipeline(stages=steps).fit(train.na.fill(0.0, FEATURES))
+
+
+def weights(model) -> list[tuple[str, float]]:
+    """(feature, weight) of a fitted classifier, the intercept last."""
+    fitted = model.stages[-1]
+    return [*zip(FEATURES, map(float, fitted.coefficients)), ("intercept", float(fitted.intercept))]
+
+
+def classify(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
+    """``test`` with ``confidence`` by a classifier fitted on ``train``."""
+    from pyspark.ml.functions import vector_to_array
+
+    got = fit_classifier(train, label).transform(test.na.fill(0.0, FEATURES))
     return got.withColumn("confidence", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")

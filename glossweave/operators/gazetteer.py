@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.fixed import STATES
 from ..functions.text import location_casing
 
-ENTRY = r"([^()]+?) \((CITY|PROVINCE|COUNTRY)[^)]*\)\s*"
+# Fixed value: a place, its type and, now and then, a number.
+ENTRY = r"([^()]+)\((CITY|PROVINCE|COUNTRY)(?:\s\d+)?\)"
+# Fixed value: the last word of a town, a comma, and two letters with or without dots at the end.
 STATE_SHORT = r"(\w+),\s([A-Za-z])\.?([A-Za-z])\.?$"
 
 
@@ -68,9 +70,10 @@ def _state(short: Column) -> Column:
 def expand_locations(df: DataFrame, text: str, g: DataFrame) -> DataFrame:
     """Adds ``expanded``: 'City, WA' and 'City, Wash.' with the name of a state or province that holds the city, else the text itself.
 
-    Of several provinces that begin with the abbreviation the first by name is taken. Texts without a comma stay as they are.
+    Of several provinces that begin with the abbreviation the first by name is taken. Texts without a comma stay as they are, null stays
+    null. Every distinct text is looked up once.
     """
-    d = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_t", F.col(text))
+    d = df.select(F.col(text).alias("_t")).filter(F.instr("_t", ",") > 0).distinct()
     city1, st = F.regexp_extract("_t", STATE_SHORT, 1), F.upper(F.concat(F.regexp_extract("_t", STATE_SHORT, 2), F.regexp_extract("_t", STATE_SHORT, 3)))
     short = F.regexp_extract("_t", STATE_SHORT, 0) != ""
     parts = F.split("_t", ",")
@@ -79,9 +82,9 @@ def expand_locations(df: DataFrame, text: str, g: DataFrame) -> DataFrame:
     d = d.withColumn("_prefix", F.when(~F.col("_short") & (F.length(prefix) > 2), prefix))
     holds = containment(g)
     exact = g.filter("typ = 'CITY' and cont_typ = 'PROVINCE'").select(F.col("name").alias("_city"), F.col("cont_name").alias("_cont")).distinct()
-    by_state = d.filter("_short and _cont is not null").join(exact, ["_city", "_cont"]).select("_id", F.concat_ws(", ", "_city", "_cont").alias("e"))
+    by_state = d.filter("_short and _cont is not null").join(exact, ["_city", "_cont"]).select("_t", F.concat_ws(", ", "_city", "_cont").alias("e"))
     # the province list is short; its prefixes make the lookup an equality
     prov = names(g).filter("is_province = 1").select(F.col("lname").alias("container")).withColumn("_prefix", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.length("container"))), lambda k: F.substring(F.col("container"), F.lit(1), k))))
-    by_prefix = d.filter("_prefix is not null").join(prov, "_prefix").withColumn("contained", F.lower("_city")).join(holds, ["container", "contained"]).groupBy("_id", "_city").agg(F.min("container").alias("c"))
-    found = by_state.union(by_prefix.select("_id", F.concat_ws(", ", F.col("_city"), location_casing(F.col("c")))))
-    return d.join(found, "_id", "left").withColumn("expanded", F.coalesce("e", "_t")).drop("_id", "_t", "_short", "_city", "_cont", "_prefix", "e")
+    by_prefix = d.filter("_prefix is not null").join(prov, "_prefix").withColumn("contained", F.lower("_city")).join(holds, ["container", "contained"]).groupBy("_t", "_city").agg(F.min("container").alias("c"))
+    found = by_state.union(by_prefix.select("_t", F.concat_ws(", ", F.col("_city"), location_casing(F.col("c"))))).groupBy("_t").agg(F.min("e").alias("e"))
+    return df.join(found, F.col(text) == F.col("_t"), "left").withColumn("expanded", F.coalesce("e", F.col(text))).drop("_t", "e")

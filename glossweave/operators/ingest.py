@@ -47,9 +47,16 @@ def _fabricated(start: Column, text: Column, prefix: str, line: Column, offset:
     return F.when(fits, F.struct(F.concat(F.lit(prefix), text, F.lit(".")).alias("text"), at.cast("int").alias("start_offset"))).alias(what)
 
 
-def headers(docs: DataFrame) -> DataFrame:
+CORPORA = ["web", "news", "forum"]
+
+
+def headers(docs: DataFrame, corpus: str | None = None) -> DataFrame:
     """One row for each document: ``corpus``, ``doc_id``, ``author`` and ``written`` (structs of text and offset, or null). A document
-    without an id line has null ``doc_id`` and is to be rejected."""
+    without an id line has null ``doc_id`` and is to be rejected. The corpus is told by the id line, unless all are of one ``corpus``;
+    an unknown one is an error."""
+    if corpus is not None and corpus not in CORPORA:
+        raise ValueError(f'unknown corpus "{corpus}"')
+    given = corpus
     line, no = F.col("line"), F.col("line_no")
     first = lambda tag: F.min_by(F.when(line.startswith(tag), F.struct("line", "doc_offset")), F.when(line.startswith(tag), no))
     news_id = line.rlike(r"^<DOC\s+id=")
@@ -57,7 +64,8 @@ def headers(docs: DataFrame) -> DataFrame:
         first("<DOCID>").alias("web"), F.min_by(F.when(news_id, F.struct("line", "doc_offset")), F.when(news_id, no)).alias("news"), first("<doc id").alias("forum"), first("<POSTER>").alias("poster"), first("<DATETIME>").alias("dated")
     )
     corpus = F.when(F.col("web").isNotNull(), "web").when(F.col("news").isNotNull(), "news").when(F.col("forum").isNotNull(), "forum")
-    got = got.withColumn("corpus", corpus).withColumn("doc_id", _doc_id(F.coalesce("web.line", "news.line", "forum.line")))
+    id_line = F.coalesce("web.line", "news.line", "forum.line") if given is None else F.col(f"{given}.line")
+    got = got.withColumn("corpus", corpus if given is None else F.lit(given)).withColumn("id_line", id_line).withColumn("doc_id", _doc_id(F.col("id_line")))
     shown = F.regexp_replace(F.regexp_extract(F.substring("poster.line", F.lit(10), F.length("poster.line")), "^[^&<\n]*", 0), r"\s+$", "")
     got = got.withColumn("shown", shown).withColumn("quoted", F.col("shown").rlike('^"[^"]+"$'))
     got = got.withColumn("name", F.when(F.col("quoted"), F.expr("substring(shown, 2, length(shown) - 2)")).otherwise(F.col("shown")))
@@ -65,12 +73,32 @@ def headers(docs: DataFrame) -> DataFrame:
     date = F.regexp_extract(F.substring("dated.line", F.lit(12), F.length("dated.line")), "^[^<]*", 0)
     written = _fabricated(F.lit(11), date, "This post was written on ", F.col("dated.line"), F.col("dated.doc_offset"), "written")
     web = F.col("corpus") == "web"  # only web documents carry both
-    return got.select("path", "doc_ord", "corpus", "doc_id", F.when(web, author).alias("author"), F.when(web, written).alias("written"))
+    return got.select("path", "doc_ord", "corpus", "doc_id", "id_line", F.when(web, author).alias("author"), F.when(web, written).alias("written"))
+
+
+def text_lines(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """``docs`` with tag lines blanked, and the date of news documents too: the line after their first dateline."""
+    one = Window.partitionBy("path", "doc_ord")
+    dateline = F.col("line").startswith("<DATELINE>")
+    first = F.min(F.when(dateline, F.col("line_no"))).over(one)
+    after = F.lag("line_no").over(one.orderBy("line_no")) == first
+    body = docs.withColumn("dated", F.coalesce(after, F.lit(False))).join(heads.select("path", "doc_ord", "corpus"), ["path", "doc_ord"], "left")
+    gone = F.col("line").startswith("<") | (F.col("dated") & (F.coalesce("corpus", F.lit("")) == "news"))
+    return body.withColumn("line", F.when(gone, "\n").otherwise(F.col("line"))).drop("dated", "corpus")
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
+def rejected(docs: DataFrame, heads: DataFrame, lines: int = 5) -> DataFrame:
+    """(path, doc_ord, reason, sample) of documents without an id line, or whose line yields no id; the sample holds their first text lines."""
+    bad = heads.filter("doc_id is null").select("path", "doc_ord", F.when(F.col("id_line").isNull(), "no id line").otherwise("no id in its line").alias("reason"))
+    number = F.row_number().over(Window.partitionBy("path", "doc_ord").orderBy("line_no"))
+    some = text_lines(docs.join(bad.select("path", "doc_ord"), ["path", "doc_ord"], "left_semi"), heads).withColumn("n", number).filter(F.col("n") <= lines)
+    text = some.groupBy("path", "doc_ord").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))  # at most ``lines``
+    return bad.join(text, ["path", "doc_ord"], "left").select("path", "doc_ord", "reason", F.coalesce(F.array_join(F.transform("l", lambda x: x["line"]), ""), F.lit("")).alias("sample"))
+
+
+def paragraphs(docs: DataFrame, heads: DataFrame) -> DataFrame:
     """Maximal runs of non-blank lines (tag lines count as blank): ``par_no``, ``start_offset`` and ``text``."""
-    body = docs.withColumn("line", F.when(F.col("line").startswith("<"), "\n").otherwise(F.col("line"))).withColumn("blank", is_blank(F.col("line")))
+    body = text_lines(docs, heads).withColumn("blank", is_blank(F.col("line")))
     so_far = Window.partitionBy("path", "doc_ord").orderBy("line_no")
     body = body.withColumn("island", F.sum(F.col("blank").cast("int")).over(so_far)).filter(~F.col("blank"))
     lines = F.array_sort(F.collect_list(F.struct("line_no", "line")))  # one paragraph
@@ -105,10 +133,11 @@ def usable_sentences(df: DataFrame, text: str = "text") -> DataFrame:
     return kept.withColumn(text, same_length(F.col(text), asciify(F.col(text))))
 
 
-def process(lines: DataFrame, path: str, filtered: bool = True) -> DataFrame:
-    """All steps from raw lines to numbered sentences."""
+def process(lines: DataFrame, path: str, filtered: bool = True, corpus: str | None = None) -> DataFrame:
+    """All steps from raw lines to numbered sentences. What ``rejected`` tells is left out."""
     docs = split_documents(lines, path)
-    out = numbered_sentences(segments(paragraphs(docs)), headers(docs))
+    heads = headers(docs, corpus)
+    out = numbered_sentences(segments(paragraphs(docs, heads)), heads)
     return usable_sentences(out) if filtered else out
 
 
@@ -120,5 +149,10 @@ def first_documents(docs: DataFrame, n: int) -> DataFrame:
     return docs.join(ids, ["path", "doc_ord"], "left_semi")
 
 
+def first_sentences(sentences: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` sentences by document and number; all of them if ``n`` is negative."""
+    return sentences if n < 0 else sentences.orderBy(*[c for c in ("path", "doc_ord", "doc_id", "sent_num") if c in sentences.columns]).limit(n)
+
+
 def clean_entity_text(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(text, clean(F.col(text)))

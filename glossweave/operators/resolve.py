@@ -2,7 +2,8 @@
 
 Entities have (doc_id, ent_no, text, start_offset, name, entity_type). Every rule returns (doc_id, ent_no, best_name, best_offset,
 candidate_count): the candidate that wins and one over the number of different candidate names. Candidates are found by equality on the
-document and a shared word form, never by comparing all entities of a document with each other.
+document and a shared word form. Only where a rule asks for a text somewhere inside another (places that hold the text of an
+organisation, names of the raw text that hold that of a person) the distinct texts and names of a document meet on the document alone.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, location_casing, words
+from ..session import materialise
 from . import gazetteer
 
 COLUMNS = ["doc_id", "ent_no", "best_name", "best_offset", "candidate_count"]
@@ -101,7 +103,7 @@ def organisation_acronym(e: DataFrame, docs: DataFrame | None = None) -> DataFra
     t = _targets(o)
     upper = t.filter(F.col("key").rlike(r"^\p{Lu}+$"))
     if docs is not None:
-        rest = t.filter(~F.col("key").rlike(r"^\p{Lu}+$") & (F.length("key") <= 12))
+        rest = t.filter(~F.col("key").rlike(r"^\p{Lu}+$"))
         inside = rest.select("doc_id", "key").distinct().join(c.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_semi").join(docs.select(F.col("ext_id").alias("doc_id"), F.col("text").alias("body")), "doc_id").filter(F.expr("body rlike concat('\\\\([^)(]{0,15}\\\\Q', key, '\\\\E[^)(]{0,15}\\\\)')"))
         upper = upper.unionByName(rest.join(inside.select("doc_id", "key"), ["doc_id", "key"], "left_semi"))
     return _winner(upper.join(c, ["doc_id", "key"]))
@@ -139,6 +141,7 @@ def _found(e: DataFrame, docs: DataFrame, scan, schema: str) -> DataFrame:
     return bodies.join(e.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(scan, schema)
 
 
+# Fixed value: two capitalised words between lower-case words or dots.
 PERSON_NAME = re.compile(r"(?:\.|\s[a-z]+\s)([A-Z]\w+\s[A-Z]\w+)(?:\.|\s[a-z]+\s)", re.ASCII)
 
 
@@ -154,6 +157,15 @@ def person_in_text(e: DataFrame, docs: DataFrame) -> DataFrame:
     return _winner(_targets(p).join(c, "doc_id").filter(F.col("best_name").contains(F.col("key"))))
 
 
+def container_counts(e: DataFrame, g: DataFrame) -> DataFrame:
+    """(doc_id, ent_no, container, mentions): for each place the places of its document that contain it, and how often each is mentioned."""
+    l = e.filter("entity_type = 'LOCATION'")
+    t = _targets(l).withColumn("contained", F.lower("key")).join(gazetteer.containment(g), "contained")
+    c = l.select("doc_id", F.lower("name").alias("container"), F.col("name").alias("best_name"))
+    hit = t.join(c, ["doc_id", "container"]).filter("best_name <> key and best_name <> 'United States'")
+    return hit.groupBy("doc_id", "ent_no", F.col("best_name").alias("container")).agg(F.count(F.lit(1)).alias("mentions"))
+
+
 def location_in_text(e: DataFrame, docs: DataFrame, g: DataFrame) -> DataFrame:
     """'X, Container' of the raw text, abbreviations expanded, where the gazetteer bears it out; the nearest one, then the first.
     Texts are matched literally, wherever they stand, as they are, in lower or in upper case; hits of one text do not overlap."""
@@ -195,7 +207,7 @@ def resolve(df: DataFrame, docs: DataFrame, g: DataFrame) -> DataFrame:
     Organisations try acronym, affix and prefix, places the form within a name, the container and the raw text, people affix and raw text;
     others try organisations, places and people in turn. What no rule finds stands for itself.
     """
-    e = entities(df)
+    e = materialise(entities(df))  # read by every rule
     other = e.filter("entity_type = 'OTHER'")
     rank = 0
     found: list[DataFrame] = []

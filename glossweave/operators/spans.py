@@ -51,12 +51,13 @@ def context(text: Column, offset: Column) -> Column:
     return F.regexp_replace(F.substring(text, F.greatest(F.lit(0), offset - 40) + 1, F.lit(80)), r"\s", " ")
 
 
-def greedy(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """The spans left when, in order of start, each is dropped that overlaps one kept before. Adds nothing, drops rows.
+def greedy(spans: DataFrame, keys: list[str], first: list[str] | None = None) -> DataFrame:
+    """The spans left when, in order of ``first`` (columns, none by default) and then of start, each is dropped that overlaps one kept
+    before. Adds nothing, drops rows.
 
     The spans of one group are folded; groups are arguments of one extraction, a handful of spans.
     """
-    item = F.struct("start", "end", "inner_id")
+    item = F.struct(*(first or []), "start", "end", "inner_id")
 
     def step(acc: Column, x: Column) -> Column:
         clash = F.exists(acc, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))

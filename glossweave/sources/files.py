@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,19 @@ def raw_files(spark: SparkSession, path: str, encoding: str = "UTF-8", glob: str
     return r.load(path).select("path", F.decode("content", encoding).alias("text"))
 
 
+def raw_text(spark: SparkSession, text: str | Iterable[str], path: str) -> DataFrame:
+    """(path, text) of what a program has in hand: a whole text, or the lines of standard input or another stream, line ends kept."""
+    return spark.createDataFrame([(path, text if isinstance(text, str) else "".join(text))], "path string, text string")
+
+
+def raw_url(spark: SparkSession, url: str, encoding: str = "UTF-8") -> DataFrame:
+    """(path, text) of what a URL delivers, fetched by the driver."""
+    from urllib.request import urlopen
+
+    with urlopen(url) as r:
+        return raw_text(spark, r.read().decode(encoding), url)
+
+
 def uneven_files(docs: DataFrame) -> DataFrame:
     """Files that do not hold exactly one document: (path, documents)."""
     return docs.groupBy("path").agg(F.count_distinct("doc_ord").alias("documents")).filter("documents <> 1")
@@ -57,21 +72,36 @@ def gazetteer_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def kb_entities(lines: DataFrame, line: str = "line") -> DataFrame:
     """(id, name, typ) of lines that are an entity tag and nothing else."""
-    pattern = r'^<entity wiki_title="([^"]*)" type="([^"]*)" id="([^"]*)" name="([^"]*)">$'
+    pattern = r'^<entity wiki_title="([^"]+)" type="([^"]+)" id="([^"]+)" name="([^"]+)">$'
     good = lines.filter(F.col(line).rlike(pattern))
     return good.select(F.regexp_extract(line, pattern, 3).alias("id"), F.regexp_extract(line, pattern, 4).alias("name"), F.regexp_extract(line, pattern, 2).alias("typ"))
 
 
 def name_to_node(lines: DataFrame, line: str = "line", order: str = "line_no") -> DataFrame:
-    """(name, node): of a name on several lines the last one counts."""
-    p = lines.select(F.split(F.col(line), "\t", -1).alias("p"), order).filter(F.size("p") >= 2)
-    return p.groupBy(F.col("p")[0].alias("name")).agg(F.max_by(F.col("p")[1], order).alias("node"))
+    """(name, node) of lines of id, name and type: of a name on several lines the last one counts. Lines of fewer fields are an error."""
+    p = lines.select(F.split(F.col(line), "\t", -1).alias("p"), F.col(line).alias("l"), order)
+    field = lambda i: F.when(F.size("p") >= 3, F.col("p")[i]).otherwise(F.raise_error(F.concat(F.lit("no entity: "), F.col("l"))))
+    return p.groupBy(field(1).alias("name")).agg(F.max_by(field(0), order).alias("node"))
+
+
+def kb_lines(entities: DataFrame) -> DataFrame:
+    """Entities (id, name, typ) as TSV lines."""
+    return entities.select(F.concat_ws("\t", "id", "name", "typ").alias("line"))
 
 
 def write_lines(df: DataFrame, path: str, line: str = "line") -> None:
     df.select(line).write.mode("overwrite").text(path)
 
 
+def write_split(texts: DataFrame, path: str, most: int = -1) -> None:
+    """Every document (path, doc_ord, text) as a text file of its own, in a folder that bears its file and its number there; the first
+    ``most`` by file and number, all if it is negative. Files end with a line break, whether the text does or not."""
+    from ..operators.ingest import first_documents
+
+    named = first_documents(texts, most).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.col("doc_ord").alias("doc"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+    named.repartition("file", "doc").write.mode("overwrite").partitionBy("file", "doc").text(path)
+
+
 def write_documents(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Nested rows as Parquet, in place of one binary file for each document."""
     w = df.write.mode("overwrite")

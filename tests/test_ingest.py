@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def test_header_sentences_and_numbering(spark):
     assert [h.doc_id for h in heads] == ["web-0001", "web-0001", None]
     assert (heads[0].author.start_offset, heads[0].author.text) == (67, "This post was written by jane doe.")
     assert (heads[0].written.start_offset, heads[0].written.text) == (18, "This post was written on 2007-10-22T10:31:03 .")
-    pars = ingest.paragraphs(docs).filter("doc_ord = 0").orderBy("par_no").collect()
+    pars = ingest.paragraphs(docs, ingest.headers(docs)).filter("doc_ord = 0").orderBy("par_no").collect()
     assert [(p.start_offset, p.text) for p in pars] == [(141, "Jane Doe lives in Seattle.\nShe works for Acme.\n"), (189, "Second paragraph — short one.\n")]
     s = ingest.process(lines(spark, WEB), "path", filtered=False).orderBy("sent_num").collect()
     assert [(x.sent_num, x.start_offset) for x in s][:4] == [(0, 67), (1, 18), (2, 141), (3, 168)]
@@ -53,6 +54,25 @@ def test_other_headers(spark):
     assert got["f0"] == ("news", "AFP_ENG_20090531.0001", None)
     assert got["f1"][:2] == ("forum", "bolt-eng-DF-183-195681-7948494")
     assert got["f2"][1].startswith("bc</DOCID>")
+    # the date of news is none of its text; elsewhere, and after another dateline, the line stays
+    pars = lambda **k: [p.text for p in ingest.paragraphs(docs, ingest.headers(docs, **k)).filter("path = 'f0'").collect()]
+    assert pars() == ["Text here.\n"] and pars(corpus="web") == ["Paris, May 31\n", "Text here.\n"]
+    with pytest.raises(ValueError, match="unknown corpus"):
+        ingest.headers(docs, "mail")
+    assert {h.path for h in ingest.headers(docs, "news").filter("doc_id is not null").collect()} == {"f0"}
+
+
+def test_rejects(spark):
+    docs = ingest.split_documents(lines(spark, WEB + "\n<b>\nleft\nover\n", '<DOC id= >\nText.\n</DOC>\n'), "path")
+    got = {(r.path, r.doc_ord): (r.reason, r.sample) for r in ingest.rejected(docs, ingest.headers(docs)).collect()}
+    assert got == {("f0", 1): ("no id line", "\n\nleft\nover\n")}
+    assert ingest.first_sentences(ingest.process(lines(spark, WEB), "path", filtered=False), 2).count() == 2
+
+
+def test_types_of_links(spark):
+    cases = {"place.hill": "LOCATION", "base.country": "LOCATION", "us.state": "LOCATION", "some.province": "LOCATION", "business.firm": "ORGANIZATION", "corporation": "ORGANIZATION", "insurance.company": "ORGANIZATION", "person": "PERSON", "time.event": "OTHER"}
+    df = spark.createDataFrame([([t], t) for t in cases], "types array<string>, t string")
+    assert {r.t: r.k for r in df.select("t", link_entity_type(F.col("types")).alias("k")).collect()} == cases
 
 
 @settings(max_examples=8, deadline=None)
@@ -77,4 +97,4 @@ def test_text_functions(spark):
 
 def test_empty_tables(spark):
     docs = ingest.split_documents(lines(spark, "").filter("false"), "path")
-    assert ingest.headers(docs).count() == ingest.paragraphs(docs).count() == 0
+    assert ingest.headers(docs).count() == ingest.paragraphs(docs, ingest.headers(docs)).count() == ingest.rejected(docs, ingest.headers(docs)).count() == 0

@@ -67,6 +67,43 @@ def test_coref_expansion(spark):
     assert got == {(30, "CorefFull", "John Smith"), (90, "LinkResolved", "Acme m1")}
     got = {(r.start_offset, r.kind) for r in coref.expand(m, links(["m1", "m2"]), best).collect()}
     assert got == {(30, "CorefFull"), (90, "CorefIdentity")}
+    # what is full by its kind stays full, with the count it has
+    for kind, want in [("CorefFull", ("CorefFull", 0.5)), ("LinkResolved", ("CorefFull", 0.5)), ("CorefIdentity", ("CorefFull", 0.5)), ("Container", ("Coref", 0.5)), ("Plain", ("Coref", 0.5)), ("Identity", ("CorefIdentity", 1.0))]:
+        b = spark.createDataFrame([("d", 0, "John Smith", kind, "PERSON", 0.5)], best.schema)
+        assert [(r.kind, r.candidate_count) for r in coref.expand(m, links([]), b).filter("start_offset = 30").collect()] == [want]
+
+
+def test_cluster_agreement(spark):
+    S = "struct<text:string,start_offset:int,name:string,entity_type:string>"
+    e = lambda t, o: (t, o, t, "PERSON")
+    rows = [("d", 0, "Full", e("old  Smith", 0), e("John Smith", 50)), ("d", 1, "Full", e("Lee", 20), e("John Smith", 50)), ("d", 2, "Full", e("Lee", 20), e("Nobody", 90)), ("d", 3, "Identity", e("Smith", 4), e("John Smith", 50))]
+    b = spark.createDataFrame(rows, f"doc_id string, bem_index int, kind string, target {S}, best {S}")
+    # mentions lie within the spans, they need not be the spans; one of two clusters belongs to the last
+    m = spark.createDataFrame([("d", 1, 4, "Smith"), ("d", 1, 55, "Smith"), ("d", 2, 20, "Lee"), ("d", 0, 20, "Lee")], "doc_id string, cluster_id int, start_offset int, text string")
+    assert {r.bem_index: r.agrees for r in evaluate.cluster_agreement(b, m).collect()} == {0: 1.0, 1: -1.0, 2: 0.0}
+
+
+def test_best_links_and_positions(spark):
+    L = "doc_id string, start_offset int, text string, id string, score double, name string, types array<string>"
+    l = spark.createDataFrame([("d", 1, "x", "b", 9.0, "B", None), ("d", 1, "x", "a", 9.0, "A", ["us.state"]), ("d", 1, "x", "c", 7.0, "C", None), ("d", 2, "y", "a", 4.9, "A", None), ("d", 3, "z", None, 9.0, "A", None), ("d", 4, "z", "a", None, "A", None)], L)
+    assert [(r.start_offset, r.id) for r in coref.best_links(l).collect()] == [(1, "a")]
+    assert [tuple(r) for r in coref.link_entities(coref.best_links(l)).collect()] == [("d", "x", 1, "A", "LOCATION")]
+    b = spark.createDataFrame([("d", 3, "Full", "A B", ("B", 7)), ("d", 5, "Identity", "C", ("C", 8)), ("d", 9, "Full", "D", ("E", 1))], "doc_id string, bem_index int, kind string, best_mention string, target struct<text:string,start_offset:int>")
+    assert {(r.bem_index, r.position) for r in evaluate.positions(b).collect()} == {(3, 0), (9, 1)}
+    labels = spark.createDataFrame([("d", 1, 1), ("d", 7, 0), ("x", 0, 1)], "doc_id string, bem_index int, label int")
+    assert [(r.of_all, r.label, r.best_mention) for r in evaluate.labelled_mentions(labels, b).collect()] == [(9, 1, "D")]
+
+
+def test_expansion_of_repeated_texts(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["Seattle, WA", "Boston", "Seattle, Wash.", None] * 20)], "i int, t string").repartition(7)
+    want = {"Seattle, WA": "Seattle, Washington", "Boston": "Boston", "Seattle, Wash.": "Seattle, Washington", None: None}
+    got = gazetteer.expand_locations(df, "t", places(spark)).collect()
+    assert len(got) == 80 and all(r.expanded == want[r.t] for r in got)
+
+
+def test_places_need_their_form(spark):
+    g = gazetteer.places(spark.createDataFrame([("A b(CITY)  C (PROVINCE 12) D (COUNTRY of E)",), ("X (CITY x)",)], "line string"))
+    assert {tuple(r) for r in g.collect()} == {("A b", "CITY", "C", "PROVINCE")}
 
 
 def test_spans(spark):
