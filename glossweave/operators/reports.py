@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed, link_debug, mention_debug, tsv_clean
@@ -197,10 +197,10 @@ def display_order(curve: DataFrame, label: str) -> DataFrame:
     return curve.withColumn("place", F.when(F.col(label) == 1, right).otherwise(F.lit(every) + F.col("rank") - right))
 
 
-def observed(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
-    """``df`` and an observation that holds, after an action on it, how many rows went through and how many of them fit each condition."""
-    o = Observation(name)
-    return df.observe(o, F.count(F.lit(1)).alias("rows"), *[F.count(F.when(c, 1)).alias(n) for n, c in counts.items()]), o
+def counters(df: DataFrame, **counts: Column) -> DataFrame:
+    """One row: how many rows there are and how many of them fit each condition, in one pass. For progress and errors of a finished step; an
+    ``Observation`` on the running one would do the same, but a session that has held one can no longer ship the models of pyspark.ml."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.when(c, 1)).alias(n) for n, c in counts.items()])
 
 
 def mention_contexts(bem: DataFrame, sentences: DataFrame, docs: DataFrame) -> DataFrame:

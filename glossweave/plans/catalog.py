@@ -143,6 +143,15 @@ def rejected_documents(spark: SparkSession, d: str) -> DataFrame:
     return ingest.rejected(docs, ingest.headers(docs))
 
 
+@query(f"""WITH {_TAIL} SELECT count(*) AS "rows", count(*) FILTER (doc_id IS NULL) AS rejected, count(*) FILTER (doc_id IS NULL AND id_line IS NULL) AS no_id_line, count(author) AS authors, count(written) AS dates FROM heads""")
+def ingestion_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Documents read, rejected and with an author or a date, over the same lines as ``rejected_documents``."""
+    lines = table(spark, d, "doc_lines").select("doc_id", "line_no", "line")
+    tail = lines.groupBy("doc_id").agg((F.max("line_no") + 1).alias("line_no")).withColumn("line", F.lit("left over\n"))
+    heads = ingest.headers(ingest.split_documents(lines.unionByName(tail), "doc_id"))
+    return reports.counters(heads, rejected=F.col("doc_id").isNull(), no_id_line=F.col("doc_id").isNull() & F.col("id_line").isNull(), authors=F.col("author").isNotNull(), dates=F.col("written").isNotNull())
+
+
 _ASCII = f"translate(text, {_q(ASCII_FROM)}, {_q(ASCII_TO)})"
 
 

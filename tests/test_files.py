@@ -105,10 +105,8 @@ def test_link_report(spark):
         reports.link_report({"A": l}, c.union(c)).collect()
 
 
-def test_observed_counts(spark):
-    df, seen = reports.observed(spark.range(10), "numbers", even=F.col("id") % 2 == 0)
-    df.write.format("noop").mode("overwrite").save()
-    assert seen.get == {"rows": 10, "even": 5}
+def test_counters(spark):
+    assert tuple(reports.counters(spark.range(10), even=F.col("id") % 2 == 0).first()) == (10, 5)
 
 
 def test_annotators_reject_rows_not_runs(spark):
