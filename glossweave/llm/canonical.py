@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +16,15 @@ from ..session import materialise
 
 # Usual abbreviations in names of places and bodies.
 ABBREVIATIONS = {
-    "univ": "university", "natl": "national", "nat": "national", "dept": "department", "auth": "authority", "obs": "observatory", "intl": "international", "int": "international",
+    "univ": "university", "natl": "national", "nat": "national", "dept": "department", "auth": "authority", "intl": "international", "int": "international",
     "fest": "festival", "prov": "province", "rep": "republic", "hts": "heights", "st": "saint", "fc": "football club", "assn": "association", "assoc": "association", "bros": "brothers",
-    "corp": "corporation", "inc": "incorporated", "ltd": "limited", "inst": "institute", "apt": "airport", "arpt": "airport", "mar": "maritime", "fish": "fisheries", "form": "formation", "pt": "port", "marath": "marathon",
+    "corp": "corporation", "inc": "incorporated", "ltd": "limited", "inst": "institute", "apt": "airport", "arpt": "airport", "pt": "port",
 }
 # Words that say what kind of place is meant and belong to no name.
 DESIGNATIONS = ["city", "town", "village", "the", "a"]
 COVER = 0.95
+#: A word of at least so many entries may be cut short in a value, to three letters or more and by three or more.
+COMMON = 3
 _ACCENTED = [(chr(o), unicodedata.normalize("NFKD", chr(o))[0]) for o in range(0xC0, 0x250) if ord(unicodedata.normalize("NFKD", chr(o))[0]) < 128]
 
 
@@ -50,32 +51,28 @@ def _deletions(w: Column) -> Column:
     return F.array_distinct(F.concat(F.array(w), F.when(F.length(w) >= 3, F.concat(ones, twos)).otherwise(F.array().cast("array<string>"))))
 
 
-def edits(a: str, b: str, most: int = 2) -> int:
-    """Edit distance in which swapped neighbours count one; ``most + 1`` stands for all beyond ``most``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row, older = row, [i], before
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-        before = last
-    return min(row[-1], most + 1)
+def _swapped(x: Column, y: Column) -> Column:
+    """Whether one swap of neighbours makes ``x`` into ``y``, which differ and are of one length."""
+    apart = F.array_position(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: p != q), True).cast("int")
+    made = F.concat(F.substring(x, F.lit(1), apart - 1), F.substring(x, apart + 1, F.lit(1)), F.substring(x, apart, F.lit(1)), F.substring(x, apart + 2, F.length(x)))
+    return (F.length(x) == F.length(y)) & (made == y)
 
 
 def _distance(a: Column, b: Column) -> Column:
-    """``edits`` over Arrow batches of the few pairs that share a deletion."""
+    """Edit distance in which a swap of neighbours that are not edited otherwise counts one; 3 stands for all beyond 2. All of it are built-in
+    expressions: a plain distance up to 2 is right but for a single swap; beyond, there must be a swap with at most one edit on one side of it."""
+    lev = F.levenshtein(a, b)
+    part = lambda x, y: (x == y) | (F.levenshtein(x, y) <= 1) | _swapped(x, y)
 
-    @F.pandas_udf("int")
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([edits(p, q) for p, q in zip(x, y)], dtype="int32")
+    def swap_at(i: Column, off: int) -> Column:
+        j = i + off
+        same = (j >= 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, j + 1, F.lit(1))) & (F.substring(a, i + 1, F.lit(1)) == F.substring(b, j, F.lit(1)))
+        p, q = F.substring(a, F.lit(1), i - 1), F.substring(b, F.lit(1), j - 1)
+        r, s = F.substring(a, i + 2, F.length(a)), F.substring(b, j + 2, F.length(b))
+        return same & (((p == q) & part(r, s)) | ((r == s) & part(p, q)))
 
-    return of(a, b)
+    swap = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(a) - 1)), lambda i: swap_at(i, -1) | swap_at(i, 0) | swap_at(i, 1))
+    return F.when(lev <= 1, lev).when(lev == 2, F.when(_swapped(a, b), 1).otherwise(2)).when((lev <= 4) & swap, 2).otherwise(3)
 
 
 def _may_be_close(a: Column, b: Column) -> Column:
@@ -85,6 +82,14 @@ def _may_be_close(a: Column, b: Column) -> Column:
     return (lev <= 2) | ((lev == 3) & (letters <= 2)) | ((lev == 4) & (letters == 0))
 
 
+def short_forms(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, word, sim) for tokens that are no word but the beginning of one, by three letters or more, that is common in the list: the word of
+    ``words`` (word, n) cut short. What 'obs' or 'marath' stand for is so learnt from the list itself."""
+    unknown = tokens.select("token").distinct().join(words, F.col("token") == F.col("word"), "left_anti").filter(F.length("token") >= 3)
+    heads = words.filter((F.col("n") >= COMMON) & (F.length("word") >= 6)).select("word", F.explode(F.transform(F.sequence(F.lit(3), F.length("word") - 3), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("token"))
+    return unknown.join(heads, "token").select("token", "word", F.lit(0.9).alias("sim"))
+
+
 def repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, word, sim) for the distinct ``token`` of one table and the distinct ``word`` of the other: the token itself if it is a
     word, else all words within an edit distance of 2 (of 1 if the token has under 6 characters; none under 3)."""
@@ -124,7 +129,8 @@ def map_values(values: DataFrame, text: str, entries: DataFrame, id_: str, name:
     listed = named.withColumn("f", fold(F.col("name"))).withColumn("words", _words(F.col("f")))
     listed = listed.select("id", "name", "words").union(listed.select("id", "name", F.array(F.concat(F.lit("="), F.regexp_replace("f", r"[^\p{L}\p{N}]+", ""))))).filter(F.size("words") > 0)
     n = F.lit(float(named.count() + 1))
-    idf = listed.select(F.explode("words").alias("word")).groupBy("word").agg(F.log(n / F.count(F.lit(1)) + 1).alias("idf"))
+    used = materialise(listed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    idf = used.select("word", F.log(n / F.col("n") + 1).alias("idf"))
     # (id, name, [(word, idf)], norm), found by its heaviest word
     heavy = listed.select("id", "name", F.element_at("words", 1).startswith("=").alias("glued"), F.explode("words").alias("word")).join(idf, "word").groupBy("id", "name", "glued").agg(
         F.collect_list(F.struct("word", "idf")).alias("words")  # the words of one name
@@ -132,7 +138,8 @@ def map_values(values: DataFrame, text: str, entries: DataFrame, id_: str, name:
     top = F.array_max(F.transform("words", lambda w: F.struct(w["idf"].alias("idf"), w["word"].alias("word"))))
     heavy = heavy.groupBy("id", "name", "words").agg(F.first(top).alias("top")).select("id", "name", F.col("words").alias("entry"), F.col("top.word").alias("word"))
 
-    fixed = materialise(repairs(asked.select(F.explode("words").alias("token")), idf.select("word")))
+    tokens = asked.select(F.explode("words").alias("token"))
+    fixed = materialise(repairs(tokens, idf.select("word")).union(short_forms(tokens, used)).groupBy("token", "word").agg(F.max("sim").alias("sim")))
     unknown = F.log(n + 1)
     fixes = fixed.join(idf, "word").groupBy("token").agg(F.collect_list(F.struct("word", "sim", "idf")).alias("to"))  # bounded: the words within two edits
     spread = asked.select("text", "form", F.posexplode("words").alias("pos", "token")).join(fixes, "token", "left")

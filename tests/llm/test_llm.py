@@ -196,6 +196,42 @@ def test_repairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_distance_equals_dynamic_programming(spark):
+    rng = random.Random(8)
+
+    def osa(a, b):
+        d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    pairs = [("ca", "abc"), ("abcdef", "badcef"), ("", "a"), ("ab", "ba"), ("abcd", "bacd"), ("abcd", "badc"), ("a", "a")]
+    for _ in range(4000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 9)))
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(b) + 1)
+            r = rng.random()
+            if r < 0.4 and i + 1 < len(b):
+                b[i], b[i + 1] = b[i + 1], b[i]
+            elif r < 0.6:
+                b.insert(i, rng.choice("abc"))
+            elif i < len(b):
+                b[i : i + 1] = [rng.choice("abc")] if r < 0.8 else []
+        pairs.append((a, "".join(b)))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", canonical._distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r.d == min(3, osa(r.a, r.b)) for r in got)
+
+
+def test_short_forms_come_from_the_list(spark):
+    kb = spark.createDataFrame([(i, f"{w} Glacier Observatory") for i, w in enumerate(["Alpha", "Beta", "Gamma"])] + [(9, "Scott Peterson")], "id int, name string")
+    values = spark.createDataFrame([("Alpha Glac. Obs.",), ("Beta Glacier Observ",), ("Scott Peter",)], "t string")
+    assert {r.t: r.id for r in canonical.map_values(values, "t", kb, "id", "name").collect()} == {"Alpha Glac. Obs.": 0, "Beta Glacier Observ": 1, "Scott Peter": None}
+
+
 # ---- 5 near duplicates -----------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("k, t", [(3, 0.5), (5, 0.8), (1, 0.6)])
