@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by alternating large-star and small-star steps, and the pairs within groups."""
 
 from __future__ import annotations
 
@@ -33,3 +33,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before = now
     roots = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.union(e.select("v", "v").distinct().join(roots, F.col("v") == F.col("node"), "left_anti").toDF("node", "root"))
+
+
+def pairs_within(df: DataFrame, keys: list[str], item: str, hot: int) -> DataFrame:
+    """(a, b), a < b, of the items of each group. A group of more than ``hot`` falls into shares by hash; each share meets the whole group in a
+    place of its own, so that many tasks expand it. ``df`` should be materialised: it is read more than once."""
+    size = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("shares")).filter("shares > 1")
+    left, right = df.select(*keys, F.col(item).alias("a")), df.select(*keys, F.col(item).alias("b"))
+    if not size.isEmpty():
+        one = lambda d: d.join(size, keys, "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+        left = one(left).withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares")
+        right = one(right).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        keys = [*keys, "share"]
+    return left.join(right, keys).filter("a < b").select("a", "b")

@@ -71,7 +71,8 @@ def pack(items: DataFrame, id_: str, size: str, capacity: int = CAPACITY, group_
     group = F.pmod(F.xxhash64(F.lit(seed), "id", "size", "copy_no", "piece_no"), F.lit(n_groups)).cast("int")
     pieces = each.select(group.alias("group_no"), "id", "copy_no", "piece_no", start, length.alias("piece_size"))
     # groups lie whole in a partition; ordered, so that equal sizes are placed the same way in every run
-    parted = pieces.repartition(min(n_groups, 4096), "group_no").sortWithinPartitions("group_no", F.desc("piece_size"), F.xxhash64(F.lit(seed), "id", "copy_no", "piece_no"), "id", "copy_no", "piece_no")
+    tasks = n_groups if n_groups <= 4096 else max(4096, n_groups // 16)  # a task goes through its groups one after another
+    parted = pieces.repartition(tasks, "group_no").sortWithinPartitions("group_no", F.desc("piece_size"), F.xxhash64(F.lit(seed), "id", "copy_no", "piece_no"), "id", "copy_no", "piece_no")
     kind = src.schema["id"].dataType.simpleString()
     names = ["group_no", "id", "copy_no", "piece_no", "item_start", "piece_size"]
 

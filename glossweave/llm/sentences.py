@@ -78,7 +78,7 @@ def _curly_quotations(x: Column) -> Column:
     opens, closes = "[“「『«]", "[”」』»]"
 
     def part(p: Column) -> Column:
-        quoted = p.rlike(f"^{opens}[^\\n]{{0,600}}{closes}$")
+        quoted = p.rlike(f"^{opens}[^\\n]*{closes}$")
         return F.when(quoted, F.concat(_inside(F.substring(p, F.lit(1), F.length(p) - 1)), F.right(p, F.lit(1)))).otherwise(p)
 
     curly = F.array_join(F.transform(F.split(x, f"(?={opens})|(?<={closes})", -1), part), "")
@@ -87,9 +87,9 @@ def _curly_quotations(x: Column) -> Column:
 
 def _mask(x: Column) -> Column:
     gap = f"[ \\u00a0\\u2000-\\u200a\\u202f{SOFT}]"
-    x = _r(x, r"\.(?=\w)(?<=@[\w.+-]{0,80}\.)|\.(?=[\w.+-]{0,64}@)", DOT)  # mail addresses
-    x = _r(x, r"\.(?=\S)(?<=(?:://|www\.)\S{0,200}\.)", DOT)
-    x = _r(x, r"\?(?=\S)(?<=://\S{0,200}\?)", ASK)
+    # addresses: each match goes on where the last one ended (\G), so one pass goes along an address of any length
+    x = F.when(F.instr(x, "@") > 0, _r(_r(x, r"\.(?=[\w.+-]*+@)", DOT), r"(@|\G(?!\A))([\w+-]*)\.(?=\w)", f"$1$2{DOT}")).otherwise(x)
+    x = F.when(x.rlike(r"://|www\."), _r(_r(x, r"(://|www\.|\G(?!\A))([^\s.]*)\.(?=\S)", f"$1$2{DOT}"), r"(://|\G(?!\A))([^\s?]*)\?(?=\S)", f"$1$2{ASK}")).otherwise(x)
     x = _r(x, r"(?<=\d)\.(?=\d)", DOT)  # decimals, sections, numbers
     x = _r(x, rf"\.(?={gap})(?<=(?<![\p{{L}}\p{{M}}])(?:{TITLES}|{NUMBERED}|{LATINISMS})\.)", DOT)
     x = _r(x, rf"\.(?={gap}\d)(?<=(?<![\p{{L}}\p{{M}}])(?:{MONTHS})\.)", DOT)
