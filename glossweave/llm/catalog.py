@@ -200,8 +200,14 @@ SELECT k.doc_id, cls.rep AS first_of_class, roots.root AS first_of_group, coales
 """
 
 
+_ROWS = "SELECT 'sentences' AS tbl, doc_id, sent_num AS row_no, text AS t FROM sentences UNION ALL SELECT 'entities', doc_id, ent_no, text FROM entities"
+
+
 def oracle_sql() -> dict[str, str]:
+    forms = charforms.statement(_ROWS)
     return {
+        "p6_found": f"SELECT DISTINCT tbl, doc_id, row_no FROM ({forms}) WHERE text IS DISTINCT FROM normal",
+        "p6_normalized": f"SELECT tbl, doc_id, row_no, normal FROM ({forms})",
         "p5_found": _PAIRS,
         "p5_groups": _GROUPS,
         "p3_fused": _FUSED + "SELECT * FROM fused",

@@ -37,8 +37,10 @@ KEPT_ZWJ, KEPT_ZWNJ = "", ""
 
 
 #: Blocks whose compatibility forms are brought to the plain ones: common ones (wide letters and digits), then the rest.
-COMMON = [(0xFF10, 0xFF1A), (0xFF21, 0xFF3B), (0xFF41, 0xFF5B)]
-RARE = [(0x2160, 0x2180), (0xFF65, 0xFFA0), (0x1D400, 0x1D800), (0xFB50, 0xFDFC), (0xFE70, 0xFEFD), (0x017F, 0x0180)]
+COMMON = [(0xFF0E, 0xFF0F), (0xFF10, 0xFF1A), (0xFF21, 0xFF3B), (0xFF41, 0xFF5B)]
+RARE = [(0x2024, 0x2025), (0x2100, 0x2150), (0x2160, 0x2180), (0x2F00, 0x2FD6), (0x03D0, 0x03D7), (0x03F0, 0x03F6), (0xFF65, 0xFFA0), (0x1D400, 0x1D800), (0xFB50, 0xFDFC), (0xFE70, 0xFEFD), (0x017F, 0x0180)]
+# Signs made of letters that are read as signs and stay.
+KEPT = "№℡℻™℠ℹ"
 JOINED = [(0x2025, 0x2027), (0xFB00, 0xFB07), (0x0132, 0x0134), (0x01C4, 0x01CD), (0x01F1, 0x01F4)]
 
 
@@ -47,7 +49,8 @@ def _forms(blocks: list[tuple[int, int]], single: bool) -> list[tuple[str, str]]
     Superscripts, fractions, ordinals, letter-like signs (number sign, trade mark) and East Asian punctuation are in no block:
     they keep their meaning and stay."""
     pairs = [(chr(o), unicodedata.normalize("NFKC", chr(o))) for block in blocks for o in range(*block) if unicodedata.name(chr(o), "")]
-    return [(c, to) for c, to in pairs if to != c and " " not in to and (len(to) == 1) == single]
+    plain = lambda to: all(unicodedata.category(x)[0] in "LNM" or x in "-." for x in to)
+    return [(c, to) for c, to in pairs if to != c and c not in KEPT and plain(to) and (len(to) == 1) == single]
 
 
 def _ranges(blocks: list[tuple[int, int]]) -> str:
@@ -62,6 +65,11 @@ def _class(chars: str) -> str:
     return "[" + "".join(f"\\x{{{ord(c):04X}}}" for c in chars) + "]"
 
 
+def statement(rows: str) -> str:
+    """The same as one statement over ``rows``, a query whose text is the column t."""
+    return _sql().replace("WITH a AS", f"WITH batch AS ({rows}), a AS", 1)
+
+
 def _sql() -> str:
     tr = lambda x, a, b: f"translate({x}, {_quoted(a)}, {_quoted(b)})"
     plain = lambda pairs: ("".join(c for c, _ in pairs), "".join(to for _, to in pairs))

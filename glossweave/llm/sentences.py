@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 DOT, ASK, SHOUT, SOFT, CUT = "", "", "", "", ""
 MASKS = "".join(map(chr, range(0xE000, 0xE010)))
 CHUNK = 512
+#: Columns of a page of plain text: the usual bound of hard-wrapped lines.
+COLUMNS = 80
 THAI = r"[\u0e01-\u0e5b]"
 
 # Abbreviations that never end a sentence before what usually follows them.
@@ -51,10 +53,13 @@ def _soft_breaks(x: Column) -> Column:
         return F.array_join(F.transform(F.arrays_zip(lines.alias("l"), following.alias("f")), end), "")
 
     def width(lines: Column) -> Column:
-        most = F.array_max(F.transform(lines, lambda l: F.length(l)))
-        n = F.size(F.filter(lines, lambda l: F.length(l) >= 50))
-        open_ended = F.size(F.filter(lines, lambda l: (F.length(l) >= 50) & ~l.rlike(r"[.!?:…。！？؟।][\"”’»)\]」]*\s*$")))
-        return F.when(most <= 64, 64).when(most <= 75, 72).when((most <= 100) & (open_ended * 2 > n), 72).otherwise(1 << 30)
+        """The width a text was wrapped to, by its own lines: the longest but for the sixth of the long ones that edits may have stretched. A
+        text with lines beyond ``COLUMNS`` is not wrapped, unless most of its long lines break off within a sentence."""
+        sizes = F.sort_array(F.transform(lines, lambda l: F.length(l)), asc=False)
+        long = F.filter(lines, lambda l: F.length(l) >= 50)
+        open_ended = F.filter(long, lambda l: ~l.rlike(r"[.!?:…。！？؟।][\"”’»)\]」]*\s*$"))
+        own = lambda z: F.element_at(z, F.greatest(F.lit(1), F.ceil(F.size(F.filter(z, lambda n: n * 2 > z[0])) / 6)).cast("int"))
+        return _let(sizes, lambda z: F.when((z[0] <= COLUMNS) | ((z[0] <= 1.25 * COLUMNS) & (F.size(open_ended) * 2 > F.size(long))), own(z)).otherwise(1 << 30))
 
     whole = lambda lines: _let(width(lines), lambda w: marked(lines, w))
     return F.when(F.instr(x, "\n") > 0, _let(F.split(x, "\n", -1), whole)).otherwise(x)

@@ -303,7 +303,7 @@ def test_components(spark):
 # ---- 6 character forms -----------------------------------------------------------------------------------------------------
 
 def test_one_form(spark):
-    cases = {"Ｗｉｄｅ １２": "Wide 12", "cafe\u0301": "café", "a\u200bb\u00adc": "abc", "a\u00a0b\u2009c": "a b c", "ﬁne … \u2011": "fine ... -", "Аbоut": "About", "мoст": "мост", "музей с Port": "музей с Port", "！？「あ」 № “q” – é": "！？「あ」 № “q” – é", "क्\u200dष": "क्\u200dष", "": "", None: None, "line\nbreak": "line\nbreak", "\u212aelvin": "Kelvin"}
+    cases = {"Ｗｉｄｅ １２": "Wide 12", "cafe\u0301": "café", "a\u200bb\u00adc": "abc", "a\u00a0b\u2009c": "a b c", "ﬁne … \u2011": "fine ... -", "Аbоut": "About", "мoст": "мост", "музей с Port": "музей с Port", "！？「あ」 № “q” – é": "！？「あ」 № “q” – é", "क्\u200dष": "क्\u200dष", "": "", None: None, "line\nbreak": "line\nbreak", "\u212aelvin": "Kelvin", "\u210e\u2124 3\uff0e5 \u2024\u2024": "hZ 3.5 ..", "№ ™ x²": "№ ™ x²", "\u2f00": "一", "\u03d1": "θ"}
     df = spark.createDataFrame([(c, 1) for c in cases], "x string, normal int")
     got = {r.text: r.normal for r in charforms.one_form(df, "x", []).collect()}
     assert got == cases
@@ -326,6 +326,33 @@ def test_sentences(spark, text, want):
     assert all(text[r.start_pos : r.end_pos] == r.sentence for r in got)
 
 
+@pytest.mark.parametrize("width", [44, 52, 64, 72, 78])
+def test_wrapped_text_of_any_width(spark, width):
+    import textwrap
+
+    text = " ".join(f"The {w} harbour of the old town was closed by the council for {n} days after the long storm." for w, n in zip(["small", "southern", "remote", "northern", "crowded"] * 3, range(3, 99, 7)))
+    of = lambda t: [re.sub(r"\s+", " ", r.sentence) for r in sentences.sentences(spark.createDataFrame([(1, t)], "id int, text string"), "text", ["id"]).orderBy("sent_no").collect()]
+    assert of("Head line\n\n" + textwrap.fill(text, width)) == ["Head line", *of(text)]
+
+
+def test_long_addresses_and_quotations(spark):
+    mail, url = "a." * 90 + "b@" + "c." * 90 + "example", "https://e.example/" + "x.y?z" * 90
+    quoted = "“" + "One two. " * 200 + "Three.”"
+    text = f"Write to {mail}. See {url} now. He said {quoted}, and left. End."
+    got = [r.sentence for r in sentences.sentences(spark.createDataFrame([(1, text)], "id int, text string"), "text", ["id"]).orderBy("sent_no").collect()]
+    assert got == [f"Write to {mail}.", f"See {url} now.", f"He said {quoted}, and left.", "End."]
+
+
+def test_pairs_within_large_groups(spark):
+    df = spark.range(60).select((F.col("id") % 7 > 4).cast("int").alias("g"), F.col("id").alias("x"), F.lit(1).alias("a"))
+    rows = [(r.g, r.x) for r in df.collect()]
+    want = sorted((x, y) for g, x in rows for h, y in rows if g == h and x < y)
+    from glossweave.llm.components import pairs_within
+
+    for hot in (4096, 9):
+        assert sorted(tuple(r) for r in pairs_within(df, ["g"], "x", hot).collect()) == want
+
+
 def test_sentences_edges(spark, sf):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "One. Two. " * 3000), (5, "\ue000 a\ue00fb")]
     got = sentences.sentences(spark.createDataFrame(rows, "sent_no2 int, text string"), "text", ["sent_no2"]).groupBy("sent_no2").count().collect()
