@@ -207,7 +207,7 @@ def resolve(df: DataFrame, docs: DataFrame, g: DataFrame) -> DataFrame:
     Organisations try acronym, affix and prefix, places the form within a name, the container and the raw text, people affix and raw text;
     others try organisations, places and people in turn. What no rule finds stands for itself.
     """
-    e = materialise(entities(df))  # read by every rule
+    e, g = materialise(entities(df)), materialise(g)  # read by every rule
     other = e.filter("entity_type = 'OTHER'")
     rank = 0
     found: list[DataFrame] = []

@@ -21,3 +21,13 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(autouse=True)
+def _steps(request):
+    """What a test has materialised is deleted after it."""
+    yield
+    if "spark" in request.fixturenames:
+        from glossweave.session import clear_steps
+
+        clear_steps(request.getfixturevalue("spark"))
