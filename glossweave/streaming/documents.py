@@ -21,11 +21,19 @@ def overdue(docs: DataFrame, late: str = "90 days") -> DataFrame:
 
 
 def delivered_once(links: DataFrame, late: str = "90 days") -> DataFrame:
-    """Links without those delivered again within ``late``. Links come again up to 61 days later. Hand-typed ones have no id and no
-    offset, so the text tells them apart."""
+    """Links without those delivered again within ``late`` of a delivery that was kept; one that comes later than that is a new one. Links come
+    again up to 61 days later. Hand-typed ones have no id and no offset, so the text tells them apart. A stream forgets a link only when
+    its watermark has passed, so it may take a delivery for a repeat that a table takes for new, never the other way round."""
     keys = ["doc_id", "start_offset", "id", "text"]
     timed = links.withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
-    return timed.withWatermark("loaded_at", late).dropDuplicatesWithinWatermark(keys) if links.isStreaming else links.dropDuplicates(keys)
+    if links.isStreaming:
+        return timed.withWatermark("loaded_at", late).dropDuplicatesWithinWatermark(keys)
+    rest = [c for c in timed.columns if c not in keys]
+    row = F.struct(F.coalesce("loaded_at", F.lit(None).cast("timestamp")).alias("_at"), *rest)
+    fresh = lambda acc, x: (F.size(acc) == 0) | (x["_at"] > F.element_at(acc, -1)["_at"] + F.expr(f"interval {late}"))
+    kept = F.aggregate("_all", F.slice("_all", 1, 0), lambda acc, x: F.when(fresh(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    per = timed.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_all"))  # the deliveries of one link
+    return per.select(*keys, F.explode(kept).alias("_x")).select(*[F.col(c) if c in keys else F.col(f"_x.{c}") for c in timed.columns])
 
 
 def usable(sentences: DataFrame) -> DataFrame:

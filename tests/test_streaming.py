@@ -44,3 +44,10 @@ def test_late_documents_are_counted(spark, tmp_path):
     got = _streamed(spark, df, "received_at", documents.arrivals, tmp_path, "late")
     assert sorted(str(r["from"])[:10] for r in got) == ["2024-04-05", "2024-06-01", "2024-06-02"]
     assert [r.posted_at for r in documents.overdue(df).collect()] == ["2024-01-01"]
+
+
+def test_a_delivery_after_the_bound_is_new(spark):
+    rows = [("d", 1, "m", "c", t, n) for t, n in (("2024-01-01", 1), ("2024-01-11", 2), ("2024-04-20", 3), ("2024-06-01", 4), (None, 5))] + [("d", 2, "m", None, "2024-01-01", 6)] * 2
+    df = spark.createDataFrame(rows, "doc_id string, start_offset int, id string, text string, loaded_at string, n int")
+    assert sorted(r.n for r in documents.delivered_once(df.filter("n <> 5")).collect()) == [1, 3, 6]
+    assert documents.delivered_once(df.filter("false")).columns == df.columns
