@@ -33,9 +33,12 @@ def sizes(docs: DataFrame, text: str, keep: list[str], folder: str = FOLDER, voc
     """``keep`` and ``tokens`` of every row, over the whole text; a null or empty text has 0 tokens. Strings of special tokens in a
     text are ordinary text. Columns not named in ``keep`` are left out."""
     path = f"{folder.rstrip('/')}/{vocabulary}"
+    docs.sparkSession.sparkContext.addFile(path)  # workers need not have the folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        from pyspark import SparkFiles
+
+        enc = encoding(SparkFiles.get(vocabulary))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int32())], schema=pa.schema([*list(b.schema)[:-1], pa.field("tokens", pa.int32())]))
