@@ -69,10 +69,11 @@ def shown_parts(parts: DataFrame, links: DataFrame, bem: DataFrame | None = None
         b = bem.filter((F.col("kind") != "Identity") & (F.col("best_mention") != target))
         b = b.select("doc_id", F.lit(1).alias("source"), F.col("target.start_offset").alias("start_offset"), target.alias("text"), F.col("best_mention").alias("best"))
         subs = subs.unionByName(b.withColumn("debug", mention_debug(F.col("start_offset"), F.col("text"), F.col("best"))))
-    subs = subs.filter("best is not null").withColumn("inner_id", F.xxhash64("doc_id", "source", "start_offset", "text", "best", "debug"))
+    subs = subs.filter("best is not null").distinct().withColumn("inner_id", F.xxhash64("doc_id", "source", "start_offset", "text", "best", "debug"))
     inside = within(p, subs.select("doc_id", "inner_id", *span(subs, "start_offset", "text")))
     hit = inside.join(subs.withColumnRenamed("text", "old"), ["doc_id", "inner_id"]).withColumn("start", F.col("start_offset")).withColumn("end", F.col("start_offset") + F.length("old")).drop("start_offset")
-    kept = greedy(hit, ["doc_id", "outer_id"], ["source"]).select("doc_id", "outer_id", "inner_id", F.lit(True).alias("kept"))
+    hit = hit.withColumn("order", F.struct("source", "start", "end", "best", "debug"))
+    kept = greedy(hit, ["doc_id", "outer_id"], ["order"]).select("doc_id", "outer_id", "inner_id", F.lit(True).alias("kept"))
     hit = hit.join(kept, ["doc_id", "outer_id", "inner_id"], "left")
     row = F.struct("source", "start", "end", "best", "debug", F.coalesce("kept", F.lit(False)).alias("kept"))
     per = hit.groupBy("doc_id", F.col("outer_id").alias("part_id")).agg(F.array_sort(F.collect_list(row)).alias("h"))  # of one part

@@ -874,7 +874,29 @@ def link_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.link_report({"BASELINE": l, "RULES": l.filter("score >= 20.0")}, _contexts(spark, d).withColumn("clean", F.col("text")))
 
 
-@query()
+def _shown(tag: str, subs: str) -> str:
+    """The parts of all extractions with what is found in them taking their place: greedy choice in order, then the pieces put together."""
+    return f"""{tag}h AS (SELECT p.*, s.source, s.a AS sa, s.b AS sb, s.best, s.debug, row_number() OVER (PARTITION BY p.doc_id, p.sent_num, p.ext_no, p.n ORDER BY s.source, s.a, s.b, s.best, s.debug) AS k FROM parts p JOIN {subs} s ON s.doc_id = p.doc_id AND s.a >= p.a AND s.b <= p.b),
+{tag}r AS (SELECT doc_id, sent_num, ext_no, n, k, [struct_pack(a := sa, b := sb, best := best)] AS kept FROM {tag}h WHERE k = 1 UNION ALL SELECT h.doc_id, h.sent_num, h.ext_no, h.n, h.k, CASE WHEN len(list_filter(r.kept, lambda x: x.a < h.sb AND h.sa < x.b)) > 0 THEN r.kept ELSE list_append(r.kept, struct_pack(a := h.sa, b := h.sb, best := h.best)) END
+    FROM {tag}r r JOIN {tag}h h ON h.doc_id = r.doc_id AND h.sent_num = r.sent_num AND h.ext_no = r.ext_no AND h.n = r.n AND h.k = r.k + 1),
+{tag}u AS (SELECT doc_id, sent_num, ext_no, n, unnest(kept) AS x FROM (SELECT doc_id, sent_num, ext_no, n, arg_max(kept, k) AS kept FROM {tag}r GROUP BY ALL)),
+{tag}v AS (SELECT u.*, p.text, p.a, p.b, coalesce(lag(u.x.b) OVER (PARTITION BY u.doc_id, u.sent_num, u.ext_no, u.n ORDER BY u.x.a), p.a) AS before, lower(substr(p.text, u.x.a - p.a + 1, u.x.b - u.x.a)) AS old FROM {tag}u u JOIN parts p USING (doc_id, sent_num, ext_no, n)),
+{tag}w AS (SELECT doc_id, sent_num, ext_no, n, string_agg(substr(text, before - a + 1, x.a - before) || x.best || CASE WHEN (old IN ('his', 'her', 'its', 'their', 'my', 'your', 'our') OR regexp_matches(old, '[\\x27’]s$')) AND NOT regexp_matches(x.best, '[\\x27’]s?$') THEN chr(39) || 's' ELSE '' END, '' ORDER BY x.a) || substr(any_value(text), max(x.b) - any_value(a) + 1) AS shown FROM {tag}v GROUP BY ALL),
+{tag}d AS (SELECT doc_id, sent_num, ext_no, n, '[' || coalesce(string_agg(debug, ', ' ORDER BY sa, sb, best, debug) FILTER (source = 0), '') || ']' AS links, '[' || coalesce(string_agg(debug, ', ' ORDER BY sa, sb, best, debug) FILTER (source = 1), '') || ']' AS mentions FROM {tag}h GROUP BY ALL),
+{tag}s AS (SELECT p.doc_id, p.sent_num, p.ext_no, p.n, coalesce(w.shown, p.text) AS shown, coalesce(d.links, '[]') AS links, coalesce(d.mentions, '[]') AS mentions FROM parts p LEFT JOIN {tag}w w USING (doc_id, sent_num, ext_no, n) LEFT JOIN {tag}d d USING (doc_id, sent_num, ext_no, n))"""
+
+
+_CLEAN = "translate({0}, chr(9) || chr(10), '  ')".format
+
+
+@query(f"""WITH RECURSIVE {_BL}, {_NT}, {_TRIPLES}, parts AS (SELECT doc_id, sent_num, ext_no, 1 AS n, arg1 AS text, arg1_offset AS a, arg1_offset + length(arg1) AS b FROM ex UNION ALL SELECT doc_id, sent_num, ext_no, 2, arg2, arg2_offset, arg2_offset + length(arg2) FROM ex),
+lsub AS (SELECT DISTINCT doc_id, 0 AS source, start_offset AS a, start_offset + length(text) AS b, name AS best, '(' || name || ',' || id || ',' || CAST(score AS VARCHAR) || ')' AS debug FROM bl WHERE name IS NOT NULL),
+both_ AS (SELECT * FROM lsub UNION ALL SELECT DISTINCT doc_id, 1, target.start_offset, target.start_offset + length(tt), best_mention, '(' || CAST(target.start_offset AS VARCHAR) || ') ' || tt || ' -> ' || best_mention FROM bt WHERE kind <> 'Identity' AND best_mention <> tt),
+{_shown('x', 'lsub')}, {_shown('y', 'both_')}
+SELECT ex.doc_id, ex.sent_num, ex.ext_no, {_CLEAN('c1.shown')} AS "Best Arg1", ex.rel AS "Rel", {_CLEAN('c2.shown')} AS "Best Arg2", {_CLEAN('b1.shown')} AS "Original Arg1", {_CLEAN('b2.shown')} AS "Original Arg2", {_CLEAN('s1.text')} AS "Sentence Text", {_CLEAN('c1.mentions')} AS "Arg1 Best Mentions", {_CLEAN('c2.mentions')} AS "Arg2 Best Mentions",
+    {_CLEAN('c1.links')} AS "Arg1 Links", {_CLEAN('c2.links')} AS "Arg2 Links", {_CLEAN('b1.links')} AS "Original Arg1 Links", {_CLEAN('b2.links')} AS "Original Arg2 Links", trim(ex.doc_id) AS "Doc ID", CASE WHEN c1.shown <> b1.shown THEN 'YES' ELSE 'NO' END AS "Arg1 Changed?", CASE WHEN c2.shown <> b2.shown THEN 'YES' ELSE 'NO' END AS "Arg2 Changed?"
+FROM ex JOIN s1 ON s1.doc_id = ex.doc_id AND s1.sent_num = ex.sent_num JOIN xs b1 ON b1.doc_id = ex.doc_id AND b1.sent_num = ex.sent_num AND b1.ext_no = ex.ext_no AND b1.n = 1 JOIN xs b2 ON b2.doc_id = ex.doc_id AND b2.sent_num = ex.sent_num AND b2.ext_no = ex.ext_no AND b2.n = 2
+    JOIN ys c1 ON c1.doc_id = ex.doc_id AND c1.sent_num = ex.sent_num AND c1.ext_no = ex.ext_no AND c1.n = 1 JOIN ys c2 ON c2.doc_id = ex.doc_id AND c2.sent_num = ex.sent_num AND c2.ext_no = ex.ext_no AND c2.n = 2 WHERE c1.shown <> b1.shown OR c2.shown <> b2.shown""")
 def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     """The extractions whose arguments best mentions change, beside what links alone show, fifteen columns."""
     x = _extractions(spark, d).join(_sents(spark, d).select("doc_id", "sent_num", F.col("text").alias("sentence")), ["doc_id", "sent_num"])
@@ -883,7 +905,22 @@ def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.evaluation(x, x, l, l, table(spark, d, "best_mentions"))
 
 
-@query()
+_V = "CAST({0} AS VARCHAR)".format
+
+
+@query(f"""WITH {_BL}, {_MEN}, {_NT}, {_TRIPLES.replace(_S1 + ", ", "", 1)},
+tx AS (SELECT doc_id, sent_num, string_agg(chr(9) || '(' || {_V('arg1_offset')} || ': ' || arg1 || ')' || chr(9) || '(' || {_V('rel_offset')} || ': ' || rel || ')' || chr(9) || '(' || {_V('arg2_offset')} || ': ' || arg2 || ')' || chr(9) || 'conf:' || {_two('confidence', 3)}, chr(10) ORDER BY ext_no) AS t FROM ex GROUP BY ALL),
+sx AS (SELECT s1.doc_id, count(*) AS n, string_agg('(' || {_V('s1.a')} || ') ' || s1.text || CASE WHEN t IS NULL THEN '' ELSE chr(10) || t END, chr(10) ORDER BY s1.sent_num) AS said FROM s1 LEFT JOIN tx ON tx.doc_id = s1.doc_id AND tx.sent_num = s1.sent_num GROUP BY s1.doc_id),
+xn AS (SELECT doc_id, count(*) AS n FROM ex GROUP BY doc_id),
+lr AS (SELECT doc_id, start_offset, id, '(' || {_V('start_offset')} || ')' || chr(9) || name || chr(9) || id || chr(9) || coalesce(array_to_string(types[:2], ', '), '') || ', ...' || chr(9) || {_two('score')} || '=f(' || {_two('doc_sim_score')} || ', ' || {_two('inlinks')} || ', ' || {_two('candidate_score')} || ')' AS r FROM bl),
+lx AS (SELECT doc_id, count(*) AS n, string_agg(r, chr(10) ORDER BY start_offset, id, r) AS linked FROM lr GROUP BY doc_id),
+mr AS (SELECT doc_id, cluster_id, start_offset, '(' || {_V('start_offset')} || ') ' || text AS r, lower(text) IN ({_PRON}) AS pron FROM m),
+cr AS (SELECT doc_id, cluster_id, count(*) AS size, coalesce(min(r) FILTER (NOT pron), '') || chr(9) || coalesce(string_agg(r, ', ' ORDER BY start_offset, r) FILTER (pron), '') AS r FROM mr GROUP BY ALL),
+cx AS (SELECT doc_id, string_agg(r, chr(10) ORDER BY size DESC, cluster_id, r) AS clusters FROM cr GROUP BY doc_id),
+bx AS (SELECT nt.doc_id, string_agg({_V('bt.target.start_offset')} || chr(9) || tt || chr(9) || best_mention, chr(10) ORDER BY nt.bem_index) AS best FROM nt JOIN bt ON bt.doc_id = nt.doc_id AND bt.bem_index = nt.bem_index GROUP BY nt.doc_id)
+SELECT d.ext_id AS doc_id, d.ext_id || chr(10) || 'Number of sentences: ' || {_V('coalesce(sx.n, 0)')} || chr(10) || 'Number of extractions: ' || {_V('coalesce(xn.n, 0)')} || chr(10) || 'Number of FreeBase links: ' || {_V('coalesce(lx.n, 0)')} || chr(10) || chr(10) || 'Text sample:' || chr(10) || coalesce(substr(d.text, 1, 300), '') || '...' || chr(10) || chr(10)
+    || 'Extracted Sentences:' || chr(10) || coalesce(said, '') || chr(10) || chr(10) || 'Links:' || chr(10) || coalesce(linked, '') || chr(10) || chr(10) || 'Coref Clusters:' || chr(10) || coalesce(clusters, '') || chr(10) || 'Best Entity Mentions:' || chr(10) || coalesce(best, '') AS report
+FROM documents d LEFT JOIN sx ON sx.doc_id = d.ext_id LEFT JOIN xn ON xn.doc_id = d.ext_id LEFT JOIN lx ON lx.doc_id = d.ext_id LEFT JOIN cx ON cx.doc_id = d.ext_id LEFT JOIN bx ON bx.doc_id = d.ext_id""")
 def document_reports(spark: SparkSession, d: str) -> DataFrame:
     """A readable report for each document."""
     docs = table(spark, d, "documents").select(F.col("ext_id").alias("doc_id"), "text")
